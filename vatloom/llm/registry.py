@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import mixing
+from . import mixing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLES = {
