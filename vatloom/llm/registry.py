@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import mixing, pii
+from . import langid, mixing, pii
 
 QUERIES = {
+    "op4_langid": langid.op4_langid,
     "op1_pii": pii.op1_pii,
     "op6_mixing": mixing.op6_mixing,
 }
