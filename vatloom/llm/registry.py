@@ -1,10 +1,11 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import langid, mixing, pii
+from . import langid, minhash, mixing, pii
 
 QUERIES = {
     "op4_langid": langid.op4_langid,
     "op1_pii": pii.op1_pii,
+    "op9_minhash": minhash.op9_minhash,
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLES = {
