@@ -1,13 +1,15 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import langid, minhash, mixing, pii
+from . import decontaminate, langid, minhash, mixing, pii
 
 QUERIES = {
     "op4_langid": langid.op4_langid,
     "op1_pii": pii.op1_pii,
     "op9_minhash": minhash.op9_minhash,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLES = {
+    "op10_decontaminate": decontaminate.OP10_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
