@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, langid, minhash, mixing, pii
+from . import decontaminate, fingerprint, html_text, langid, minhash, mixing, pii
 
 QUERIES = {
+    "op8_html": html_text.op8_html,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op4_langid": langid.op4_langid,
     "op1_pii": pii.op1_pii,
