@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, html_text, langid, minhash, mixing, pii
+from . import decontaminate, fingerprint, html_text, langid, minhash, mixing, pii, preference
 
 QUERIES = {
+    "op5_preference": preference.op5_preference,
     "op8_html": html_text.op8_html,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op4_langid": langid.op4_langid,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
 }
 ORACLES = {
+    "op5_preference": preference.OP5_SQL,
     "op10_decontaminate": decontaminate.OP10_SQL,
     "op6_mixing": mixing.OP6_SQL,
 }
