@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``, about how many narrow rows there are, keeps a small table in a few files: one for 100,000 rows, 8 at least.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vatloom/{tag}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(8, rows // 100_000))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

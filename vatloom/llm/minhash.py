@@ -7,9 +7,12 @@
 3. First round: every member of a bucket is compared with the bucket's smallest member. Signatures
    that agree in less than ``screen`` of the minima are dropped (more than three standard errors
    below the threshold), the others are compared on their full sets. Confirmed links give components.
-4. Second round: within buckets that still hold two or more components, members of different
-   components are compared, block by block of at most about 128 members, first by signature, then
-   on full sets. So a bucket of thousands of copies costs a comparison each, not one for each pair.
+4. Second round: buckets that still hold two or more components are searched for members of different
+   components whose signatures pass the screen, block against block of about 128 members; a block pair
+   gives links that join its components, not all its pairs. Such links and those of the first round
+   make clusters. In clusters of two or more components all members of different components that pass
+   the screen and are not joined yet are compared on their full sets, again block against block.
+   So thousands of copies cost a comparison each, unless they are near the threshold without a link.
 5. Components over all confirmed links, by alternating large-star and small-star with both steps
    written to the shared folder.
 
@@ -109,10 +112,6 @@ def _confirm(pairs: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
     return staged(both.where(confirmed("text_a", "text_b")).select("a", "b").distinct(), f"{tag}-links")
 
 
-def _min_neighbour(edges: DataFrame, tag: str) -> DataFrame:
-    return staged(edges.groupBy("u").agg(F.min("v").alias("m")), tag)
-
-
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -122,42 +121,79 @@ def components(links: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-edges")
     before = _mark(edges)
     for _ in range(rounds):
+        n = before[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _min_neighbour(both, f"{tag}-large-min")
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-large-min", n)
         # large-star: neighbours above u point to the smallest of u and its neighbours
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = staged(large, f"{tag}-large")
-        low = _min_neighbour(large, f"{tag}-small-min")
+        large = staged(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), f"{tag}-large", n)
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-small-min", n)
         # small-star: u and its neighbours below point to the smallest of these
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = staged(small, f"{tag}-small")
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
+        edges = staged(large.join(low, "u").select(ends.alias("e")).select("e.u", "e.v").where("u <> v").distinct(), f"{tag}-small", n)
         now = _mark(edges)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    return staged(edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component"), f"{tag}-nodes", before[0])
+
+
+def _block_pairs(rows: DataFrame, key: str, tag: str) -> DataFrame:
+    """Pairs of blocks of a key: left, right (arrays of the rows' other columns) and same. Blocks hold about BLOCK rows, so no key meets in one task."""
+    sizes = staged(rows.groupBy(key).agg(F.count("*").alias("_n")), f"{tag}-sizes")
+    other = [c for c in rows.columns if c != key]
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / BLOCK)).alias("block")
+    blocks = rows.join(sizes, key).groupBy(key, block).agg(F.collect_list(F.struct(*other)).alias("rows"))
+    blocks = staged(blocks, f"{tag}-blocks")
+    x, y = blocks.select(key, F.col("block").alias("x")), blocks.select(key, F.col("block").alias("y"))
+    index = x.join(y, key).where("x <= y")
+    left = index.join(blocks.select(key, F.col("block").alias("x"), F.col("rows").alias("left")), [key, "x"])
+    return left.join(blocks.select(key, F.col("block").alias("y"), F.col("rows").alias("right")), [key, "y"]).select("left", "right", (F.col("x") == F.col("y")).alias("same"))
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of two blocks, of different components, whose signatures pass the screen."""
+def _crossing(exact: bool):
+    """Links between components of two blocks that join what is not joined yet; ``exact``: by full sets, otherwise by the screen alone."""
     least = int(np.ceil(SCREEN * HASHES))
-    for t in batches:
-        for row in t.to_pylist():
-            left, right = row["left"], row["right"]
-            x, y = (np.frombuffer(b"".join(m["signature"] for m in side), np.uint16).reshape(-1, HASHES) for side in (left, right))
-            ids = [np.array([m["doc_id"] for m in side], np.int64) for side in (left, right)]
-            of = [np.array([m["component"] for m in side], np.int64) for side in (left, right)]
-            a, b = [], []
-            for i in range(len(left)):
-                other = np.flatnonzero((of[1] != of[0][i]) & ((ids[1] > ids[0][i]) if row["same"] else True))
-                if len(other):
-                    hit = other[(y[other] == x[i]).sum(axis=1) >= least]
-                    a.append(np.minimum(ids[0][i], ids[1][hit]))
-                    b.append(np.maximum(ids[0][i], ids[1][hit]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    def links(row: dict) -> list[tuple[int, int]]:
+        left, right = row["left"], row["right"]
+        x, y = (np.frombuffer(b"".join(m["signature"] for m in side), np.uint16).reshape(-1, HASHES) for side in (left, right))
+        ids = [[m["doc_id"] for m in side] for side in (left, right)]
+        of = [np.array([m["component"] for m in side], np.int64) for side in (left, right)]
+        sets = [shingle_sets(pa.array([m["text"] for m in side], pa.string())) for side in (left, right)] if exact else None
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i in range(len(left)):
+            other = np.flatnonzero(of[1] != of[0][i])
+            if row["same"]:
+                other = other[other > i]
+            for j in other[(y[other] == x[i]).sum(axis=1) >= least] if len(other) else ():
+                a, b = root(int(of[0][i])), root(int(of[1][j]))
+                if a == b:
+                    continue
+                if exact:
+                    s, t = sets[0][i], sets[1][j]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if both == 0 or 100 * both < PERCENT * (len(s) + len(t) - both):
+                        continue
+                parent[max(a, b)] = min(a, b)
+                out.append((ids[0][i], ids[1][j]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for r in range(len(t)):
+                if found := links(t.slice(r, 1).to_pylist()[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,28 +217,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .select("a", "b")
     )
     links = _confirm(staged(screened, "nd-screened"), docs, "nd-first")
-    first = staged(components(links, "nd-cc1"), "nd-comp1")
-
-    placed = staged(inside.select("bucket", "doc_id", "n").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "nd-placed")
-    open_buckets = staged(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "nd-open")
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))
-    blocks = (
-        placed.join(open_buckets, "bucket")
-        .join(signs, "doc_id")
-        .groupBy("bucket", block.alias("block"))
-        .agg(F.collect_list(F.struct("doc_id", "component", "signature")).alias("rows"))
-    )
-    blocks = staged(blocks, "nd-blocks")
-    pairs = (
-        blocks.select("bucket", F.col("block").alias("x"), F.col("rows").alias("left"))
-        .join(blocks.select("bucket", F.col("block").alias("y"), F.col("rows").alias("right")), "bucket")
-        .where("x <= y")
-        .select("left", "right", (F.col("x") == F.col("y")).alias("same"))
-        .mapInArrow(_cross_pairs, "a long, b long")
-        .distinct()
-    )
-    more = _confirm(staged(pairs, "nd-cross"), docs, "nd-second")
-    comp = staged(components(links.union(more), "nd-cc2"), "nd-comp2")
+    first = components(links, "nd-cc1")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    members = staged(placed(inside.select("bucket", "doc_id")), "nd-placed")
+    open_buckets = staged(members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket"), "nd-open")
+    rows = members.join(open_buckets, "bucket").join(signs, "doc_id").select("bucket", "doc_id", "component", "signature")
+    alike = staged(_block_pairs(rows, "bucket", "nd-buckets").mapInArrow(_crossing(False), "a long, b long").distinct(), "nd-alike")
+
+    cluster = components(links.union(alike), "nd-cluster").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    grouped = staged(placed(cluster), "nd-clusters")
+    open_clusters = staged(grouped.groupBy("cluster").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("cluster"), "nd-open")
+    rows = staged(grouped.join(open_clusters, "cluster"), "nd-rows")
+    texts = staged(docs.join(rows.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "nd-texts")
+    rows = rows.join(signs, "doc_id").join(texts, "doc_id").select("cluster", "doc_id", "component", "signature", "text")
+    more = staged(_block_pairs(rows, "cluster", "nd-clusters").mapInArrow(_crossing(True), "a long, b long").distinct(), "nd-more")
+    comp = components(links.union(more), "nd-cc2")
 
     of_rep = comp.withColumnRenamed("node", "rep")
     placed = sketch.join(copies, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"))
