@@ -1,8 +1,9 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import decontaminate, fingerprint, html_text, langid, minhash, mixing, pii, preference, suffix_dedup
+from . import decontaminate, fingerprint, html_text, langid, minhash, mixing, pii, preference, suffix_dedup, suffix_tree
 
 QUERIES = {
+    "op2_suffix_tree": suffix_tree.op2_suffix_tree,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op5_preference": preference.op5_preference,
     "op8_html": html_text.op8_html,
