@@ -7,7 +7,7 @@ the oracle knows what they must find.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,18 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.withColumn("total", F.col("sub") + F.col("vat"))
 
 
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with ``n``, the line's number in its order; line numbers repeat in the table."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)))
+
+
+LINES = f"""lines AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_LINE_ORDER)}) AS INTEGER) AS n FROM lineitem)"""
+
+
 INV = """inv AS (
   SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS status, o_custkey AS cust, supp, sub, rate,
     (sub * rate + 50) // 100 AS vat, sub + (sub * rate + 50) // 100 AS total
@@ -122,11 +134,11 @@ def xml(inv: DataFrame) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of each order: a header, its lines, a total row; doc_id, table_idx, page, row, col, text, kind."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("q"), F.round(F.col("l_extendedprice").cast("decimal(18,2)"), 0).cast("bigint").alias("a"))
+    li = numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), "n", "l_partkey", F.col("l_quantity").cast("bigint").alias("q"), F.round(F.col("l_extendedprice").cast("decimal(18,2)"), 0).cast("bigint").alias("a"))
     cell = lambda r, c, t, k="content": F.struct(r.cast("int").alias("row"), F.lit(c).alias("col"), t.alias("text"), F.lit(k).alias("kind"))
-    n = F.col("l_linenumber")
+    n = F.col("n")
     body = li.select("doc_id", F.inline(F.array(cell(n, 0, F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))), cell(n, 1, F.col("q").cast("string")), cell(n, 2, F.when(n % 5 == 0, F.lit("n/a")).otherwise(F.concat(dotted(F.col("a")), F.lit(" đ")))))))
-    ends = li.groupBy("doc_id").agg(F.sum("a").alias("a"), (F.max("l_linenumber") + 1).alias("last"))
+    ends = li.groupBy("doc_id").agg(F.sum("a").alias("a"), (F.max("n") + 1).alias("last"))
     zero = F.lit(0)
     frame = ends.select("doc_id", F.inline(F.array(cell(zero, 0, F.lit("Tên hàng"), "columnHeader"), cell(zero, 1, F.lit("Số lượng"), "columnHeader"), cell(zero, 2, F.lit("Thành tiền"), "columnHeader"), cell(F.col("last"), 0, F.lit("Tổng cộng")), cell(F.col("last"), 2, F.concat(dotted(F.col("a")), F.lit(" đ"))))))
     return body.unionByName(frame).select("doc_id", F.lit(0).alias("table_idx"), F.lit(1).alias("page"), "row", "col", "text", "kind")

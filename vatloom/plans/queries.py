@@ -18,7 +18,7 @@ from ..operators import rules as R
 from ..operators import score as S
 from ..operators import validate as W
 from ..operators import xmlinvoice as M
-from .base import EAV, INV, LEDGER, cells, code, commas, dotted, eav, invoices, ledger, pick, rendered_lines, table, xml
+from .base import EAV, INV, LEDGER, LINES, cells, code, commas, dotted, eav, invoices, ledger, numbered_lines, pick, rendered_lines, table, xml
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -202,12 +202,12 @@ def text_hash_dedup(spark, sf):
 # Extraction
 
 
-@query("""WITH c AS (SELECT l_orderkey AS doc_id, ['TotalAmount', 'VatAmount'][l_linenumber % 2 + 1] AS field_name, CAST(l_partkey AS VARCHAR) AS raw_value, round(CAST(l_quantity AS DOUBLE)) / 10 AS confidence, l_suppkey % 3 AS priority, l_linenumber AS position FROM lineitem)
+@query(f"""WITH {LINES}, c AS (SELECT l_orderkey AS doc_id, ['TotalAmount', 'VatAmount'][n % 2 + 1] AS field_name, CAST(l_partkey AS VARCHAR) AS raw_value, round(CAST(l_quantity AS DOUBLE)) / 10 AS confidence, l_suppkey % 3 AS priority, n AS position FROM lines)
 SELECT doc_id, field_name, raw_value, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field_name ORDER BY confidence DESC, priority DESC, position, raw_value DESC) AS r FROM c) WHERE r = 1""")
 def candidate_argmax(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = numbered_lines(spark, sf)
     null = F.lit(None).cast("string")
-    c = li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 2 == 0, "TotalAmount").otherwise("VatAmount").alias("field_name"), F.col("l_partkey").cast("string").alias("raw_value"), (F.round(F.col("l_quantity").cast("double")) / 10).alias("confidence"), F.lit(1).alias("page"), (F.col("l_suppkey") % 3).cast("int").alias("priority"), null.alias("method"), null.alias("source_text"), null.alias("source_type"), null.alias("provider_field"), F.lit(0).alias("stage"), F.col("l_linenumber").alias("position"), F.lit(0).alias("rule"))
+    c = li.select(F.col("l_orderkey").alias("doc_id"), F.when(F.col("n") % 2 == 0, "TotalAmount").otherwise("VatAmount").alias("field_name"), F.col("l_partkey").cast("string").alias("raw_value"), (F.round(F.col("l_quantity").cast("double")) / 10).alias("confidence"), F.lit(1).alias("page"), (F.col("l_suppkey") % 3).cast("int").alias("priority"), null.alias("method"), null.alias("source_text"), null.alias("source_type"), null.alias("provider_field"), F.lit(0).alias("stage"), F.col("n").alias("position"), F.lit(0).alias("rule"))
     return X.resolve(c).select("doc_id", "field_name", "raw_value", "confidence")
 
 
@@ -251,7 +251,7 @@ def provider_fields(spark, sf):
 @query(f"""WITH {INV} SELECT doc_id, 'SupplierTaxCode' AS field_name, lpad(CAST(supp AS VARCHAR), 10, '0') AS raw_value, CAST(0.64 AS DOUBLE) AS confidence FROM inv UNION ALL SELECT doc_id, 'TotalAmount', replace(format('{{:,}}', total), ',', '.'), 0.62 FROM inv
 UNION ALL SELECT doc_id, 'InvoiceDate', CAST(d AS VARCHAR), 0.6 FROM inv""")
 def fulltext_regex(spark, sf):
-    t = invoices(spark, sf).select("doc_id", F.concat(F.lit("MST: "), code(F.col("supp")), F.lit(" ngay "), F.col("d").cast("string"), F.lit("\nTổng cộng: "), dotted(F.col("total"))).alias("text"))
+    t = invoices(spark, sf).select("doc_id", F.concat(F.lit("MST: "), code(F.col("supp")), F.lit(", ngay "), F.col("d").cast("string"), F.lit("\nTổng cộng: "), dotted(F.col("total"))).alias("text"))
     return X.resolve(X.from_full_text(t)).select("doc_id", "field_name", T.strip(F.col("raw_value")).alias("raw_value"), "confidence")
 
 
@@ -444,7 +444,7 @@ def mean_confidence(spark, sf):
     return eav(invoices(spark, sf)).groupBy("doc_id").agg(F.round(F.avg("confidence"), 6).alias("c"))
 
 
-_ITEMS = """li AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey, CAST(l_quantity AS BIGINT) AS q, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)), 0) AS BIGINT) AS a FROM lineitem)"""
+_ITEMS = f"""{LINES}, li AS (SELECT l_orderkey AS doc_id, n, l_partkey, CAST(l_quantity AS BIGINT) AS q, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)), 0) AS BIGINT) AS a FROM lines)"""
 
 
 @query(f"""WITH {_ITEMS} SELECT doc_id, CAST(n AS INTEGER) AS "row", 'Part ' || l_partkey AS description, CAST(q AS DECIMAL(18,4)) AS quantity, CAST(CASE WHEN n % 5 <> 0 THEN a END AS DECIMAL(18,4)) AS amount, CASE WHEN n % 5 <> 0 THEN 'VND' END AS currency, CAST(CASE WHEN n % 5 = 0 THEN 0.4 ELSE 0.75 END AS DOUBLE) AS confidence FROM li""")
@@ -602,9 +602,9 @@ def fixed_window_limit(spark, sf):
     return rate_window(table(spark, sf, "events"), limit=2).select("start", "user_id", "n", "limited")
 
 
-@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS line_id, CASE WHEN l_orderkey % 2 = 0 THEN '10%' ELSE '8%' END AS rate FROM lineitem WHERE l_orderkey % 2 = 1 OR l_linenumber = 1 UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS BIGINT), '5%' FROM lineitem WHERE l_orderkey % 2 = 0""")
+@query(f"""WITH {LINES} SELECT l_orderkey AS doc_id, CAST(n AS BIGINT) AS line_id, CASE WHEN l_orderkey % 2 = 0 THEN '10%' ELSE '8%' END AS rate FROM lines WHERE l_orderkey % 2 = 1 OR n = 1 UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS BIGINT), '5%' FROM lineitem WHERE l_orderkey % 2 = 0""")
 def tax_line_replace(spark, sf):
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("line_id"), F.lit("8%").alias("rate"))
+    lines = numbered_lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.col("n").cast("long").alias("line_id"), F.lit("8%").alias("rate"))
     docs = lines.where("doc_id % 2 = 0").select("doc_id").distinct()
     row = lambda i, r: F.struct(F.lit(i).cast("long").alias("line_id"), F.lit(r).alias("rate"))
     sent = docs.select("doc_id", F.inline(F.array(row(1, "10%"), row(None, "5%"), row(999, "0%"))))
@@ -623,7 +623,7 @@ def field_upsert(spark, sf):
     return out.select("doc_id", "field_name", F.col("normalized_value").alias("value"), "is_edited")
 
 
-@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS "row", CASE WHEN l_linenumber = 1 THEN 'edited' ELSE 'Part ' || l_partkey END AS text FROM lineitem""")
+@query(f"""WITH {LINES} SELECT l_orderkey AS doc_id, n AS "row", CASE WHEN n = 1 THEN 'edited' ELSE 'Part ' || l_partkey END AS text FROM lines""")
 def cell_patch(spark, sf):
     c = cells(spark, sf).where("col = 0 AND kind = 'content' AND text <> 'Tổng cộng'")
     row = lambda r: F.struct(F.lit(0).alias("table_idx"), F.lit(r).alias("row"), F.lit(0).alias("col"), F.lit("edited").alias("text"))
