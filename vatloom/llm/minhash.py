@@ -136,7 +136,9 @@ def components(links: DataFrame, tag: str = "cc", rounds: int = 60) -> DataFrame
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return staged(edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component"), f"{tag}-nodes", before[0])
+    below = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return staged(below.union(roots), f"{tag}-nodes", before[0])
 
 
 def _block_pairs(rows: DataFrame, key: str, tag: str) -> DataFrame:
