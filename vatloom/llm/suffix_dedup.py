@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def _send_anchors(buckets: int):
         out: list = [[], [], []]
         if hashes:
             h, o = np.concatenate(hashes), np.concatenate(owners)
-            order = np.lexsort((o, h))
+            order = np.argsort(h, kind="stable")  # owners ascend already
             h, o = h[order], o[order]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             last = np.concatenate([start[1:], [len(h)]]) - 1
@@ -202,7 +203,7 @@ def suffix_order(symbols: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     for j in range(width):
         key = (key << 9) | padded[j : j + n]
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], (ordered[1:] != ordered[:-1]).astype(np.int64)]))
@@ -222,7 +223,7 @@ def expanded(symbols: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.
     n = len(symbols)
     bwt = symbols[order - 1]  # order == 0 wraps to the last symbol, a separator
     lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
+    lf[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)  # a radix sort
     found = np.zeros(n + 1, bool)
     found[0] = found[n] = True
     lb, rb = np.array([0]), np.array([n])
@@ -238,7 +239,7 @@ def expanded(symbols: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.
         if not len(idx):
             break
         to = lf[idx]
-        turn = np.argsort(to, kind="stable")
+        turn = np.argsort(to)
         to, owner, letter = to[turn], owner[turn], bwt[idx][turn]
         edge = np.concatenate([[True], (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (letter[1:] != letter[:-1])])
         lb = to[edge]
@@ -252,78 +253,85 @@ def expanded(symbols: np.ndarray, order: np.ndarray, depth: int = LENGTH) -> np.
     return found[:n]
 
 
-def smallest_documents(texts: list[bytes], docs: np.ndarray, depth: int = LENGTH) -> list[np.ndarray]:
-    """For each text, the smallest document in whose text the string of ``depth`` bytes at each place occurs."""
-    sizes = np.array([len(t) for t in texts])
+def smallest_documents(texts: pa.Array, docs: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document in whose text the string of ``depth`` bytes at each place occurs, for all places of all texts, and the first place (n + 1) of each text."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    symbols = np.zeros(int(sizes.sum() + len(texts)), np.int64)
+    symbols = np.zeros(int(sizes.sum() + len(sizes)), np.int64)
     inside = np.ones(len(symbols), bool)
     inside[starts + sizes] = False
-    symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    symbols[inside] = np.frombuffer(b"".join(texts.to_pylist()), np.uint8).astype(np.int64) + 1
     order = suffix_order(symbols, depth)
     group = np.cumsum(expanded(symbols, order, depth)) - 1
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    place = np.arange(len(symbols)) - starts[owner]
-    doc = np.where(place + depth <= sizes[owner], docs[owner], np.iinfo(np.int64).max)[order]
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    whole = np.arange(len(symbols)) - starts[owner] + depth <= sizes[owner]
+    doc = np.where(whole, docs[owner], np.iinfo(np.int64).max)[order]
     low = np.minimum.reduceat(doc, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
     out = np.empty(len(symbols), np.int64)
     out[order] = low[group]
-    return [out[a : a + max(0, s - depth + 1)] for a, s in zip(starts.tolist(), sizes.tolist())]
+    return out[whole], np.concatenate([[0], np.cumsum(np.maximum(0, sizes - depth + 1))])
 
 
-def _runs(values: np.ndarray) -> bytes:
-    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+def _runs(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal values that don't cross the borders ``first`` (n + 1), and the first run (n + 1) of each part."""
+    edge = np.concatenate([[True], values[1:] != values[:-1]])
+    edge[first[:-1]] = True
+    cut = np.flatnonzero(edge)
     out = np.empty(len(cut), RUN)
     out["n"], out["doc"] = np.diff(np.append(cut, len(values))), values[cut]
-    return out.tobytes()
+    return out, np.searchsorted(cut, first)
+
+
+def _settled(rows: pa.Table) -> pa.RecordBatch:
+    """Answers for all contexts of some anchors: runs of windows with the smallest document of each. Rows that need none are left out."""
+    coded = rows.column("context").combine_chunks().dictionary_encode()
+    texts, code = coded.dictionary, coded.indices.to_numpy()
+    h, doc, several = (rows.column(c).to_numpy() for c in ("h", "doc", "several"))
+    low = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(low, code, doc)
+    anchor = np.empty(len(texts), np.int64)
+    anchor[code] = h  # a context has one anchor, which its bytes determine
+    _, back, count = np.unique(anchor, return_inverse=True, return_counts=True)
+    mixed = count[back] > 1
+    # a context that is alone has one run; the runs of the others follow
+    runs = np.empty(len(texts), RUN)
+    runs["n"], runs["doc"] = pc.binary_length(texts).to_numpy(zero_copy_only=False) - LENGTH + 1, low
+    first, n_runs = np.arange(len(texts)), np.ones(len(texts), np.int64)
+    least, most = low.copy(), low.copy()
+    if mixed.any():
+        at = np.flatnonzero(mixed)
+        found, borders = smallest_documents(texts.take(pa.array(at)), low[at])
+        more, cut = _runs(found, borders)
+        first[at], n_runs[at] = len(runs) + cut[:-1], np.diff(cut)
+        least[at], most[at] = np.minimum.reduceat(found, borders[:-1]), np.maximum.reduceat(found, borders[:-1])
+        runs = np.concatenate([runs, more])
+    need = np.flatnonzero(several | (least[code] != doc) | (most[code] != doc))
+    k = n_runs[code[need]]
+    ends = np.cumsum(k)
+    picked = runs[np.repeat(first[code[need]] - (ends - k), k) + np.arange(k.sum())]
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * RUN.itemsize
+    data = pa.Array.from_buffers(pa.large_binary(), len(need), [None, pa.py_buffer(offsets), pa.py_buffer(picked.tobytes())]).cast(pa.binary())
+    take = pa.array(need)
+    return pa.RecordBatch.from_arrays([rows.column("chunk").combine_chunks().take(take), pa.array(np.full(len(need), SETTLED, np.int32)), rows.column("idx").combine_chunks().take(take), data], names=["chunk", "kind", "idx", "data"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by anchor hash; gives each context the smallest documents of its windows."""
-
-    def flush(groups: list[list]) -> pa.RecordBatch:
-        answers: dict[tuple[int, bytes], bytes] = {}
-        texts, docs, owners = [], [], []
-        for g, rows in enumerate(groups):
-            low: dict[bytes, int] = {}
-            for _, _, context, doc, _ in rows:
-                if doc < low.get(context, 1 << 63):
-                    low[context] = doc
-            if len(low) == 1:
-                ((context, doc),) = low.items()
-                answers[g, context] = np.array([(len(context) - LENGTH + 1, doc)], RUN).tobytes()
-            else:
-                for context, doc in low.items():
-                    texts.append(context)
-                    docs.append(doc)
-                    owners.append((g, context))
-        if texts:
-            for owner, found in zip(owners, smallest_documents(texts, np.array(docs, np.int64))):
-                answers[owner] = _runs(found)
-        chunk, idx, data = [], [], []
-        for g, rows in enumerate(groups):
-            for c, i, context, doc, several in rows:
-                got = answers[g, context]
-                if several or (np.frombuffer(got, RUN)["doc"] != doc).any():
-                    chunk.append(c)
-                    idx.append(i)
-                    data.append(got)
-        return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([SETTLED] * len(chunk), pa.int32()), pa.array(idx, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "kind", "idx", "data"])
-
-    groups: list[list] = []
-    size, now = 0, None
+    held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
-        for h, c, i, context, doc, several in zip(*(x.to_pylist() for x in b.columns)):
-            if h != now:
-                if size > TEXT_BYTES:
-                    yield flush(groups)
-                    groups, size = [], 0
-                groups.append([])
-                now = h
-            groups[-1].append((c, i, context, doc, several))
-            size += len(context)
-    if groups:
-        yield flush(groups)
+        if not len(b):
+            continue
+        h = b.column("h").to_numpy()
+        if held and size > TEXT_BYTES:
+            border = int(np.searchsorted(h, held[-1].column("h")[-1].as_py(), side="right"))  # the rest of the last anchor
+            if border < len(b):
+                yield _settled(pa.Table.from_batches([*held, b.slice(0, border)]))
+                held, size, b = [], 0, b.slice(border)
+        held.append(b)
+        size += pc.sum(pc.binary_length(b.column("context"))).as_py()
+    if held:
+        yield _settled(pa.Table.from_batches(held))
 
 
 def _remove(docs: pa.Table, notes: pa.Table) -> pa.Table:
