@@ -98,23 +98,26 @@ def shown(a: Column) -> Column:
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = staged(docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("most")), "fp-sizes")
+    # one exchange deals the texts out by (k, nul); everything that needs a text reads that exchange
+    ident = F.col(id_col)
+    docs = documents.select(F.coalesce(ident, F.lit(0).cast("long")).alias("k"), ident.isNull().alias("nul"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sizes = staged(docs.where("NOT nul").groupBy(F.col("k").alias("doc_id")).agg(F.max(F.length("text")).alias("most")), "fp-sizes")
     after = successors(sizes)
-    wanted = after.join(sizes, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("previous"), F.floor(F.col("most") / 4).cast("int").alias("q"))
-    heads = docs.join(staged(wanted, "fp-wanted"), "doc_id").select(F.col("previous").alias("doc_id"), F.substr(F.col("text"), F.lit(1), F.col("q")).alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
+    wanted = after.join(sizes, "doc_id").select(F.col("next_id").alias("k"), F.lit(False).alias("nul"), F.col("doc_id").alias("previous"), F.floor(F.col("most") / 4).cast("int").alias("q"))
+    heads = docs.join(staged(wanted, "fp-wanted"), ["k", "nul"]).select(F.col("previous").alias("k"), "nul", F.substr(F.col("text"), F.lit(1), F.col("q")).alias("head"))
+    heads = heads.groupBy("k", "nul").agg(F.min("head").alias("head"))
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - q), F.substr(F.coalesce("head", F.lit("")), F.lit(1), q))
-    full = docs.join(heads, "doc_id", "left").select("doc_id", F.xxhash64("text").alias("th"), "text", edited.alias("edited"))
-    bags = staged(sample_bags(full.withColumnRenamed("text", "fingerprint").withColumnRenamed("edited", "edited_fingerprint"), ["doc_id", "th"], ["fingerprint", "edited_fingerprint"]), "fp-bags")
-    info = full.select("doc_id", "th", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    following = bags.groupBy("doc_id").agg(F.min_by("fingerprint", "th").alias("next_fp")).withColumnRenamed("doc_id", "next_id")
-    beside = after.join(following, "next_id").select("doc_id", "next_fp")
-    same = F.expr("info.doc_id <=> bags.doc_id AND info.th = bags.th")
-    out = info.alias("info").join(bags.alias("bags"), same).select("info.*", "fingerprint", "edited_fingerprint")
-    out = out.join(beside, "doc_id", "left")
+    full = docs.join(heads, ["k", "nul"], "left").select("k", "nul", F.xxhash64("text").alias("th"), "text", edited.alias("edited"))
+    bags = sample_bags(full.withColumnRenamed("text", "fingerprint").withColumnRenamed("edited", "edited_fingerprint"), ["k", "nul", "th"], ["fingerprint", "edited_fingerprint"])
+    info = full.select("k", "nul", "th", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # the hashes are compared beside the join keys, so that either side stays as it is dealt out
+    same = F.expr("info.k = bags.k AND info.nul = bags.nul AND (info.th ^ bags.th) = 0")
+    known = info.alias("info").join(bags.alias("bags"), same).select(F.expr("IF(info.nul, NULL, info.k)").alias("doc_id"), "info.th", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    known = staged(known, "fp-known")
+    following = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("fingerprint", "th").alias("next_fp")).withColumnRenamed("doc_id", "next_id")
+    out = known.join(after.join(following, "next_id").select("doc_id", "next_fp"), "doc_id", "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("fingerprint")).alias("fingerprint"), shown(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fp")).alias("near_next"),
