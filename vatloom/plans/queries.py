@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
@@ -22,8 +22,15 @@ from .base import EAV, INV, LEDGER, LINES, cells, code, commas, dotted, eav, inv
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-I = F.col("doc_id")  # noqa: E741
-START, END = F.lit("1996-01-01").cast("date"), F.lit("1998-12-31").cast("date")
+START, END = "1996-01-01", "1998-12-31"
+
+
+def _id() -> Column:
+    return F.col("doc_id")
+
+
+def _period() -> tuple[Column, Column]:
+    return F.lit(START).cast("date"), F.lit(END).cast("date")
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -47,13 +54,13 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda c: N.plain_decimal(N.money(F.col(c)))
     return raw.select(
         "doc_id", "updated_at", N.date_loose(F.col("r_date")).cast("string").alias("InvoiceDate"), text("r_sub").alias("SubtotalAmount"), text("r_vat").alias("VatAmount"), text("r_total").alias("TotalAmount"),
-        F.concat(F.lit("Cong ty "), F.col("supp").cast("string")).alias("SupplierName"), code(F.col("supp")).alias("SupplierTaxCode"), F.lit(None).cast("string").alias("Notes"), F.concat(F.lit("HD-"), I.cast("string")).alias("InvoiceNumber"),
+        F.concat(F.lit("Cong ty "), F.col("supp").cast("string")).alias("SupplierName"), code(F.col("supp")).alias("SupplierTaxCode"), F.lit(None).cast("string").alias("Notes"), F.concat(F.lit("HD-"), _id().cast("string")).alias("InvoiceNumber"),
     )
 
 
 def _rows(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     p = _parsed(spark, sf)
-    return P.dispositions(p.select("doc_id", "updated_at"), p.drop("updated_at"), START, END, kind).where("disposition = 'row'")
+    return P.dispositions(p.select("doc_id", "updated_at"), p.drop("updated_at"), *_period(), kind).where("disposition = 'row'")
 
 
 @query(f"""WITH {INV}, r AS (SELECT CASE WHEN rate = 0 THEN 0 ELSE rate END AS rate, sub, vat, total FROM inv WHERE sub > 0 AND d BETWEEN DATE '1996-01-01' AND DATE '1998-12-31')
@@ -79,7 +86,7 @@ SELECT CASE WHEN d IS NULL THEN 'skipped: no date' WHEN NOT CAST(d AS DATE) BETW
 def report_dispositions(spark, sf):
     inv = invoices(spark, sf)
     docs = inv.select("doc_id", F.to_timestamp("d").alias("updated_at"))
-    return P.dispositions(docs, P.pivoted(eav(inv)), START, END).groupBy("disposition").agg(F.count("*").alias("n"))
+    return P.dispositions(docs, P.pivoted(eav(inv)), *_period()).groupBy("disposition").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {INV}, {EAV} SELECT doc_id, max(CASE WHEN field_name IN ('InvoiceDate', 'ReceiptDate') THEN v END) AS invoice_date, max(CASE WHEN field_name IN ('VatAmount', 'TaxAmount') THEN v END) AS vat_amount,
@@ -91,7 +98,7 @@ def alias_resolve(spark, sf):
 
 @query("""SELECT c_custkey AS id, regexp_replace(c_name, '[^A-Za-z0-9_-]+', '_', 'g') || '_PurchaseInvoiceList_199601-199812.xlsx' AS file_name FROM customer""")
 def report_file_name(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), P.report_file_name(F.col("c_name"), P.PURCHASE, START, END).alias("file_name"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), P.report_file_name(F.col("c_name"), P.PURCHASE, *_period()).alias("file_name"))
 
 
 # Normalizers
@@ -100,21 +107,21 @@ def report_file_name(spark, sf):
 @query(f"""WITH {INV} SELECT doc_id, CAST(CASE WHEN doc_id % 7 < 4 OR doc_id % 7 = 6 THEN total ELSE total + 0.5 END AS DECIMAL(38,2)) AS amount FROM inv WHERE total >= 1000""")
 def normalize_money(spark, sf):
     t = F.col("total")
-    raw = pick(I, F.concat(dotted(t), F.lit(" VND")), F.concat(F.lit("VNĐ "), dotted(t)), F.concat(F.lit("Tổng 3 mục: "), commas(t), F.lit("đ")), F.translate(commas(t), ",", " "), F.concat(dotted(t), F.lit(",50")), F.concat(commas(t), F.lit(".50 ₫")), t.cast("string"))
+    raw = pick(_id(), F.concat(dotted(t), F.lit(" VND")), F.concat(F.lit("VNĐ "), dotted(t)), F.concat(F.lit("Tổng 3 mục: "), commas(t), F.lit("đ")), F.translate(commas(t), ",", " "), F.concat(dotted(t), F.lit(",50")), F.concat(commas(t), F.lit(".50 ₫")), t.cast("string"))
     return invoices(spark, sf).where("total >= 1000").select("doc_id", N.money(raw).cast("decimal(38,2)").alias("amount"))
 
 
 @query(f"""WITH {INV} SELECT doc_id, d AS date FROM inv""")
 def normalize_date(spark, sf):
     f = lambda p: F.date_format("d", p)
-    raw = pick(I, f("dd/MM/yyyy"), f("d-M-yyyy"), F.concat(F.lit("Ngày: "), f("dd.MM.yyyy")), f("yyyy-MM-dd"), F.concat(F.lit("ngày "), f("dd"), F.lit(" tháng "), f("MM"), F.lit(" năm "), f("yyyy")), F.concat(f("dd"), F.lit("tháng"), f("M"), F.lit("năm"), f("yyyy")), f("dd/MM/yy"), F.concat(f("d"), F.lit("-"), f("MMM"), F.lit("-"), f("yyyy")))
+    raw = pick(_id(), f("dd/MM/yyyy"), f("d-M-yyyy"), F.concat(F.lit("Ngày: "), f("dd.MM.yyyy")), f("yyyy-MM-dd"), F.concat(F.lit("ngày "), f("dd"), F.lit(" tháng "), f("MM"), F.lit(" năm "), f("yyyy")), F.concat(f("dd"), F.lit("tháng"), f("M"), F.lit("năm"), f("yyyy")), f("dd/MM/yy"), F.concat(f("d"), F.lit("-"), f("MMM"), F.lit("-"), f("yyyy")))
     return invoices(spark, sf).select("doc_id", N.date_loose(raw).alias("date"))
 
 
 @query(f"""WITH {INV} SELECT doc_id, d AS date FROM inv""")
 def normalize_date_strict(spark, sf):
     f = lambda p: F.date_format("d", p)
-    return invoices(spark, sf).select("doc_id", N.date_strict(pick(I, f("yyyy/MM/dd"), f("dd/MM/yyyy"), f("yyyy-MM-dd"), f("d.M.yyyy"))).alias("date"))
+    return invoices(spark, sf).select("doc_id", N.date_strict(pick(_id(), f("yyyy/MM/dd"), f("dd/MM/yyyy"), f("yyyy-MM-dd"), f("d.M.yyyy"))).alias("date"))
 
 
 @query("""SELECT s_suppkey AS id, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') || CASE WHEN s_suppkey % 3 = 1 THEN '001' ELSE '' END AS tax_code FROM supplier""")
@@ -125,34 +132,34 @@ def normalize_tax_code(spark, sf):
 
 @query("""SELECT o_orderkey AS doc_id, ['0%', '5%', '8%', '10%', 'KCT', 'KKKNT', NULL, NULL][o_orderkey % 8 + 1] AS rate FROM orders""")
 def normalize_vat_rate(spark, sf):
-    raw = pick(I, *[F.lit(x) for x in ("0 %", "5.0%", "Thuế 8%", "10,0%", "Không chịu thuế", "kkknt", "12%", "chưa rõ")])
+    raw = pick(_id(), *[F.lit(x) for x in ("0 %", "5.0%", "Thuế 8%", "10,0%", "Không chịu thuế", "kkknt", "12%", "chưa rõ")])
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", N.vat_rate(raw).alias("rate"))
 
 
 @query("""SELECT o_orderkey AS doc_id, ['VND', 'VND', 'VND', 'VND', NULL, NULL][o_orderkey % 6 + 1] AS currency FROM orders""")
 def normalize_currency_code(spark, sf):
-    raw = pick(I, *[F.lit(x) for x in ("vnd", "VNĐ", "₫", "đồng", "USD", " ")])
+    raw = pick(_id(), *[F.lit(x) for x in ("vnd", "VNĐ", "₫", "đồng", "USD", " ")])
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", N.currency_code(raw).alias("currency"))
 
 
 @query(f"""WITH {INV} SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN total WHEN 1 THEN total WHEN 2 THEN total + 0.25 WHEN 3 THEN total + 0.5 END AS DECIMAL(38,2)) AS number FROM inv WHERE total >= 1000""")
 def table_number(spark, sf):
     t = F.col("total")
-    raw = pick(I, dotted(t), F.concat(commas(t), F.lit(" đ")), F.concat(t.cast("string"), F.lit(".25")), F.concat(dotted(t), F.lit(",50")), F.translate(commas(t), ",", " "))
+    raw = pick(_id(), dotted(t), F.concat(commas(t), F.lit(" đ")), F.concat(t.cast("string"), F.lit(".25")), F.concat(dotted(t), F.lit(",50")), F.translate(commas(t), ",", " "))
     return invoices(spark, sf).where("total >= 1000").select("doc_id", N.cell_number(raw).cast("decimal(38,2)").alias("number"))
 
 
 @query("""SELECT o_orderkey AS doc_id, ['USD', 'VND', 'VNĐ', 'USD', 'EUR', NULL][o_orderkey % 6 + 1] AS currency FROM orders""")
 def table_currency(spark, sf):
-    raw = pick(I, *[F.lit(x) for x in ("10 usd", "1.000 đ", "vnđ 5", "$ 3", "€4", "12")])
+    raw = pick(_id(), *[F.lit(x) for x in ("10 usd", "1.000 đ", "vnđ 5", "$ 3", "€4", "12")])
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", N.cell_currency(raw).alias("currency"))
 
 
 @query("""SELECT o_orderkey AS doc_id, ['1,5', '12', '0'][o_orderkey % 3 + 1] AS raw, ['Hóa đơn thay thế', 'Hóa đơn gốc', '9'][o_orderkey % 3 + 1] AS nature, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END AS INTEGER) AS estimate, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END AS INTEGER) AS actual, CAST((o_orderkey % 9) * 0.01 AS DECIMAL(18,6)) AS cost FROM orders""")
 def pricing_and_nature(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    name = pick(I, F.lit("a.XML"), F.lit("a.pdf"))
-    return o.select("doc_id", pick(I, F.lit("1,5"), F.lit("12"), F.lit("0")).alias("raw"), N.invoice_nature(pick(I, F.lit("2"), F.lit(" 1"), F.lit("9"))).alias("nature"), N.estimated_cost(F.lit("application/pdf"), name).alias("estimate"), N.actual_cost(pick(I, F.lit("TT78Xml"), F.lit("Azure"))).alias("actual"), N.page_cost(I % 9).alias("cost"))
+    name = pick(_id(), F.lit("a.XML"), F.lit("a.pdf"))
+    return o.select("doc_id", pick(_id(), F.lit("1,5"), F.lit("12"), F.lit("0")).alias("raw"), N.invoice_nature(pick(_id(), F.lit("2"), F.lit(" 1"), F.lit("9"))).alias("nature"), N.estimated_cost(F.lit("application/pdf"), name).alias("estimate"), N.actual_cost(pick(_id(), F.lit("TT78Xml"), F.lit("Azure"))).alias("actual"), N.page_cost(_id() % 9).alias("cost"))
 
 
 # Text
@@ -172,7 +179,7 @@ def slugify(spark, sf):
 @query("""SELECT o_orderkey AS doc_id, ['Invoice Number', 'P O Number', 'total', 'Supplier Tax Code'][o_orderkey % 4 + 1] AS label, ['a b', 'x', '', 'tail'][o_orderkey % 4 + 1] AS cleaned, ['a: b', NULL, NULL, 'x'][o_orderkey % 4 + 1] AS after FROM orders""")
 def labels_and_values(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    lit = lambda *xs: pick(I, *[F.lit(x) for x in xs])
+    lit = lambda *xs: pick(_id(), *[F.lit(x) for x in xs])
     return o.select("doc_id", T.humanize(lit("InvoiceNumber", "PONumber", "total", "SupplierTaxCode")).alias("label"), T.clean_value(lit(" : a   b;", "x - ", " ;:- ", "-tail")).alias("cleaned"), T.value_after_label(lit("No: a: b", "No", "No:", "No - x")).alias("after"))
 
 
@@ -235,8 +242,8 @@ def line_types(spark, sf):
  [lpad(CAST(supp AS VARCHAR), 10, '0'), 'Cong ty ' || supp, strftime(d, '%d/%m/%Y'), replace(format('{{:,}}', total), ',', '.') || ' VND', 'HD-' || doc_id, 'giao hang'][doc_id % 6 + 1] AS raw_value FROM inv""")
 def kvp_fields(spark, sf):
     inv = invoices(spark, sf)
-    keys = pick(I, *[F.lit(x) for x in ("MST", "Nhà cung cấp", "Ngày", "Tổng cộng", "Số HĐ", "Ghi chú")])
-    values = pick(I, code(F.col("supp")), F.concat(F.lit(": Cong ty "), F.col("supp").cast("string")), F.date_format("d", "dd/MM/yyyy"), F.concat(dotted(F.col("total")), F.lit(" VND")), F.concat(F.lit("HD-"), I.cast("string")), F.lit("giao hang;"))
+    keys = pick(_id(), *[F.lit(x) for x in ("MST", "Nhà cung cấp", "Ngày", "Tổng cộng", "Số HĐ", "Ghi chú")])
+    values = pick(_id(), code(F.col("supp")), F.concat(F.lit(": Cong ty "), F.col("supp").cast("string")), F.date_format("d", "dd/MM/yyyy"), F.concat(dotted(F.col("total")), F.lit(" VND")), F.concat(F.lit("HD-"), _id().cast("string")), F.lit("giao hang;"))
     pairs = inv.select("doc_id", F.lit(0).alias("pair_no"), keys.alias("key"), values.alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit(1).alias("page"))
     return X.resolve(X.from_pairs(pairs)).select("doc_id", "field_name", T.strip(F.col("raw_value")).alias("raw_value"))
 
@@ -277,7 +284,7 @@ def top_line(spark, sf):
 
 @query(f"""WITH {INV} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'USD' ELSE 'VND' END AS currency, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.78 ELSE 0.5 END AS DOUBLE) AS confidence FROM inv WHERE total >= 1000""")
 def default_currency(spark, sf):
-    each = invoices(spark, sf).where("total >= 1000").select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Tổng cộng: "), dotted(F.col("total")), F.when(I % 3 == 0, F.lit("\nUSD")).otherwise(F.lit(""))).alias("text"), F.lit(1.0).alias("confidence"))
+    each = invoices(spark, sf).where("total >= 1000").select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Tổng cộng: "), dotted(F.col("total")), F.when(_id() % 3 == 0, F.lit("\nUSD")).otherwise(F.lit(""))).alias("text"), F.lit(1.0).alias("confidence"))
     return X.extract(each).where("field_name = 'Currency'").select("doc_id", F.col("raw_value").alias("currency"), "confidence")
 
 
@@ -288,7 +295,7 @@ _TITLES = ("Mã đơn hàng 12", "NHÀ HÀNG Sen", "HÓA ĐƠN BÁN HÀNG", "Bi
  ['AppReceiptScreenshot', 'RestaurantBill', 'PosReceipt', 'PosReceipt', 'VatInvoice', 'CommercialInvoice', 'InternationalInvoice', 'Unknown', 'Unknown'][o_orderkey % 9 + 1] AS category,
  ['AppReceiptScreenshot', 'RestaurantBill', 'PosReceipt', 'PosReceipt', 'VatInvoice', 'CommercialInvoice', 'CommercialInvoice', 'Unknown', 'Unknown'][o_orderkey % 9 + 1] AS profile FROM orders""")
 def doc_type_cascade(spark, sf):
-    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).withColumn("text", pick(I, *[F.lit(x) for x in _TITLES]))
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).withColumn("text", pick(_id(), *[F.lit(x) for x in _TITLES]))
     kind = X.document_type(F.col("text"), T.search_text(F.col("text")))
     cat = W.category(F.col("document_type"), W.persisted_type(F.col("document_type")))
     return t.select("doc_id", kind.alias("document_type")).withColumn("category", cat).withColumn("profile", W.profile_of(F.col("category")))
@@ -343,8 +350,8 @@ def xml_bad_docs(spark, sf):
 def _claims(spark, sf):
     d = table(spark, sf, "documents").where("length(text) >= 60")
     cut = F.substring("text", 11, 30)
-    source = F.when(I % 5 == 0, F.concat(cut, F.lit("#~"))).otherwise(cut)
-    value = F.when(I % 7 == 0, None).when(I % 3 == 0, F.lit("2024-05-06")).otherwise(F.lit("không rõ"))
+    source = F.when(_id() % 5 == 0, F.concat(cut, F.lit("#~"))).otherwise(cut)
+    value = F.when(_id() % 7 == 0, None).when(_id() % 3 == 0, F.lit("2024-05-06")).otherwise(F.lit("không rõ"))
     return d.select("doc_id", F.lit("InvoiceDate").alias("field_name"), value.alias("value"), source.alias("source_text"), F.col("text").alias("full_text"))
 
 
@@ -357,7 +364,7 @@ def llm_gate(spark, sf):
 def llm_reconcile(spark, sf):
     row = lambda n, v: F.struct(F.lit(n).alias("field_name"), v.cast("string").alias("value"), F.lit(0.9).alias("confidence"))
     inv = invoices(spark, sf)
-    off = F.when(I % 4 == 0, 5).otherwise(1)
+    off = F.when(_id() % 4 == 0, 5).otherwise(1)
     f = inv.select("doc_id", F.inline(F.array(row("SubtotalAmount", F.col("sub")), row("VatAmount", F.col("vat")), row("TotalAmount", F.col("total") + off), row("Notes", F.lit("x")))))
     return G.reconciled(f).select("doc_id", "field_name", "confidence")
 
@@ -368,7 +375,7 @@ def llm_tax_lines(spark, sf):
     text = F.concat(F.lit("Tiền "), dotted(F.col("sub")), F.lit(" thuế "), dotted(F.col("vat")))
     row = lambda n, r, a, b: F.struct(F.lit(n).alias("line_no"), r.alias("rate"), a.alias("taxable"), b.alias("tax"))
     rate = F.concat(F.col("rate").cast("string"), F.lit("%"))
-    taxable = F.when(I % 3 == 0, F.lit("77.777.777.777")).otherwise(dotted(F.col("sub")))
+    taxable = F.when(_id() % 3 == 0, F.lit("77.777.777.777")).otherwise(dotted(F.col("sub")))
     lines = inv.select("doc_id", text.alias("full_text"), F.inline(F.array(row(0, rate, F.lit(None).cast("string"), F.lit("1")), row(1, rate, taxable, dotted(F.col("vat"))))))
     return G.tax_lines(lines).select("doc_id", "sort_order", "vat_rate", "taxable_amount")
 
@@ -377,7 +384,7 @@ def llm_tax_lines(spark, sf):
 def strategy_fall_through(spark, sf):
     row = lambda s, p, ok: F.struct(F.lit(s).alias("strategy"), F.lit(p).alias("priority"), ok.alias("success"), F.lit(s).alias("payload"))
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    a = o.select("doc_id", F.inline(F.array(row("ocr", 100, F.lit(True)), row("text", 50, F.lit(False)), row("xml", 0, I % 2 == 0))))
+    a = o.select("doc_id", F.inline(F.array(row("ocr", 100, F.lit(True)), row("text", 50, F.lit(False)), row("xml", 0, _id() % 2 == 0))))
     return G.first_success(a).select("doc_id", "strategy")
 
 
@@ -385,7 +392,7 @@ def strategy_fall_through(spark, sf):
 
 
 def _documents(inv):
-    return inv.select("doc_id", pick(I, F.lit("VatInvoice"), F.lit("Unknown")).alias("profile"))
+    return inv.select("doc_id", pick(_id(), F.lit("VatInvoice"), F.lit("Unknown")).alias("profile"))
 
 
 @query(f"""WITH {INV}, {EAV} SELECT inv.doc_id, k AS field_name, 'High' AS severity FROM inv, (SELECT unnest(['InvoiceNumber', 'InvoiceDate', 'SupplierName', 'SupplierTaxCode', 'TotalAmount']) AS k)
@@ -412,7 +419,7 @@ def validate_consistency(spark, sf):
 
 @query(f"""WITH {INV} SELECT doc_id, ['INVALID_TOTAL_AMOUNT', 'INVALID_TOTAL_AMOUNT', NULL][doc_id % 3 + 1] AS code FROM inv WHERE doc_id % 3 < 2""")
 def validate_total(spark, sf):
-    t = pick(I, F.lit("-5"), F.lit("không"), F.col("total").cast("string"))
+    t = pick(_id(), F.lit("-5"), F.lit("không"), F.col("total").cast("string"))
     f = invoices(spark, sf).select("doc_id", F.lit("TotalAmount").alias("field_name"), t.alias("raw_value"), F.lit(None).cast("string").alias("normalized_value"), F.lit(0.9).alias("confidence"))
     return W.totals(f).select("doc_id", "code")
 
@@ -518,7 +525,7 @@ def missing_ids(spark, sf):
 
 def _parties(spark, sf):
     inv = invoices(spark, sf)
-    docs = inv.select("doc_id", F.lit(1).alias("org_id"), F.when(I % 10 == 0, F.lit(5)).cast("long").alias("client_id"), F.concat(F.lit("MST "), code(F.col("supp") * 7)).alias("seller_tax_code"), code(F.col("cust")).alias("buyer_tax_code"))
+    docs = inv.select("doc_id", F.lit(1).alias("org_id"), F.when(_id() % 10 == 0, F.lit(5)).cast("long").alias("client_id"), F.concat(F.lit("MST "), code(F.col("supp") * 7)).alias("seller_tax_code"), code(F.col("cust")).alias("buyer_tax_code"))
     cl = table(spark, sf, "customer").select(F.col("c_custkey").alias("client_id"), F.lit(1).alias("org_id"), code(F.col("c_custkey")).alias("tax_code"), (F.col("c_custkey") % 4 != 0).alias("is_active"))
     return docs, cl
 
@@ -589,9 +596,9 @@ def accuracy_by_source(spark, sf):
 @query(f"""WITH {INV} SELECT doc_id, true AS match_InvoiceDate, doc_id % 3 <> 0 AS match_TotalAmount, CASE WHEN doc_id % 2 = 0 THEN true END AS match_SupplierName, round_even(100.0 * (1 + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / (2 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 2) AS accuracy FROM inv""")
 def ground_truth_matches(spark, sf):
     inv = invoices(spark, sf)
-    file = F.concat(F.lit("F"), I.cast("string"), F.lit(".PDF"))
-    res = inv.select("doc_id", file.alias("file"), F.date_format("d", "dd/MM/yyyy").alias("InvoiceDate"), (F.col("total") + F.when(I % 3 == 0, 1).otherwise(0)).cast("string").alias("TotalAmount"), F.concat(F.lit("CÔNG TY - "), F.col("supp").cast("string")).alias("SupplierName"))
-    truth = inv.select(F.lower(file).alias("file"), F.col("d").cast("string").alias("ExpectedInvoiceDate"), dotted(F.col("total")).alias("ExpectedTotalAmount"), F.when(I % 2 == 0, F.concat(F.lit("công ty "), F.col("supp").cast("string"))).alias("ExpectedSupplierName"))
+    file = F.concat(F.lit("F"), _id().cast("string"), F.lit(".PDF"))
+    res = inv.select("doc_id", file.alias("file"), F.date_format("d", "dd/MM/yyyy").alias("InvoiceDate"), (F.col("total") + F.when(_id() % 3 == 0, 1).otherwise(0)).cast("string").alias("TotalAmount"), F.concat(F.lit("CÔNG TY - "), F.col("supp").cast("string")).alias("SupplierName"))
+    truth = inv.select(F.lower(file).alias("file"), F.col("d").cast("string").alias("ExpectedInvoiceDate"), dotted(F.col("total")).alias("ExpectedTotalAmount"), F.when(_id() % 2 == 0, F.concat(F.lit("công ty "), F.col("supp").cast("string"))).alias("ExpectedSupplierName"))
     return S.summary(res, truth).select("doc_id", "match_InvoiceDate", "match_TotalAmount", "match_SupplierName", "accuracy")
 
 
@@ -617,7 +624,7 @@ FROM eav e FULL JOIN u ON e.doc_id = u.doc_id AND e.field_name = u.field_name"""
 def field_upsert(spark, sf):
     inv = invoices(spark, sf)
     f = eav(inv).withColumn("is_edited", F.lit(False)).withColumn("edited_at", F.lit(None).cast("timestamp"))
-    a = inv.where("doc_id % 2 = 0").select("doc_id", F.lit("InvoiceNumber").alias("field_name"), F.when(I % 4 == 0, F.concat(F.lit(" HD-"), I.cast("string"), F.lit(" "))).otherwise("NEW").alias("value"))
+    a = inv.where("doc_id % 2 = 0").select("doc_id", F.lit("InvoiceNumber").alias("field_name"), F.when(_id() % 4 == 0, F.concat(F.lit(" HD-"), _id().cast("string"), F.lit(" "))).otherwise("NEW").alias("value"))
     b = inv.where("doc_id % 5 = 0").select("doc_id", F.lit("BuyerName").alias("field_name"), F.lit("B").alias("value"))
     out = E.upsert_fields(f, a.unionByName(b), F.lit("2024-01-01").cast("timestamp"))
     return out.select("doc_id", "field_name", F.col("normalized_value").alias("value"), "is_edited")
@@ -634,7 +641,7 @@ def cell_patch(spark, sf):
 @query("""SELECT o_orderkey AS doc_id, ['Uploaded', 'Processing', 'Processed', 'Failed', 'Reviewed'][o_orderkey % 5 + 1] AS status FROM orders""")
 def status_transitions(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    now, event = pick(I, *[F.lit(x) for x in ("Failed", "Uploaded", "Processing", "Processing", "Processed")]), pick(I, *[F.lit(x) for x in ("queued", "started", "succeeded", "failed", "edited")])
+    now, event = pick(_id(), *[F.lit(x) for x in ("Failed", "Uploaded", "Processing", "Processing", "Processed")]), pick(_id(), *[F.lit(x) for x in ("queued", "started", "succeeded", "failed", "edited")])
     return o.select("doc_id", E.next_status(now, event).alias("status"))
 
 
@@ -643,5 +650,5 @@ def upload_checks(spark, sf):
     from ..sources.files import upload_error
 
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    lit = lambda *xs: pick(I, *[F.lit(x) for x in xs])
+    lit = lambda *xs: pick(_id(), *[F.lit(x) for x in xs])
     return o.select("doc_id", upload_error(lit("a.pdf", "a.exe", "b.xml", "c.png", "d.jpg"), lit("application/pdf", "application/pdf", "text/xml", "image/png", "text/html"), lit(10, 10, 6000000, 0, 10)).alias("error"))
