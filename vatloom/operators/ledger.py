@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def balances(ledger: DataFrame) -> DataFrame:
@@ -28,25 +32,43 @@ def gate(requests: DataFrame, daily_cap: int = 0) -> DataFrame:
 
     Top-ups and refunds always count. A consumption counts if the balance covers it and, with a cap, the
     day's consumption stays within it; a refused one changes nothing. The state depends on every earlier
-    decision, so an organization's requests are folded one by one inside its row.
+    decision, so an organization's requests pass one task in order, and only its state is carried from
+    batch to batch: memory doesn't grow with an organization.
     """
-    r = F.struct(F.col("ts"), F.col("seq"), F.col("type"), F.col("amount").cast("bigint").alias("amount"))
-    grouped = requests.groupBy("org_id").agg(F.sort_array(F.collect_list(r)).alias("rs"))
-    done = "array<struct<seq:bigint,accepted:boolean,balance:bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("balance"), F.lit(0).cast("bigint").alias("used"), F.lit(None).cast("date").alias("day"), F.array().cast(done).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        day = F.to_date(x["ts"])
-        used = F.when(acc["day"] == day, acc["used"]).otherwise(F.lit(0).cast("bigint"))
-        spend = x["type"] == "Consume"
-        within = F.lit(True) if daily_cap <= 0 else used + x["amount"] <= daily_cap
-        ok = ~spend | ((acc["balance"] >= x["amount"]) & within)
-        after = F.when(~ok, acc["balance"]).when(spend, acc["balance"] - x["amount"]).otherwise(acc["balance"] + x["amount"])
-        row = F.struct(x["seq"].cast("bigint").alias("seq"), ok.alias("accepted"), after.alias("balance"))
-        return F.struct(after.alias("balance"), F.when(ok & spend, used + x["amount"]).otherwise(used).alias("used"), day.alias("day"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = grouped.select("org_id", F.explode(F.aggregate("rs", zero, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select("org_id", "x.seq", "x.accepted", "x.balance")
+    org = requests.schema["org_id"].dataType
+    amount, day = F.col("amount").cast("bigint").alias("amount"), F.unix_date(F.to_date("ts")).alias("day")
+    ordered = requests.select("org_id", "ts", F.col("seq").cast("bigint").alias("seq"), "type", amount, day).repartition("org_id").sortWithinPartitions("org_id", "ts", "seq", "type", "amount")
+    rows = ordered.select("org_id", "seq", "type", "amount", "day")
+    return rows.mapInArrow(_fold(daily_cap), T.StructType([T.StructField("org_id", org), *T.StructType.fromDDL("seq bigint, accepted boolean, balance bigint").fields]))
+
+
+def _fold(daily_cap: int):
+    """Decides rows that come sorted by organization and time; nulls count as in SQL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, balance, used, today = object(), 0, 0, None
+        for b in batches:
+            accepted, after = [], []
+            for org, kind, amount, day in zip(*(b.column(c).to_pylist() for c in ("org_id", "type", "amount", "day"))):
+                if org != last:
+                    last, balance, used, today = org, 0, 0, None
+                used = used if day is not None and day == today else 0
+                today = day
+                unknown = balance is None or amount is None
+                within = daily_cap <= 0 or (None if amount is None else used + amount <= daily_cap)
+                ok = False if within is False or (not unknown and balance < amount) else None if unknown or within is None else True
+                if kind == "Consume":
+                    if ok is not False:
+                        balance = None if unknown else balance - amount
+                    used += amount if ok else 0
+                else:
+                    ok = True if kind is not None else ok or None
+                    balance = None if unknown else balance + amount
+                accepted.append(ok)
+                after.append(balance)
+            yield pa.RecordBatch.from_arrays([b.column("org_id"), b.column("seq"), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["org_id", "seq", "accepted", "balance"])
+
+    return run
 
 
 def refunds(documents: DataFrame) -> DataFrame:
