@@ -8,13 +8,15 @@ strings needs all occurrences of a string in one place, without a suffix array o
    substrings (the leftmost, if equal) is the window's anchor: equal windows have equal anchors at equal
    places. Each chunk sends its distinct anchor hashes, and learns which occur in several documents.
 3. For each such anchor a chunk sends its distinct contexts (the bytes of the windows that have this
-   anchor) with the smallest document of each. Contexts of an anchor meet in one task, so all
+   anchor) with the smallest document of each. Contexts of an anchor pass one task, so all
    occurrences of a repeated string do; a string that a third of all documents share is one row a chunk.
 4. There, contexts of an anchor that are all equal are settled at once. The others are joined in one
    text of about a megabyte, and its Burrows-Wheeler transform is extended backwards breadth first:
    intervals of all strings of length 0, 1, 2, ... give the positions where neighbouring suffixes share
    that many bytes, by increasing value, each found once and then no longer followed, until length 50.
    What is left are the intervals of strings of 50 bytes and more; each gets its smallest document.
+   An anchor whose contexts exceed ``group_bytes`` together is not held: its windows go on as rows, are
+   dealt out by their 50 bytes and sorted by document, so the first of equal ones has the smallest.
 5. Chunks take back, for each context, the smallest document of its windows, and remove.
 
 Anchor hashes are truncated to 48 bits; equal hashes of different substrings only bring contexts
@@ -42,8 +44,10 @@ from .textvec import _B, _B_INV, _BYTE, _power, mix
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES, PIECE_BYTES, TEXT_BYTES = 4 << 20, 1 << 20, 1 << 20
-REPEATED, SETTLED, COPY = 0, 1, 2
+GROUP_BYTES = 4 << 20
+REPEATED, SETTLED, COPY, WINDOW = 0, 1, 2, 3
 NOTES = "chunk long, kind int, idx long, data binary"
+OPEN = NOTES + ", at int, doc long, several boolean"
 RUN = np.dtype([("n", "<i4"), ("doc", "<i8")])
 _POS = np.uint64((1 << 21) - 1)
 
@@ -315,35 +319,103 @@ def _settled(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows.column("chunk").combine_chunks().take(take), pa.array(np.full(len(need), SETTLED, np.int32)), rows.column("idx").combine_chunks().take(take), data], names=["chunk", "kind", "idx", "data"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor hash; gives each context the smallest documents of its windows."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+def _answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The answers for whole anchors, in the columns of OPEN."""
+    b = _settled(pa.Table.from_batches(held))
+    none = [pa.nulls(len(b), t) for t in (pa.int32(), pa.int64(), pa.bool_())]
+    return pa.RecordBatch.from_arrays([*b.columns, *none], names=[*b.schema.names, "at", "doc", "several"])
+
+
+def _windows(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The windows of contexts as rows, some thousand contexts at a time."""
+    for start in range(0, len(b), 4096):
+        part = b.slice(start, 4096)
+        contexts = part.column("context").to_pylist()
+        n = np.array([len(c) - LENGTH + 1 for c in contexts], np.int64)
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        data = pa.array([c[i : i + LENGTH] for c in contexts for i in range(len(c) - LENGTH + 1)], pa.binary())
+        chunk, idx, doc, several = (part.column(c).take(row) for c in ("chunk", "idx", "doc", "several"))
+        yield pa.RecordBatch.from_arrays([chunk, pa.array(np.full(len(row), WINDOW, np.int32)), idx, data, pa.array(at.astype(np.int32)), doc, several], names=["chunk", "kind", "idx", "data", "at", "doc", "several"])
+
+
+def _settle(group_bytes: int):
+    """Rows come sorted by anchor hash; gives each context the smallest documents of its windows, and the windows of anchors above ``group_bytes`` as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[pa.RecordBatch] = []  # whole anchors
+        last: list[pa.RecordBatch] = []  # the anchor that may go on
+        size = last_size = 0
+        anchor, wide = None, False
+        for b in batches:
+            h = b.column("h").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(b) else []
+            if len(b) and h[0] != anchor:
+                done, size, last, last_size, wide = [*done, *last], size + last_size, [], 0, False
+            # all anchors of a batch but its first and last begin and end in it
+            borders = sorted({0, *cut[1:2], *cut[-1:], len(b)})
+            for k, (x, y) in enumerate(zip(borders[:-1], borders[1:])):
+                if k:
+                    done, size, last, last_size, wide = [*done, *last], size + last_size, [], 0, False
+                if size > TEXT_BYTES:
+                    yield _answers(done)
+                    done, size = [], 0
+                part = b.slice(x, y - x)
+                last.append(part)
+                last_size += pc.sum(pc.binary_length(part.column("context"))).as_py()
+                if wide or (last_size > group_bytes and h[x] == h[y - 1]):
+                    wide = True
+                    for p in last:
+                        yield from _windows(p)
+                    last, last_size = [], 0
+            if len(b):
+                anchor = h[-1]
+        if done or last:
+            yield _answers([*done, *last])
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows come sorted by their bytes and document; each later one gets the first document. Nothing but the present window is held."""
+    now, low = None, 0
     for b in batches:
-        if not len(b):
-            continue
-        h = b.column("h").to_numpy()
-        if held and size > TEXT_BYTES:
-            border = int(np.searchsorted(h, held[-1].column("h")[-1].as_py(), side="right"))  # the rest of the last anchor
-            if border < len(b):
-                yield _settled(pa.Table.from_batches([*held, b.slice(0, border)]))
-                held, size, b = [], 0, b.slice(border)
-        held.append(b)
-        size += pc.sum(pc.binary_length(b.column("context"))).as_py()
-    if held:
-        yield _settled(pa.Table.from_batches(held))
+        kind = b.column("kind").to_numpy()
+        settled = b.filter(pa.array(kind != WINDOW))
+        if len(settled):
+            yield settled.select(["chunk", "kind", "idx", "data"])
+        rows = b.filter(pa.array(kind == WINDOW))
+        lows = []
+        docs = rows.column("doc").to_pylist()
+        for window, doc in zip(rows.column("data").to_pylist(), docs):
+            if window != now:
+                now, low = window, doc
+            lows.append(low)
+        least = np.array(lows, np.int64)
+        need = np.flatnonzero((least < np.array(docs, np.int64)) | rows.column("several").to_numpy(zero_copy_only=False).astype(bool)) if len(rows) else []
+        if len(need):
+            runs = np.empty((len(need), 2), RUN)
+            runs["n"][:, 0], runs["doc"][:, 0] = rows.column("at").to_numpy()[need], np.iinfo(np.int64).max  # what stands before the window
+            runs["n"][:, 1], runs["doc"][:, 1] = 1, least[need]
+            take = pa.array(need)
+            yield pa.RecordBatch.from_arrays([rows.column("chunk").take(take), pa.array(np.full(len(need), SETTLED, np.int32)), rows.column("idx").take(take), pa.array([r.tobytes() for r in runs], pa.binary())], names=["chunk", "kind", "idx", "data"])
 
 
 def _remove(docs: pa.Table, notes: pa.Table) -> pa.Table:
     chunk = Chunk(docs, notes)
-    settled = {i: np.frombuffer(x, RUN).tolist() for i, x, k in zip(*(notes.column(c).to_pylist() for c in ("idx", "data", "kind"))) if k == SETTLED}
+    settled: dict[int, list[list[tuple[int, int]]]] = {}
+    for i, x, k in zip(*(notes.column(c).to_pylist() for c in ("idx", "data", "kind"))):
+        if k == SETTLED:
+            settled.setdefault(i, []).append(np.frombuffer(x, RUN).tolist())
     gone: dict[int, list[tuple[int, int]]] = {}
     for _, _, i, row, at in chunk.contexts() if settled else ():
         doc = chunk.rows[row][0]
-        for n, low in settled.get(i, ()):
-            if low < doc:
-                gone.setdefault(row, []).append((at, at + n - 1 + LENGTH))
-            at += n
+        for runs in settled.get(i, ()):
+            place = at
+            for n, low in runs:
+                if low < doc:
+                    gone.setdefault(row, []).append((place, place + n - 1 + LENGTH))
+                place += n
     ids, sizes, removed, spans, hashes, kept = [], [], [], [], [], []
     for row, (doc, text) in enumerate(chunk.rows):
         cuts: list[list[int]] = []
@@ -369,7 +441,7 @@ def _remove(docs: pa.Table, notes: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(hashes, pa.string()), "kept": pa.array(kept, pa.binary())})
 
 
-def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -393,7 +465,9 @@ def deduplicate(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeated = anchors.groupBy("bucket").applyInArrow(_repeated, NOTES)
     known = copies.unionByName(repeated)
     contexts = with_notes(known).applyInArrow(_send_contexts, "h long, chunk long, idx long, context binary, doc long, several boolean")
-    settled = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_settle, NOTES)
+    settled = contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_settle(group_bytes), OPEN)
+    key = F.when(F.col("kind") == WINDOW, F.xxhash64("data")).otherwise(F.xxhash64("chunk", "idx"))
+    settled = settled.withColumn("key", key).repartition(parts, "key").sortWithinPartitions(F.when(F.col("kind") == WINDOW, F.col("data")), "doc").drop("key").mapInArrow(_joined, NOTES)
     return with_notes(known.unionByName(settled)).applyInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
