@@ -97,9 +97,9 @@ def test_emit_keeps_columns(spark):
 
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (None, "u", "<p>x"), (5, "u", "<div <p <<< &amp; &#x; ]]>")], "page_id long, url string, html string")
-    out = pages.select("page_id", html_text.extract("html").alias("text")).collect()
+    out = pages.select("page_id", html_text.extractor(spark)("html").alias("text")).collect()
     assert len(out) == 5 and all(r["text"] is not None for r in out)
-    assert pages.limit(0).select(html_text.extract("html").alias("text")).count() == 0
+    assert pages.limit(0).select(html_text.extractor(spark)("html").alias("text")).count() == 0
 
 
 def test_preference(spark):
