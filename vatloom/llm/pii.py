@@ -100,49 +100,91 @@ def _valid(kind: str, hit: Column) -> Column:
     }[kind]
 
 
-_HIT = "array<struct<start:int,end:int,hit:string,before:string>>"
+_HIT = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
 
-def _hits(text: Column, pattern: str) -> Column:
+def _let(value: Column, of) -> Column:
+    """``of`` of a value that is computed once, however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _fold(xs: Column, zero: Column, total, combine, empty: Column, step, context=None) -> Column:
+    """All that ``step`` (accumulator of pos and out, element) puts in out over an array, in order.
+
+    With ``context`` (block, pos at its start), ``step`` takes its value and that pos first and returns the function.
+
+    Growing an array by one element copies it, so the array is cut in blocks of about the square root of its size:
+    ``total`` and ``combine`` give the pos at which each block starts, and the blocks' results are joined once.
+    """
+
+    def cut(a: Column) -> Column:
+        width = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(a))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), width), lambda s: F.slice(a, s, width))
+
+    def over(block: Column, pos: Column) -> Column:
+        run = lambda f: F.aggregate(block, F.struct(pos.alias("pos"), empty.alias("out")), f, lambda acc: acc["out"])
+        return run(step) if context is None else _let(context(block, pos), lambda c: run(step(c, pos)))
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(zero), lambda acc, b: F.concat(acc, F.array(combine(F.element_at(acc, -1), total(b)))))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), over))
+
+    return _let(xs, lambda a: _let(cut(a), joined))
+
+
+#: What a text must contain for a pattern of the kind to match; looking for it is much cheaper than the pattern.
+NEEDS = {"email": r"@|[(\[](?:at|AT)[)\]]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+
+
+def _hits(text: Column, kind: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches with code point offsets, from what lies between the matches."""
     empty = F.array().cast(_HIT)
-    pairs = F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("h")))
+
+    def paired(p: Column) -> Column:
+        gaps, hits = p["gaps"], p["hits"]
+        n = F.size(hits)
+        following = F.zip_with(F.slice(gaps, F.lit(2), n), F.slice(hits, F.lit(2), n), lambda g, h: F.left(F.concat(g, F.coalesce(h, F.lit(""))), F.lit(1)))
+        both = F.zip_with(F.slice(gaps, F.lit(1), n), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"), F.right(g, F.lit(32)).alias("before")))
+        return F.zip_with(both, following, lambda x, y: F.struct(x["g"].alias("g"), x["h"].alias("h"), x["before"].alias("before"), y.alias("after")))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["p"])
+        start = acc["pos"] + x["g"]
         end = start + F.length(x["h"])
-        hit = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("hit"), F.right(x["p"], F.lit(32)).alias("before"))
-        return F.when(x["h"].isNull(), acc).otherwise(F.struct(end.alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out")))
+        hit = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    length = lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x["g"] + F.length(x["h"]))
+    parts = F.struct(F.split(text, pattern).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    found = _fold(_let(parts, paired), F.lit(0), length, lambda a, b: a + b, empty, step)
+    return F.when(text.rlike(NEEDS[kind]) & text.rlike(pattern), found).otherwise(empty)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, kind number, end), by start and then kind."""
+def base_spans(text: Column, ips: Column | None = None) -> Column:
+    """Array of (start, kind number, end), by start and then kind. ``ips``: the matches of the ip pattern, if they are known."""
 
     def of(i: int, kind: str) -> Column:
-        valid = F.filter(_hits(text, BASE[kind]), lambda h: _valid(kind, h["hit"]))
+        hits = ips if kind == "ip" and ips is not None else _hits(text, kind, BASE[kind])
+        valid = F.filter(hits, lambda h: _valid(kind, h["hit"]))
         return F.transform(valid, lambda h: F.struct(h["start"].alias("start"), F.lit(i).alias("kind"), h["end"].alias("end")))
 
-    return F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
+    return F.sort_array(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
 
 
-def _votes(kind: str, i: int, h: Column, text: Column) -> Column:
+def _votes(kind: str, i: int, h: Column) -> Column:
     hit, n = h["hit"], F.length(_digits(h["hit"]))
     yes = lambda c, other: F.when(c, F.lit(1)).otherwise(F.lit(other))
     check = {"email": hit.rlike(r"(?:\.|[)\]]\x20?)[A-Za-z]{2,}$"), "ip": _valid("ip", hit), "card": luhn(_digits(hit)), "phone": n.between(10, 15)}[kind]
-    after = F.substr(text, h["end"] + 1, F.lit(1))
-    touched = F.right(h["before"], F.lit(1)).rlike("[A-Za-z0-9_/=]") | after.rlike("[A-Za-z0-9_/=]")
+    touched = F.right(h["before"], F.lit(1)).rlike("[A-Za-z0-9_/=]") | h["after"].rlike("[A-Za-z0-9_/=]")
     votes = (yes(hit.rlike(f"^(?:{BASE[kind]})$") & _valid(kind, hit), -1), yes(check, -1), yes(hit.rlike(GAZETTEER[kind]), 0), yes(F.lower(h["before"]).rlike(CUES[kind]), 0), yes(~touched, -1))
     return F.struct(F.lit(i).alias("kind"), h["start"].alias("start"), h["end"].alias("end"), F.array(*votes).alias("votes"))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (kind number, start, end, votes) of every match of the wide patterns."""
+def candidates(text: Column, ips: Column | None = None) -> Column:
+    """Array of (kind number, start, end, votes) of every match of the wide patterns. ``ips`` as in ``base_spans``."""
 
     def of(i: int, kind: str) -> Column:
-        return F.transform(_hits(text, WIDE[kind]), lambda h: _votes(kind, i, h, text))
+        hits = ips if kind == "ip" and ips is not None else _hits(text, kind, WIDE[kind])
+        return F.transform(hits, lambda h: _votes(kind, i, h))
 
     return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
@@ -203,17 +245,33 @@ def _score(c: Column, models: list[list[float]]) -> Column:
 
 
 def _all_spans(base: Column, cands: Column, models: list[list[float]], threshold: float) -> Column:
-    def new(c: Column) -> Column:
-        clash = F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    """The base spans and the candidates that the classifier adds. Base spans are looked through in blocks, so that a candidate costs the square root of their number."""
+
+    def blocks(b: Column) -> Column:
+        width = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(b))).cast("int"))
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1)), width), lambda s: F.slice(b, s, width))
+        low, high = (lambda x: F.array_min(F.transform(x, lambda y: y["start"]))), (lambda x: F.array_max(F.transform(x, lambda y: y["end"])))
+        return F.transform(cut, lambda x: F.struct(low(x).alias("start"), high(x).alias("end"), x.alias("spans")))
+
+    def meets(x: Column, c: Column) -> Column:
+        return (x["start"] < c["end"]) & (c["start"] < x["end"])
+
+    def new(c: Column, cut: Column) -> Column:
+        clash = F.exists(cut, lambda x: F.coalesce(meets(x, c), F.lit(False)) & F.exists(x["spans"], lambda y: (y["kind"] == c["kind"]) & meets(y, c)))
         return (_score(c, models) >= threshold) & ~clash
 
-    more = F.transform(F.filter(cands, new), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
-    return F.array_sort(F.concat(base, more))
+    more = _let(blocks(base), lambda cut: F.filter(cands, lambda c: new(c, cut)))
+    return F.sort_array(F.concat(base, F.transform(more, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _marked(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    """``docs`` (of which only the id is kept if ``id_col`` is given) with base spans and candidates, in a table."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return staged(docs.select(F.col(id_col).alias("_pii_id"), base_spans(text).alias("_pii_base"), candidates(text).alias("_pii_cands")), "pii-marks")
+    kept = [F.col(id_col).alias("_pii_id")] if id_col else [F.col(c) for c in docs.columns]
+    with_ips = docs.select(*kept, text.alias("_pii_text"), _hits(text, "ip", BASE["ip"]).alias("_pii_ips"))
+    ips = F.col("_pii_ips")
+    marks = with_ips.withColumns({"_pii_base": base_spans(F.col("_pii_text"), ips), "_pii_cands": candidates(F.col("_pii_text"), ips)})
+    return staged(marks.drop("_pii_text", "_pii_ips"), "pii-marks")
 
 
 def learn(marked: DataFrame) -> list[list[float]]:
@@ -236,18 +294,27 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, t
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by its kind in square brackets; other columns as they are. A null text stays null."""
-    models = learn(_marked(docs, id_col, text_col))
+    marked = _marked(docs, None, text_col)
+    models = learn(marked)
     text = F.col(text_col)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    last = lambda b: F.array_max(F.transform(b, lambda s: s["end"]))
+
+    # what a block of spans covers is cut from the text once, and the gaps from that
+    def covered(block: Column, pos: Column) -> Column:
+        return F.substr(text, pos + 1, F.greatest(last(block) - pos, F.lit(0)))
+
+    def step(piece: Column, pos: Column):
+        def one(acc: Column, s: Column) -> Column:
+            gap = F.substr(piece, acc["pos"] - pos + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
+            mark = F.when(s["start"] >= acc["pos"], F.element_at(names, s["kind"] + 1)).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["pos"], F.element_at(names, s["kind"] + 1)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], F.array(gap, mark)).alias("out"))
+        return one
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(F.col("_pii_spans"), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["pos"] + 1, F.length(text))))
-    marked = docs.withColumns({"_pii_base": base_spans(F.coalesce(text, F.lit(""))), "_pii_cands": candidates(F.coalesce(text, F.lit("")))})
+    empty = F.array().cast("array<string>")
+    front = _fold(F.col("_pii_spans"), F.lit(0), last, lambda a, b: F.greatest(a, b), empty, step, covered)
+    clean = F.concat(F.array_join(front, ""), F.substr(text, last(F.col("_pii_spans")) + 1, F.length(text)))
     spans = marked.withColumn("_pii_spans", _all_spans(F.col("_pii_base"), F.col("_pii_cands"), models, threshold))
     out = spans.withColumn(text_col, F.when(F.size("_pii_spans") > 0, clean).otherwise(text))
     return out.select(*docs.columns)
