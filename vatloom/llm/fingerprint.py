@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, staged, table
 
-CHUNKS, LANES = 8, 8
+CHUNKS, LANES = 32, 2
 SAMPLES = CHUNKS * LANES
 
 
@@ -52,9 +52,10 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
 def _sample(h: Column, number: Column, logs: list[Column]) -> list[Column]:
     """The packed sample of a word for each log weight (null where the word is absent)."""
     one, two = F.xxhash64(h, number), F.xxhash64(h, number + F.lit(1_000_003))
-    r = -F.ln(_uniform(one, 0, 24) * _uniform(one, 24, 24))
+    ln = lambda x: F.coalesce(F.ln(x), F.lit(0.0))  # noqa: E731  never null here, which saves the checks that follow
+    r = -ln(_uniform(one, 0, 24) * _uniform(one, 24, 24))
     beta = _uniform(one, 48, 15)
-    log_c = F.ln(-F.ln(_uniform(two, 0, 31) * _uniform(two, 31, 31)))
+    log_c = ln(-ln(_uniform(two, 0, 31) * _uniform(two, 31, 31)))
     out = []
     for log_w in logs:
         t = F.floor(log_w / r + beta)
@@ -99,8 +100,9 @@ def shown(a: Column) -> Column:
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     # one exchange deals the texts out by (k, nul); everything that needs a text reads that exchange
+    # rows without an id are spread by their text
     ident = F.col(id_col)
-    docs = documents.select(F.coalesce(ident, F.lit(0).cast("long")).alias("k"), ident.isNull().alias("nul"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = documents.select(F.coalesce(ident, F.xxhash64(text_col)).alias("k"), ident.isNull().alias("nul"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sizes = staged(docs.where("NOT nul").groupBy(F.col("k").alias("doc_id")).agg(F.max(F.length("text")).alias("most")), "fp-sizes")
     after = successors(sizes)
     wanted = after.join(sizes, "doc_id").select(F.col("next_id").alias("k"), F.lit(False).alias("nul"), F.col("doc_id").alias("previous"), F.floor(F.col("most") / 4).cast("int").alias("q"))
