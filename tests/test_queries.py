@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF, SF_SMALL, same_rows
+from conftest import SF, same_rows
 
 from vatloom.plans import registry
 
@@ -17,21 +17,6 @@ def test_every_query_has_sql_or_a_test_here():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"line_clustering"}
 
 
-def test_line_clustering_brute_force(spark):
-    """Words of a page go down the page; a word joins the line while it is near the line's first word."""
-    rows = registry.QUERIES["line_clustering"](spark, SF_SMALL).collect()
-    assert rows
-    texts = {}
-    for r in rows:
-        texts.setdefault(r["doc_id"], []).append(r["text"])
-    words = {}
-    for r in spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect():
-        words.setdefault(r[0], []).append(str(r[1]))
-    assert set(texts) == set(words)
-    for doc, lines in texts.items():
-        assert sorted(w for line in lines for w in line.split()) == sorted(words[doc])
-
-
 def test_entry(spark):
     import __spark_entry__
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textnorm import blank, filled, first_match, last_match, squeeze, strip, strip_marks
+from .textnorm import bind, blank, filled, first_match, last_match, squeeze, strip, strip_marks
 
 DECIMAL = "decimal(38,10)"
 
@@ -39,7 +39,7 @@ def _grouped(cleaned: Column, plain: Column, simple: bool = False) -> Column:
 
 def _money(c: Column, pattern: str, symbols: str) -> Column:
     cleaned = squeeze(F.regexp_replace(last_match(c, pattern), symbols, " "))
-    return _grouped(cleaned, F.regexp_replace(cleaned, "[., ]", ""))
+    return bind(cleaned, lambda x: _grouped(x, F.regexp_replace(x, "[., ]", "")))
 
 
 def money(c: Column) -> Column:
@@ -54,12 +54,15 @@ def money_signed(c: Column) -> Column:
 
 def cell_number(c: Column) -> Column:
     """The first number of a table cell; 10.00 is a decimal here, and blanks between groups can't be read."""
-    hit = first_match(c, CELL_NUMBER)
-    return _grouped(hit, F.regexp_replace(hit, "[.,]", ""), simple=True)
+    return bind(first_match(c, CELL_NUMBER), lambda x: _grouped(x, F.regexp_replace(x, "[.,]", ""), simple=True))
 
 
 def cell_currency(c: Column) -> Column:
     """ISO code in a cell, else by symbol."""
+    return bind(c, _symbol)
+
+
+def _symbol(c: Column) -> Column:
     lower = F.lower(c)
     return (
         F.when(c.rlike(CURRENCY_CODE), F.upper(first_match(c, CURRENCY_CODE)))
@@ -76,32 +79,33 @@ def _date(y: Column, m: Column, d: Column) -> Column:
 
 def _year(y: Column) -> Column:
     """Two digits: 00-49 are 2000 on, 50-99 are 1950 on."""
-    return F.when(F.length(y) == 2, F.when(y < "50", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))).otherwise(y)
-
-
-def _named_month(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit(None).cast("string")
-    for i, month in enumerate(MONTHS.split(), 1):
-        out = F.when((low == month) | (low == month[:3]), F.lit(str(i))).otherwise(out)
-    return out
-
-
-def _parse_date(x: Column) -> Column:
-    g = lambda p, *groups: [F.when(x.rlike(p), first_match(x, p, i)) for i in groups]
-    full = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$"
-    d, m, y = g(full, 1, 3, 4)
-    iso = g(r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", 1, 2, 3)
-    short = g(r"^(\d{1,2})/(\d{1,2})/(\d{2})$", 1, 2, 3)
-    words = g(WORD_DATE, 1, 2, 3)
-    other = g(r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{4})$", 1, 2, 3)
-    named = g(r"^(\d{1,2})[-\s]([A-Za-z]{3,9})[-\s](\d{2}|\d{4})$", 1, 2, 3)
-    first = g(r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})$", 1, 2, 3)
-    return F.coalesce(
-        _date(y, m, d), _date(*iso), _date(_year(short[2]), short[1], short[0]), _date(words[2], words[1], words[0]),
-        # what is left is read month first
-        _date(_year(other[2]), other[0], other[1]), _date(_year(named[2]), _named_month(named[1]), named[0]), _date(first[2], _named_month(first[0]), first[1]),
-    )
+    return F.when(F.length(y) == 2, F.concat(F.when(y < "50", F.lit("20")).otherwise(F.lit("19")), y)).otherwise(y)
+
+
+def _month(m: Column) -> Column:
+    """A month's number; English names, whole or their first three letters."""
+    names = F.create_map(*[F.lit(x) for i, month in enumerate(MONTHS.split(), 1) for name in dict.fromkeys((month, month[:3])) for x in (name, str(i))])
+    return F.when(m.rlike(r"^\d+$"), m).otherwise(F.try_element_at(names, F.lower(m)))
+
+
+# The shapes of a date in the order in which they are tried, and the groups that are its year, month and day.
+SHAPES = (
+    (r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})$", (4, 3, 1)),
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{2})$", (3, 2, 1)),
+    (WORD_DATE, (3, 2, 1)),
+    # what is left is read month first
+    (r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{2}|\d{4})$", (3, 1, 2)),
+    (r"^(\d{1,2})[-\s]([A-Za-z]{3,9})[-\s](\d{2}|\d{4})$", (3, 2, 1)),
+    (r"^([A-Za-z]{3,9})\s+(\d{1,2}),?\s+(\d{4})$", (3, 1, 2)),
+)
+
+
+def _parse_date(c: Column) -> Column:
+    def read(x: Column) -> Column:
+        return F.coalesce(*[F.when(x.rlike(p), bind(F.struct(*[F.regexp_extract(x, p, i).alias(n) for n, i in zip("ymd", groups)]), lambda g: _date(_year(g["y"]), _month(g["m"]), g["d"]))) for p, groups in SHAPES])
+
+    return bind(c, read)
 
 
 def date_loose(c: Column) -> Column:
@@ -122,15 +126,22 @@ def tax_code(c: Column) -> Column:
 
 def currency_code(c: Column) -> Column:
     """VND by any of its marks, else null."""
+    return bind(c, _dong)
+
+
+def _dong(c: Column) -> Column:
     plain = F.upper(strip_marks(c))
     return F.when(~blank(c) & (plain.contains("VND") | plain.contains("DONG") | c.rlike("(?iu)VNĐ|[₫đ]")), F.lit("VND"))
 
 
 def vat_rate(c: Column) -> Column:
     """KCT, KKKNT, or one of the four rates."""
-    plain = F.upper(strip_marks(c))
-    value = _number(F.regexp_replace(first_match(c, RATE, 1), ",", "."))
-    rate = F.when(value == F.floor(value), F.concat(value.cast("bigint").cast("string"), F.lit("%")))
+    value = lambda x: _number(F.regexp_replace(first_match(x, RATE, 1), ",", "."))
+    whole = lambda v: F.when(v == F.floor(v), F.concat(v.cast("bigint").cast("string"), F.lit("%")))
+    return bind(c, lambda x: bind(F.upper(strip_marks(x)), lambda plain: bind(bind(value(x), whole), lambda rate: _rate(x, plain, rate))))
+
+
+def _rate(c: Column, plain: Column, rate: Column) -> Column:
     return (
         F.when(blank(c), None)
         .when(plain.contains("KHONG CHIU THUE") | plain.contains("KCT"), F.lit("KCT"))

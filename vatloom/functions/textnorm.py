@@ -21,6 +21,11 @@ def _accent_map() -> dict[str, str]:
 ACCENTS = _accent_map()
 
 
+def bind(value: Column, of) -> Column:
+    """``of`` of a value that is computed once, however often ``of`` uses it: keeps expression trees and generated code small."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space to single blanks, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
@@ -38,7 +43,7 @@ def blank(c: Column) -> Column:
 
 def filled(c: Column) -> Column:
     """The value, or null where it is blank."""
-    return F.when(~blank(c), c)
+    return bind(c, lambda x: F.when(strip(x) != "", x))
 
 
 def strip_marks(c: Column, d: str = "keep") -> Column:
@@ -70,17 +75,21 @@ def slug(c: Column) -> Column:
 
 def contains_any(c: Column, keywords: list[str] | tuple[str, ...]) -> Column:
     """Whether any keyword is a substring."""
-    found = F.lit(False)
-    for k in keywords:
-        found = found | c.contains(k)
-    return found
+
+    def found(x: Column) -> Column:
+        out = F.lit(False)
+        for k in keywords:
+            out = out | x.contains(k)
+        return out
+
+    return bind(c, found)
 
 
 def value_after_label(c: Column) -> Column:
     """Trimmed text after the first colon, or else the first hyphen; null without one or if nothing follows it."""
-    colon, dash = F.instr(c, ":"), F.instr(c, "-")
-    at = F.when(colon > 0, colon).otherwise(dash)
-    return F.when((at > 0) & (at < F.length(c)), strip(F.substr(c, at + 1, F.length(c))))
+    at = lambda x: F.when(F.instr(x, ":") > 0, F.instr(x, ":")).otherwise(F.instr(x, "-"))
+    after = lambda x, i: F.when((i > 0) & (i < F.length(x)), strip(F.substr(x, i + 1, F.length(x))))
+    return bind(c, lambda x: bind(at(x), lambda i: after(x, i)))
 
 
 def clean_value(c: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import resolved
+from ..functions.normalize import resolved, vat_rate
 from ..functions.textnorm import strip
+from .validate import validate
 
 
 def upsert_fields(fields: DataFrame, updates: DataFrame, at: Column) -> DataFrame:
@@ -23,19 +24,32 @@ def upsert_fields(fields: DataFrame, updates: DataFrame, at: Column) -> DataFram
 
 
 def patch_cells(cells: DataFrame, patches: DataFrame) -> DataFrame:
-    """Cells with the texts of patches (doc_id, table_idx, row, col, text); patches of no cell are ignored."""
+    """Cells with the texts of patches (doc_id, table_idx, row, col, text and, where a cell is patched twice, seq: the last counts); patches of no cell are ignored."""
     key = ["doc_id", "table_idx", "row", "col"]
-    p = patches.groupBy(*key).agg(F.last("text").alias("_text"), F.lit(True).alias("_hit"))
+    order = F.col("seq") if "seq" in patches.columns else F.lit(0)
+    last = F.max(F.struct(order.alias("seq"), F.col("text").alias("text")))["text"]
+    p = patches.groupBy(*key).agg(last.alias("_text"), F.lit(True).alias("_hit"))
     out = cells.join(p, key, "left")
     return out.withColumn("text", F.when(F.col("_hit"), F.col("_text")).otherwise(F.col("text"))).select(*cells.columns)
 
 
 def replace_tax_lines(lines: DataFrame, sent: DataFrame, documents: DataFrame) -> DataFrame:
-    """For documents whose request carries a list: lines with a known id are updated, those without id inserted, absent ones dropped. Other documents keep theirs."""
+    """Tax lines (doc_id, line_id, raw_rate, vat_rate, ...) after requests: other documents keep theirs; of ``documents``, the
+    lines sent (without vat_rate) are what remains. A known id keeps its line, an unknown one or none makes a new line (null id)."""
     keep = lines.join(documents, "doc_id", "left_anti")
-    known = sent.where("line_id IS NOT NULL").join(lines.select("doc_id", "line_id"), ["doc_id", "line_id"], "left_semi")
-    added = sent.where("line_id IS NULL")
-    return keep.unionByName(known.select(*lines.columns)).unionByName(added.select(*lines.columns))
+    known = lines.select("doc_id", "line_id").distinct().withColumn("_known", F.lit(True))
+    now = sent.join(documents, "doc_id", "left_semi").join(known, ["doc_id", "line_id"], "left")
+    now = now.withColumn("line_id", F.when(F.col("_known"), F.col("line_id"))).withColumn("vat_rate", vat_rate(F.col("raw_rate")))
+    return keep.unionByName(now.select(*lines.columns))
+
+
+def recomputed(fields: DataFrame, documents: DataFrame, warnings: DataFrame, edited: DataFrame, profile: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Warnings and documents (doc_id, profile, status) after an edit: ``edited`` documents lose all their warnings, get those
+    of their present fields, and become Reviewed whatever they were."""
+    again = validate(fields.join(edited, "doc_id", "left_semi"), documents.join(edited, "doc_id", "left_semi"), profile, as_of)
+    kept = warnings.join(edited, "doc_id", "left_anti")
+    mark = documents.join(edited.withColumn("_edited", F.lit(True)), "doc_id", "left")
+    return kept.unionByName(again), mark.withColumn("status", F.when(F.col("_edited"), F.lit("Reviewed")).otherwise(F.col("status"))).drop("_edited")
 
 
 def reprocessed(artifacts: DataFrame, documents: DataFrame) -> DataFrame:
@@ -44,9 +58,9 @@ def reprocessed(artifacts: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def next_status(current: Column, event: Column) -> Column:
-    """Status after an event; events that don't apply leave it."""
+    """Status after an event; events that don't apply leave it. An edit always gives Reviewed."""
     return (
         F.when(event == "queued", "Uploaded").when((event == "started") & current.isin("Uploaded", "Failed", "Processed"), "Processing")
         .when((event == "succeeded") & (current == "Processing"), "Processed").when(event == "failed", "Failed")
-        .when((event == "edited") & current.isin("Processed", "Reviewed"), "Reviewed").otherwise(current)
+        .when(event == "edited", "Reviewed").otherwise(current)
     )

@@ -52,9 +52,12 @@ def numbered(rows: DataFrame, by_rate: bool = True) -> DataFrame:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """Subtotals by rate and the grand total (rate null, is_total)."""
+    """Subtotals by rate and the grand total (rate null, is_total), which is there for an empty report too."""
     z = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0)).cast("decimal(38,2)").alias(c)
-    return rows.rollup("rate").agg(F.grouping("rate").cast("boolean").alias("is_total"), F.count("*").alias("n"), z("subtotal"), z("vat"), z("total"))
+    amounts = ("subtotal", "vat", "total")
+    per = rows.groupBy("rate").agg(F.lit(False).alias("is_total"), F.count("*").alias("n"), *[z(c) for c in amounts])
+    whole = per.agg(F.lit(None).cast("int").alias("rate"), F.lit(True).alias("is_total"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), *[z(c) for c in amounts])
+    return per.unionByName(whole)
 
 
 def report_file_name(client: Column, kind: str, start: Column, end: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import cell_currency, cell_number, resolved
-from ..functions.textnorm import blank, contains_any, filled, humanize, search_text, strip
+from ..functions.textnorm import bind, blank, contains_any, filled, humanize, search_text, strip
 from . import rules as R
 
 TABLE = ["doc_id", "table_idx"]
@@ -14,11 +14,14 @@ TABLE = ["doc_id", "table_idx"]
 
 def column_kind(label: Column) -> Column:
     """The canonical column that a header names; null for none."""
-    s = search_text(label, underscore=True)
-    out = F.when(s == "", None)
-    for kind, words in R.TABLE_COLUMNS.items():
-        out = out.when(contains_any(s, words), F.lit(kind))
-    return out
+
+    def named(s: Column) -> Column:
+        out = F.when(s == "", None)
+        for kind, words in R.TABLE_COLUMNS.items():
+            out = out.when(contains_any(s, words), F.lit(kind))
+        return out
+
+    return bind(search_text(label, underscore=True), named)
 
 
 def header_rows(cells: DataFrame) -> DataFrame:

@@ -57,19 +57,96 @@ VAT_TEXT = r"(?iuU)(?:VAT|Thuế\s*GTGT)\D*" + MONEY_PART
 SUBTOTAL_TEXT = r"(?iuU)(?:Cộng\s*tiền\s*hàng|Subtotal|Thành\s*tiền\s*chưa\s*thuế|Thành\s*tiền|Tiền\s*hàng)\s*[:\-]?\s*" + MONEY_PART
 
 # Profiles. A field is key, optional * with [severity] if required, optional <- alias; sections end with ;.
+# The fields of each profile in order: section, key, severity if it is required and missing, alias.
 PROFILES = {
-    "VatInvoice": "invoice: InvoiceForm InvoiceSymbol InvoiceNumber*[High] InvoiceDate*[High] TaxAuthorityCode LookupCode InvoiceNature;"
-    " seller: SellerName*[High]<-SupplierName SellerTaxCode*[High]<-SupplierTaxCode SupplierAddress; buyer: BuyerName BuyerTaxCode BuyerAddress;"
-    " amounts: SubtotalAmount VatAmount TotalAmount*[High] AmountInWords Currency PaymentMethod Notes",
-    "PosReceipt": "merchant: MerchantName*[High]<-SupplierName MerchantPhone MerchantAddress; receipt: ReceiptNumber<-InvoiceNumber ReceiptDate*[Warning]<-InvoiceDate Cashier TableNumber;"
-    " amounts: SubtotalAmount DiscountAmount TotalAmount*[High] Currency; notes: PaymentMethod Notes",
-    "AppReceiptScreenshot": "store: StoreName*[High]<-SupplierName StoreUrl QrCodeValue; order: OrderCode*[High]<-InvoiceNumber OrderDate<-InvoiceDate CustomerName;"
-    " amounts: TotalAmount*[Warning] Currency; notes: Notes",
-    "RestaurantBill": "merchant: MerchantName<-SupplierName MerchantPhone MerchantAddress; bill: BillNumber<-InvoiceNumber BillDate<-InvoiceDate TableNumber; amounts: TotalAmount*[Warning] Currency; notes: Notes",
-    "CommercialInvoice": "vendor: VendorName*[High]<-SupplierName VendorTaxCode<-SupplierTaxCode VendorAddress; buyer: BuyerName BuyerTaxCode BuyerAddress;"
-    " invoice: InvoiceNumber*[High] InvoiceDate*[High] DueDate PONumber; amounts: SubtotalAmount DiscountAmount TaxAmount<-VatAmount TotalAmount*[High] Currency; notes: PaymentTerms Notes",
-    "Unknown": "unknown: SupplierName*[High] SupplierTaxCode*[High] InvoiceNumber*[High] InvoiceDate*[High] TotalAmount*[High] Currency Notes",
-}
+    "VatInvoice": (
+        ("invoice", "InvoiceForm", None, None),
+        ("invoice", "InvoiceSymbol", None, None),
+        ("invoice", "InvoiceNumber", "High", None),
+        ("invoice", "InvoiceDate", "High", None),
+        ("invoice", "TaxAuthorityCode", None, None),
+        ("invoice", "LookupCode", None, None),
+        ("invoice", "InvoiceNature", None, None),
+        ("seller", "SellerName", "High", "SupplierName"),
+        ("seller", "SellerTaxCode", "High", "SupplierTaxCode"),
+        ("seller", "SupplierAddress", None, None),
+        ("buyer", "BuyerName", None, None),
+        ("buyer", "BuyerTaxCode", None, None),
+        ("buyer", "BuyerAddress", None, None),
+        ("amounts", "SubtotalAmount", None, None),
+        ("amounts", "VatAmount", None, None),
+        ("amounts", "TotalAmount", "High", None),
+        ("amounts", "AmountInWords", None, None),
+        ("amounts", "Currency", None, None),
+        ("amounts", "PaymentMethod", None, None),
+        ("amounts", "Notes", None, None),
+    ),
+    "PosReceipt": (
+        ("merchant", "MerchantName", "High", "SupplierName"),
+        ("merchant", "MerchantPhone", None, None),
+        ("merchant", "MerchantAddress", None, None),
+        ("receipt", "ReceiptNumber", None, "InvoiceNumber"),
+        ("receipt", "ReceiptDate", "Warning", "InvoiceDate"),
+        ("receipt", "Cashier", None, None),
+        ("receipt", "TableNumber", None, None),
+        ("amounts", "SubtotalAmount", None, None),
+        ("amounts", "DiscountAmount", None, None),
+        ("amounts", "TotalAmount", "High", None),
+        ("amounts", "Currency", None, None),
+        ("notes", "PaymentMethod", None, None),
+        ("notes", "Notes", None, None),
+    ),
+    "AppReceiptScreenshot": (
+        ("store", "StoreName", "High", "SupplierName"),
+        ("store", "StoreUrl", None, None),
+        ("store", "QrCodeValue", None, None),
+        ("order", "OrderCode", "High", "InvoiceNumber"),
+        ("order", "OrderDate", None, "InvoiceDate"),
+        ("order", "CustomerName", None, None),
+        ("amounts", "TotalAmount", "Warning", None),
+        ("amounts", "Currency", None, None),
+        ("notes", "Notes", None, None),
+    ),
+    "RestaurantBill": (
+        ("merchant", "MerchantName", None, "SupplierName"),
+        ("merchant", "MerchantPhone", None, None),
+        ("merchant", "MerchantAddress", None, None),
+        ("bill", "BillNumber", None, "InvoiceNumber"),
+        ("bill", "BillDate", None, "InvoiceDate"),
+        ("bill", "TableNumber", None, None),
+        ("amounts", "TotalAmount", "Warning", None),
+        ("amounts", "Currency", None, None),
+        ("notes", "Notes", None, None),
+    ),
+    "CommercialInvoice": (
+        ("vendor", "VendorName", "High", "SupplierName"),
+        ("vendor", "VendorTaxCode", None, "SupplierTaxCode"),
+        ("vendor", "VendorAddress", None, None),
+        ("buyer", "BuyerName", None, None),
+        ("buyer", "BuyerTaxCode", None, None),
+        ("buyer", "BuyerAddress", None, None),
+        ("invoice", "InvoiceNumber", "High", None),
+        ("invoice", "InvoiceDate", "High", None),
+        ("invoice", "DueDate", None, None),
+        ("invoice", "PONumber", None, None),
+        ("amounts", "SubtotalAmount", None, None),
+        ("amounts", "DiscountAmount", None, None),
+        ("amounts", "TaxAmount", None, "VatAmount"),
+        ("amounts", "TotalAmount", "High", None),
+        ("amounts", "Currency", None, None),
+        ("notes", "PaymentTerms", None, None),
+        ("notes", "Notes", None, None),
+    ),
+    "Unknown": (
+        ("unknown", "SupplierName", "High", None),
+        ("unknown", "SupplierTaxCode", "High", None),
+        ("unknown", "InvoiceNumber", "High", None),
+        ("unknown", "InvoiceDate", "High", None),
+        ("unknown", "TotalAmount", "High", None),
+        ("unknown", "Currency", None, None),
+        ("unknown", "Notes", None, None),
+    ),
+}
 CATEGORY_PROFILE = {
     "VatInvoice": "VatInvoice", "PosReceipt": "PosReceipt", "SalesReceipt": "PosReceipt", "AppReceiptScreenshot": "AppReceiptScreenshot",
     "RestaurantBill": "RestaurantBill", "InternationalInvoice": "CommercialInvoice", "CommercialInvoice": "CommercialInvoice", "Unknown": "Unknown",
@@ -88,15 +165,9 @@ ALIASES = {
 def profile_rows() -> list[tuple]:
     """(profile, section, section order, key, order, required, severity, alias) of every profile field."""
     rows = []
-    for profile, text in PROFILES.items():
-        order = 0
-        for s, part in enumerate(text.split(";")):
-            section, fields = part.split(":")
-            for item in fields.split():
-                key, _, alias = item.partition("<-")
-                key, _, severity = key.partition("*")
-                rows.append((profile, section.strip(), s, key, order, bool(severity), severity.strip("[]") or None, alias or None))
-                order += 1
+    for profile, fields in PROFILES.items():
+        sections = list(dict.fromkeys(f[0] for f in fields))
+        rows += [(profile, section, sections.index(section), key, order, severity is not None, severity, alias) for order, (section, key, severity, alias) in enumerate(fields)]
     return rows
 
 

@@ -32,6 +32,11 @@ def accuracy(*matches: Column) -> Column:
     return F.when(seen > 0, F.bround(hits / seen * 100, 2))
 
 
+def accuracy_by(rows: DataFrame, hit: Column, key: str) -> DataFrame:
+    """Rows and percent of hits of each key, two digits half-even."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.bround(F.count_if(hit) / F.count("*") * 100, 2).alias("accuracy"))
+
+
 def summary(results: DataFrame, truth: DataFrame) -> DataFrame:
     """Results (file, provider, a column a field) against truth (file, Expected<field>), by file name without case."""
     t = truth.withColumn("_key", F.lower("file")).drop("file")

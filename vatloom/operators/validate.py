@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.normalize import date_strict, money_signed, resolved
+from ..functions.normalize import date_strict, money_signed, plain_decimal, resolved
 from ..functions.textnorm import blank, filled
 from . import rules as R
 
+# The messages of warnings.
+MESSAGES = {
+    "REQUIRED_FIELD_MISSING": "Required field '%s' is missing or empty.",
+    "INVALID_TAX_CODE_FORMAT": "Tax code '%s' contains non-digit characters after normalization.",
+    "INVALID_TAX_CODE_LENGTH": "Tax code '%s' has %d digits; expected 10 or 13 for a Vietnamese tax code.",
+    "INVALID_INVOICE_DATE": "InvoiceDate '%s' must parse to a valid date.",
+    "INVOICE_DATE_TOO_FAR_IN_FUTURE": "InvoiceDate '%s' is more than 30 days in the future.",
+    "INVALID_TOTAL_AMOUNT": "TotalAmount '%s' must be a positive number.",
+    "AMOUNT_CONSISTENCY_MISMATCH": "SubtotalAmount (%s) + VatAmount (%s) = %s, but TotalAmount is %s. Difference exceeds the allowed rounding tolerance.",
+    "LOW_CONFIDENCE": "Field '%s' has low confidence (%d%%). Please verify.",
+}
+
 WARNING = ("doc_id", "field_name", "code", "severity", "message")
 
 
@@ -50,25 +62,25 @@ def required(fields: DataFrame, documents: DataFrame, profile: DataFrame) -> Dat
     names = F.coalesce("names", F.array().cast("array<string>"))
     missing = wanted.where(~F.array_contains(names, F.col("field_key")) & ~F.coalesce(F.array_contains(names, F.col("alias")), F.lit(False)))
     key = F.coalesce("alias", "field_key")
-    return _warn(missing, key, "REQUIRED_FIELD_MISSING", F.col("severity"), F.format_string("Required field '%s' is missing or empty.", key))
+    return _warn(missing, key, "REQUIRED_FIELD_MISSING", F.col("severity"), F.format_string(MESSAGES["REQUIRED_FIELD_MISSING"], key))
 
 
 def tax_codes(fields: DataFrame) -> DataFrame:
     """Tax codes with other characters than digits, else of another length than 10 or 13."""
     value = resolved(F.col("normalized_value"), F.col("raw_value"))
     codes = fields.where(F.col("field_name") == "SupplierTaxCode").withColumn("v", value).where(~blank(F.col("v")))
-    odd = _warn(codes.where(~F.col("v").rlike(r"(?U)^\d+$")), "SupplierTaxCode", "INVALID_TAX_CODE_FORMAT", "Warning", F.format_string("Tax code '%s' contains non-digit characters after normalization.", "v"))
+    odd = _warn(codes.where(~F.col("v").rlike(r"(?U)^\d+$")), "SupplierTaxCode", "INVALID_TAX_CODE_FORMAT", "Warning", F.format_string(MESSAGES["INVALID_TAX_CODE_FORMAT"], "v"))
     size = codes.where(F.col("v").rlike(r"(?U)^\d+$") & ~F.length("v").isin(10, 13))
-    return odd.unionByName(_warn(size, "SupplierTaxCode", "INVALID_TAX_CODE_LENGTH", "Warning", F.format_string("Tax code '%s' has %d digits; expected 10 or 13 for a Vietnamese tax code.", "v", F.length("v"))))
+    return odd.unionByName(_warn(size, "SupplierTaxCode", "INVALID_TAX_CODE_LENGTH", "Warning", F.format_string(MESSAGES["INVALID_TAX_CODE_LENGTH"], "v", F.length("v"))))
 
 
 def dates(fields: DataFrame, as_of: Column) -> DataFrame:
     """Invoice dates that can't be read, or lie more than 30 days after ``as_of``."""
     value = resolved(F.col("normalized_value"), F.col("raw_value"))
     found = fields.where(F.col("field_name") == "InvoiceDate").withColumn("v", value).where(~blank(F.col("v"))).withColumn("d", date_strict(F.col("v")))
-    bad = _warn(found.where("d IS NULL"), "InvoiceDate", "INVALID_INVOICE_DATE", "Warning", F.format_string("Invoice date '%s' could not be parsed as a valid date.", "v"))
+    bad = _warn(found.where("d IS NULL"), "InvoiceDate", "INVALID_INVOICE_DATE", "Warning", F.format_string(MESSAGES["INVALID_INVOICE_DATE"], "v"))
     late = found.where(F.col("d") > F.date_add(as_of, 30))
-    return bad.unionByName(_warn(late, "InvoiceDate", "INVOICE_DATE_TOO_FAR_IN_FUTURE", "Warning", F.format_string("Invoice date '%s' is more than 30 days in the future.", F.col("d").cast("string"))))
+    return bad.unionByName(_warn(late, "InvoiceDate", "INVOICE_DATE_TOO_FAR_IN_FUTURE", "Warning", F.format_string(MESSAGES["INVOICE_DATE_TOO_FAR_IN_FUTURE"], "v")))
 
 
 def _amount(name: str) -> Column:
@@ -82,17 +94,17 @@ def _present(name: str) -> Column:
 
 def totals(fields: DataFrame) -> DataFrame:
     """Totals that can't be read or aren't positive, and subtotal + tax that differ from the total by more than max(1, 0.5 %)."""
-    sums = fields.groupBy("doc_id").agg(_amount("SubtotalAmount").alias("s"), _amount("VatAmount").alias("v"), _amount("TotalAmount").alias("t"), _present("TotalAmount").alias("there"))
-    bad = _warn(sums.where("there AND (t IS NULL OR t <= 0)"), "TotalAmount", "INVALID_TOTAL_AMOUNT", "Error", F.lit("Total amount could not be parsed or is not positive."))
+    sums = fields.groupBy("doc_id").agg(_amount("SubtotalAmount").alias("s"), _amount("VatAmount").alias("v"), _amount("TotalAmount").alias("t"), _present("TotalAmount").alias("there"), F.max(F.when(F.col("field_name") == "TotalAmount", resolved(F.col("normalized_value"), F.col("raw_value")))).alias("said"))
+    bad = _warn(sums.where("there AND (t IS NULL OR t <= 0)"), "TotalAmount", "INVALID_TOTAL_AMOUNT", "Error", F.format_string(MESSAGES["INVALID_TOTAL_AMOUNT"], "said"))
     gap = F.abs(F.col("s") + F.col("v") - F.col("t"))
     off = sums.where(gap > F.greatest(F.lit(1).cast("decimal(38,10)"), F.abs("t") * F.lit("0.005").cast("decimal(10,3)")))
-    message = F.concat(F.lit("Subtotal + VAT differs from the total by "), gap.cast("decimal(38,2)").cast("string"), F.lit("."))
+    message = F.format_string(MESSAGES["AMOUNT_CONSISTENCY_MISMATCH"], *[plain_decimal(c) for c in (F.col("s"), F.col("v"), F.col("s") + F.col("v"), F.col("t"))])
     return bad.unionByName(_warn(off, "TotalAmount", "AMOUNT_CONSISTENCY_MISMATCH", "Warning", message))
 
 
 def low_confidence(fields: DataFrame, least: float = 0.75) -> DataFrame:
     low = fields.where(F.col("confidence") < least)
-    return _warn(low, F.col("field_name"), "LOW_CONFIDENCE", "Info", F.format_string("Field '%s' has low confidence (%d%%).", "field_name", F.round(F.col("confidence") * 100).cast("int")))
+    return _warn(low, F.col("field_name"), "LOW_CONFIDENCE", "Info", F.format_string(MESSAGES["LOW_CONFIDENCE"], "field_name", F.round(F.col("confidence") * 100).cast("int")))
 
 
 def experimental(documents: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import edits as E
 from ..operators import extract as X
 from ..operators import gate as G
 from ..operators import ledger as L
+from ..operators import lists as D
 from ..operators import reports as P
 from ..operators import review as V
 from ..operators import rules as R
@@ -104,11 +105,11 @@ def report_file_name(spark, sf):
 # Normalizers
 
 
-@query(f"""WITH {INV} SELECT doc_id, CAST(CASE WHEN doc_id % 7 < 4 OR doc_id % 7 = 6 THEN total ELSE total + 0.5 END AS DECIMAL(38,2)) AS amount FROM inv WHERE total >= 1000""")
+@query(f"""WITH {INV} SELECT doc_id, CAST(CASE WHEN doc_id % 7 < 4 OR doc_id % 7 = 6 THEN total ELSE total + 0.5 END AS DECIMAL(38,2)) AS amount FROM inv""")
 def normalize_money(spark, sf):
     t = F.col("total")
     raw = pick(_id(), F.concat(dotted(t), F.lit(" VND")), F.concat(F.lit("VNĐ "), dotted(t)), F.concat(F.lit("Tổng 3 mục: "), commas(t), F.lit("đ")), F.translate(commas(t), ",", " "), F.concat(dotted(t), F.lit(",50")), F.concat(commas(t), F.lit(".50 ₫")), t.cast("string"))
-    return invoices(spark, sf).where("total >= 1000").select("doc_id", N.money(raw).cast("decimal(38,2)").alias("amount"))
+    return invoices(spark, sf).select("doc_id", N.money(raw).cast("decimal(38,2)").alias("amount"))
 
 
 @query(f"""WITH {INV} SELECT doc_id, d AS date FROM inv""")
@@ -142,11 +143,11 @@ def normalize_currency_code(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).select("doc_id", N.currency_code(raw).alias("currency"))
 
 
-@query(f"""WITH {INV} SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN total WHEN 1 THEN total WHEN 2 THEN total + 0.25 WHEN 3 THEN total + 0.5 END AS DECIMAL(38,2)) AS number FROM inv WHERE total >= 1000""")
+@query(f"""WITH {INV} SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN total WHEN 1 THEN total WHEN 2 THEN total + 0.25 WHEN 3 THEN total + 0.5 END AS DECIMAL(38,2)) AS number FROM inv""")
 def table_number(spark, sf):
     t = F.col("total")
     raw = pick(_id(), dotted(t), F.concat(commas(t), F.lit(" đ")), F.concat(t.cast("string"), F.lit(".25")), F.concat(dotted(t), F.lit(",50")), F.translate(commas(t), ",", " "))
-    return invoices(spark, sf).where("total >= 1000").select("doc_id", N.cell_number(raw).cast("decimal(38,2)").alias("number"))
+    return invoices(spark, sf).select("doc_id", N.cell_number(raw).cast("decimal(38,2)").alias("number"))
 
 
 @query("""SELECT o_orderkey AS doc_id, ['USD', 'VND', 'VNĐ', 'USD', 'EUR', NULL][o_orderkey % 6 + 1] AS currency FROM orders""")
@@ -282,9 +283,9 @@ def top_line(spark, sf):
     return X.from_top_lines(X.line_context(each)).select("doc_id", "raw_value")
 
 
-@query(f"""WITH {INV} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'USD' ELSE 'VND' END AS currency, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.78 ELSE 0.5 END AS DOUBLE) AS confidence FROM inv WHERE total >= 1000""")
+@query(f"""WITH {INV} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'USD' ELSE 'VND' END AS currency, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.78 ELSE 0.5 END AS DOUBLE) AS confidence FROM inv""")
 def default_currency(spark, sf):
-    each = invoices(spark, sf).where("total >= 1000").select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Tổng cộng: "), dotted(F.col("total")), F.when(_id() % 3 == 0, F.lit("\nUSD")).otherwise(F.lit(""))).alias("text"), F.lit(1.0).alias("confidence"))
+    each = invoices(spark, sf).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Tổng cộng: "), dotted(F.col("total")), F.when(_id() % 3 == 0, F.lit("\nUSD")).otherwise(F.lit(""))).alias("text"), F.lit(1.0).alias("confidence"))
     return X.extract(each).where("field_name = 'Currency'").select("doc_id", F.col("raw_value").alias("currency"), "confidence")
 
 
@@ -348,14 +349,14 @@ def xml_bad_docs(spark, sf):
 
 
 def _claims(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) >= 60")
+    d = table(spark, sf, "documents")
     cut = F.substring("text", 11, 30)
     source = F.when(_id() % 5 == 0, F.concat(cut, F.lit("#~"))).otherwise(cut)
     value = F.when(_id() % 7 == 0, None).when(_id() % 3 == 0, F.lit("2024-05-06")).otherwise(F.lit("không rõ"))
     return d.select("doc_id", F.lit("InvoiceDate").alias("field_name"), value.alias("value"), source.alias("source_text"), F.col("text").alias("full_text"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'absent' WHEN doc_id % 5 = 0 OR trim(substr(text, 11, 30), chr(10) || ' ') = '' THEN 'rejected' ELSE 'kept' END AS outcome, CAST(CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM documents WHERE length(text) >= 60""")
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'absent' WHEN doc_id % 5 = 0 OR regexp_replace(coalesce(substr(text, 11, 30), ''), '\s', '', 'g') = '' THEN 'rejected' ELSE 'kept' END AS outcome, CAST(CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 OR regexp_replace(coalesce(substr(text, 11, 30), ''), '\s', '', 'g') = '' THEN NULL WHEN doc_id % 3 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM documents""")
 def llm_gate(spark, sf):
     return G.verified(_claims(spark, sf)).select("doc_id", "outcome", "confidence")
 
@@ -407,48 +408,50 @@ def validate_tax(spark, sf):
     return W.tax_codes(eav(invoices(spark, sf))).select("doc_id", "code", "message")
 
 
-@query(f"""WITH {INV}, {EAV} SELECT doc_id, 'INVOICE_DATE_TOO_FAR_IN_FUTURE' AS code FROM eav WHERE field_name = 'InvoiceDate' AND CAST(v AS DATE) > DATE '1998-03-03'""")
+@query(f"""WITH {INV}, {EAV} SELECT doc_id, 'INVOICE_DATE_TOO_FAR_IN_FUTURE' AS code, 'InvoiceDate ''' || v || ''' is more than 30 days in the future.' AS message FROM eav WHERE field_name = 'InvoiceDate' AND CAST(v AS DATE) > DATE '1998-03-03'""")
 def validate_date(spark, sf):
-    return W.dates(eav(invoices(spark, sf)), F.lit("1998-02-01").cast("date")).select("doc_id", "code")
+    return W.dates(eav(invoices(spark, sf)), F.lit("1998-02-01").cast("date")).select("doc_id", "code", "message")
 
 
-@query(f"""WITH {INV} SELECT doc_id, 'AMOUNT_CONSISTENCY_MISMATCH' AS code FROM inv WHERE doc_id % 2 = 0 AND doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 17 <> 0 AND 1000000 > greatest(1, 0.005 * (total + 1000000))""")
+@query(f"""WITH {INV} SELECT doc_id, 'AMOUNT_CONSISTENCY_MISMATCH' AS code, 'SubtotalAmount (' || sub || ') + VatAmount (' || vat || ') = ' || (sub + vat) || ', but TotalAmount is ' || (total + 1000000) || '. Difference exceeds the allowed rounding tolerance.' AS message FROM inv WHERE doc_id % 2 = 0 AND doc_id % 13 = 0 AND doc_id % 11 <> 0 AND doc_id % 17 <> 0 AND 1000000 > greatest(1, 0.005 * (total + 1000000))""")
 def validate_consistency(spark, sf):
-    return W.totals(eav(invoices(spark, sf))).select("doc_id", "code")
+    return W.totals(eav(invoices(spark, sf))).select("doc_id", "code", "message")
 
 
-@query(f"""WITH {INV} SELECT doc_id, ['INVALID_TOTAL_AMOUNT', 'INVALID_TOTAL_AMOUNT', NULL][doc_id % 3 + 1] AS code FROM inv WHERE doc_id % 3 < 2""")
+@query(f"""WITH {INV} SELECT doc_id, ['INVALID_TOTAL_AMOUNT', 'INVALID_TOTAL_AMOUNT', NULL][doc_id % 3 + 1] AS code, 'TotalAmount ''' || ['-5', 'không', ''][doc_id % 3 + 1] || ''' must be a positive number.' AS message FROM inv WHERE doc_id % 3 < 2""")
 def validate_total(spark, sf):
     t = pick(_id(), F.lit("-5"), F.lit("không"), F.col("total").cast("string"))
     f = invoices(spark, sf).select("doc_id", F.lit("TotalAmount").alias("field_name"), t.alias("raw_value"), F.lit(None).cast("string").alias("normalized_value"), F.lit(0.9).alias("confidence"))
-    return W.totals(f).select("doc_id", "code")
+    return W.totals(f).select("doc_id", "code", "message")
 
 
-@query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, 'LOW_CONFIDENCE' AS code FROM eav WHERE confidence < 0.75""")
+@query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, 'LOW_CONFIDENCE' AS code, 'Field ''' || field_name || ''' has low confidence (' || CAST(round(confidence * 100) AS INTEGER) || '%). Please verify.' AS message FROM eav WHERE confidence < 0.75""")
 def low_confidence(spark, sf):
-    return W.low_confidence(eav(invoices(spark, sf))).select("doc_id", "field_name", "code")
+    return W.low_confidence(eav(invoices(spark, sf))).select("doc_id", "field_name", "code", "message")
 
 
-_REVIEW = f"""WITH {INV}, {EAV}, want AS (SELECT doc_id, k, a FROM inv, (SELECT unnest(['InvoiceNumber', 'InvoiceDate', 'SellerName', 'SellerTaxCode', 'TotalAmount', 'BuyerName']) AS k, unnest([NULL, NULL, 'SupplierName', 'SupplierTaxCode', NULL, NULL]) AS a) WHERE doc_id % 2 = 0)"""
+_REVIEW = f"""WITH {INV}, {EAV}, want AS (SELECT doc_id, k, a FROM inv, (VALUES (0, 'InvoiceNumber', NULL), (0, 'InvoiceDate', NULL), (0, 'SellerName', 'SupplierName'), (0, 'SellerTaxCode', 'SupplierTaxCode'), (0, 'TotalAmount', NULL), (0, 'BuyerName', NULL),
+  (1, 'SupplierName', NULL), (1, 'SupplierTaxCode', NULL), (1, 'InvoiceNumber', NULL), (1, 'InvoiceDate', NULL), (1, 'TotalAmount', NULL)) p(odd, k, a) WHERE doc_id % 2 = odd)"""
 
 
-@query(f"""{_REVIEW} SELECT w.doc_id, w.k AS field_key, coalesce(e.v, f.v) AS value FROM want w LEFT JOIN eav e ON e.doc_id = w.doc_id AND e.field_name = w.k LEFT JOIN eav f ON f.doc_id = w.doc_id AND f.field_name = w.a""")
+@query(f"""{_REVIEW} SELECT w.doc_id, w.k AS field_key, coalesce(max(CASE WHEN e.field_name = w.k THEN v END), max(CASE WHEN e.field_name = w.a THEN v END)) AS value FROM want w LEFT JOIN eav e ON e.doc_id = w.doc_id GROUP BY w.doc_id, w.k""")
 def review_mapping(spark, sf):
-    inv = invoices(spark, sf).where("doc_id % 2 = 0")
+    inv = invoices(spark, sf)
     m = V.mapped(eav(inv), _documents(inv), W.profiles(spark))
-    return m.where(F.col("field_key").isin("InvoiceNumber", "InvoiceDate", "SellerName", "SellerTaxCode", "TotalAmount", "BuyerName") & (F.col("section") != "other")).select("doc_id", "field_key", "value")
+    shown = ("InvoiceNumber", "InvoiceDate", "SellerName", "SellerTaxCode", "SupplierName", "SupplierTaxCode", "TotalAmount", "BuyerName")
+    return m.where(F.col("field_key").isin(*shown) & (F.col("section") != "other")).select("doc_id", "field_key", "value")
 
 
-@query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, v AS value FROM eav WHERE doc_id % 2 = 0 AND field_name IN ('ReceiptNumber', 'TaxAmount', 'VendorName')""")
+@query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, v AS value FROM eav WHERE CASE WHEN doc_id % 2 = 0 THEN field_name IN ('ReceiptNumber', 'TaxAmount', 'VendorName') ELSE field_name NOT IN ('SupplierName', 'SupplierTaxCode', 'InvoiceNumber', 'InvoiceDate', 'TotalAmount', 'Currency', 'Notes') END""")
 def other_fields(spark, sf):
-    inv = invoices(spark, sf).where("doc_id % 2 = 0")
+    inv = invoices(spark, sf)
     m = V.mapped(eav(inv), _documents(inv), W.profiles(spark))
     return m.where("section = 'other'").select("doc_id", F.col("field_key").alias("field_name"), "value")
 
 
 @query(f"""WITH {INV}, {EAV} SELECT doc_id, round(avg(confidence), 6) AS c FROM eav GROUP BY doc_id""")
 def mean_confidence(spark, sf):
-    return eav(invoices(spark, sf)).groupBy("doc_id").agg(F.round(F.avg("confidence"), 6).alias("c"))
+    return V.overall_confidence(eav(invoices(spark, sf))).select("doc_id", F.round("overall_confidence", 6).alias("c"))
 
 
 _ITEMS = f"""{LINES}, li AS (SELECT l_orderkey AS doc_id, n, l_partkey, CAST(l_quantity AS BIGINT) AS q, CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)), 0) AS BIGINT) AS a FROM lines)"""
@@ -483,7 +486,7 @@ def documents_sheet(spark, sf):
 @query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, 'LOW_CONFIDENCE' AS code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY field_name) AS INTEGER) AS n FROM eav WHERE confidence < 0.75""")
 def warnings_sheet(spark, sf):
     w = W.low_confidence(eav(invoices(spark, sf)))
-    return w.select("doc_id", "field_name", "code", F.row_number().over(Window.partitionBy("doc_id").orderBy("field_name", "code")).alias("n"))
+    return D.numbered_warnings(w).select("doc_id", "field_name", "code", "n")
 
 
 # Lists, requests, clients
@@ -492,15 +495,14 @@ def warnings_sheet(spark, sf):
 @query("""SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100""")
 def list_documents(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    return o.orderBy(F.col("o_orderdate").desc(), F.col("doc_id").desc()).limit(100).select("doc_id", F.to_date("o_orderdate").alias("day"))
+    return D.newest(o, "o_orderdate", 100).select("doc_id", F.to_date("o_orderdate").alias("day"))
 
 
 @query(f"""WITH {INV}, {EAV} SELECT inv.doc_id, coalesce(CAST(v AS DATE), d) AS effective FROM inv LEFT JOIN eav ON eav.doc_id = inv.doc_id AND field_name = 'InvoiceDate' WHERE coalesce(CAST(v AS DATE), d) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'""")
 def effective_date_range(spark, sf):
     inv = invoices(spark, sf)
     dates = eav(inv).where("field_name = 'InvoiceDate'").select("doc_id", N.report_date(F.col("normalized_value")).alias("i"))
-    out = inv.select("doc_id", "d").join(dates, "doc_id", "left").withColumn("effective", F.coalesce("i", "d"))
-    return out.where("effective BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'").select("doc_id", "effective")
+    return D.effective_dates(inv.select("doc_id", "d"), dates, F.lit("1996-01-01").cast("date"), F.lit("1996-12-31").cast("date")).select("doc_id", "effective")
 
 
 @query(f"""WITH {LEDGER} SELECT org_id, seq, amount FROM led ORDER BY ts DESC, seq DESC LIMIT 20 OFFSET 20""")
@@ -514,13 +516,13 @@ _REQUEST = (7, 3, 99999999, 1)
 @query("""SELECT o_orderkey AS doc_id, CAST(CASE o_orderkey WHEN 7 THEN 0 WHEN 3 THEN 1 ELSE 3 END AS INTEGER) AS pos FROM orders WHERE o_orderkey IN (7, 3, 1)""")
 def request_order(spark, sf):
     asked = spark.range(1).select(F.posexplode(F.array(*[F.lit(x).cast("long") for x in _REQUEST])).alias("pos", "doc_id"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).join(F.broadcast(asked), "doc_id")
+    return D.in_order(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), asked)
 
 
 @query("""SELECT x AS doc_id FROM (SELECT unnest([7, 3, 99999999, 1]) AS x) WHERE x NOT IN (SELECT o_orderkey FROM orders)""")
 def missing_ids(spark, sf):
     asked = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in _REQUEST])).alias("doc_id"))
-    return asked.join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_anti")
+    return D.missing(asked, table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")))
 
 
 def _parties(spark, sf):
@@ -561,9 +563,8 @@ def balance(spark, sf):
 
 @query(f"""WITH {LEDGER}, t AS (SELECT max(ts) - INTERVAL 7 DAY AS day FROM events) SELECT org_id, CAST(sum(CASE WHEN type = 'Consume' AND ts >= (SELECT day FROM t) THEN -amount ELSE 0 END) AS BIGINT) AS consumed_today FROM led GROUP BY org_id""")
 def consumed_today(spark, sf):
-    last = table(spark, sf, "events").agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).alias("day"))
-    day = last.first()["day"]
-    return L.consumed(ledger(spark, sf), F.lit(day).cast("timestamp_ntz"))
+    last = table(spark, sf, "events").agg((F.max("ts") - F.expr("INTERVAL 7 DAYS")).cast("timestamp_ntz").alias("_day"))
+    return L.consumed(ledger(spark, sf).crossJoin(F.broadcast(last)), F.col("_day"))
 
 
 @query(f"""WITH RECURSIVE {LEDGER}, r AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY ts, seq) AS k FROM led),
@@ -590,7 +591,7 @@ def refunds(spark, sf):
 def accuracy_by_source(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     m = (F.col("n_chars") > 500) == (F.col("quality") == 1)
-    return d.groupBy("source").agg(F.count("*").alias("n"), F.bround(F.count_if(m) / F.count("*") * 100, 2).alias("accuracy"))
+    return S.accuracy_by(d, m, "source")
 
 
 @query(f"""WITH {INV} SELECT doc_id, true AS match_InvoiceDate, doc_id % 3 <> 0 AS match_TotalAmount, CASE WHEN doc_id % 2 = 0 THEN true END AS match_SupplierName, round_even(100.0 * (1 + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) / (2 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END), 2) AS accuracy FROM inv""")
@@ -609,12 +610,14 @@ def fixed_window_limit(spark, sf):
     return rate_window(table(spark, sf, "events"), limit=2).select("start", "user_id", "n", "limited")
 
 
-@query(f"""WITH {LINES} SELECT l_orderkey AS doc_id, CAST(n AS BIGINT) AS line_id, CASE WHEN l_orderkey % 2 = 0 THEN '10%' ELSE '8%' END AS rate FROM lines WHERE l_orderkey % 2 = 1 OR n = 1 UNION ALL SELECT DISTINCT l_orderkey, CAST(NULL AS BIGINT), '5%' FROM lineitem WHERE l_orderkey % 2 = 0""")
+@query(f"""WITH {LINES}, k AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_orderkey % 2 = 0)
+SELECT l_orderkey AS doc_id, CAST(n AS BIGINT) AS line_id, '8%' AS raw_rate, '8%' AS vat_rate FROM lines WHERE l_orderkey % 2 = 1
+UNION ALL SELECT doc_id, CAST(1 AS BIGINT), '10,0 %', '10%' FROM k UNION ALL SELECT doc_id, CAST(NULL AS BIGINT), '5%', '5%' FROM k UNION ALL SELECT doc_id, CAST(NULL AS BIGINT), '7%', CAST(NULL AS VARCHAR) FROM k""")
 def tax_line_replace(spark, sf):
-    lines = numbered_lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.col("n").cast("long").alias("line_id"), F.lit("8%").alias("rate"))
+    lines = numbered_lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.col("n").cast("long").alias("line_id"), F.lit("8%").alias("raw_rate"), F.lit("8%").alias("vat_rate"))
     docs = lines.where("doc_id % 2 = 0").select("doc_id").distinct()
-    row = lambda i, r: F.struct(F.lit(i).cast("long").alias("line_id"), F.lit(r).alias("rate"))
-    sent = docs.select("doc_id", F.inline(F.array(row(1, "10%"), row(None, "5%"), row(999, "0%"))))
+    row = lambda i, r: F.struct(F.lit(i).cast("long").alias("line_id"), F.lit(r).alias("raw_rate"))
+    sent = docs.select("doc_id", F.inline(F.array(row(1, "10,0 %"), row(None, "5%"), row(999, "7%"))))
     return E.replace_tax_lines(lines, sent, docs)
 
 
@@ -638,10 +641,11 @@ def cell_patch(spark, sf):
     return E.patch_cells(c, p).select("doc_id", "row", "text")
 
 
-@query("""SELECT o_orderkey AS doc_id, ['Uploaded', 'Processing', 'Processed', 'Failed', 'Reviewed'][o_orderkey % 5 + 1] AS status FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, ['Uploaded', 'Processing', 'Processed', 'Failed', 'Reviewed', 'Reviewed', 'Reviewed', 'Reviewed', 'Processing'][o_orderkey % 9 + 1] AS status FROM orders""")
 def status_transitions(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    now, event = pick(_id(), *[F.lit(x) for x in ("Failed", "Uploaded", "Processing", "Processing", "Processed")]), pick(_id(), *[F.lit(x) for x in ("queued", "started", "succeeded", "failed", "edited")])
+    now = pick(_id(), *[F.lit(x) for x in ("Failed", "Uploaded", "Processing", "Processing", "Processed", "Failed", "Uploaded", "Processing", "Processing")])
+    event = pick(_id(), *[F.lit(x) for x in ("queued", "started", "succeeded", "failed", "edited", "edited", "edited", "edited", "started")])
     return o.select("doc_id", E.next_status(now, event).alias("status"))
 
 
@@ -652,3 +656,135 @@ def upload_checks(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
     lit = lambda *xs: pick(_id(), *[F.lit(x) for x in xs])
     return o.select("doc_id", upload_error(lit("a.pdf", "a.exe", "b.xml", "c.png", "d.jpg"), lit("application/pdf", "application/pdf", "text/xml", "image/png", "text/html"), lit(10, 10, 6000000, 0, 10)).alias("error"))
+
+
+# Lists of documents
+
+
+def _tenant(spark, sf):
+    """Orders as documents of two organizations and a client each customer."""
+    status = F.when(F.col("o_orderstatus") == "F", "Processed").when(F.col("o_orderstatus") == "O", "Reviewed").otherwise("Failed")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 2).alias("org_id"), F.col("o_custkey").alias("client_id"), status.alias("status"), F.to_date("o_orderdate").alias("day"))
+
+
+_TENANT = """t AS (SELECT o_orderkey AS doc_id, o_orderkey % 2 AS org_id, o_custkey AS client_id, CASE o_orderstatus WHEN 'F' THEN 'Processed' WHEN 'O' THEN 'Reviewed' ELSE 'Failed' END AS status, CAST(o_orderdate AS DATE) AS day FROM orders)"""
+
+
+@query(f"""WITH {_TENANT} SELECT doc_id, status FROM t WHERE org_id = 1 AND client_id = 7 AND status IN ('Processed', 'Reviewed')""")
+def report_documents(spark, sf):
+    return D.reportable(_tenant(spark, sf), 1, 7).select("doc_id", "status")
+
+
+@query(f"""WITH {_TENANT} SELECT doc_id, client_id FROM t WHERE org_id = 0 AND status = 'Failed'""")
+def tenant_documents(spark, sf):
+    return D.of_tenant(_tenant(spark, sf), 0, statuses=("Failed",)).select("doc_id", "client_id")
+
+
+@query(f"""WITH {INV}, {EAV} SELECT inv.doc_id, count(confidence) AS warning_count FROM inv LEFT JOIN eav ON eav.doc_id = inv.doc_id AND confidence < 0.65 GROUP BY inv.doc_id""")
+def warning_counts(spark, sf):
+    inv = invoices(spark, sf)
+    return D.with_warning_count(inv.select("doc_id"), W.low_confidence(eav(inv), 0.65)).select("doc_id", "warning_count")
+
+
+@query(f"""WITH {_TENANT} SELECT doc_id, (SELECT count(*) FROM t) AS total_count FROM t ORDER BY day DESC, doc_id DESC LIMIT 100 OFFSET 200""")
+def page_with_total(spark, sf):
+    return D.page_with_total(_tenant(spark, sf), [F.col("day").desc(), F.col("doc_id").desc()], 3, 500).select("doc_id", "total_count")
+
+
+@query("""SELECT c_custkey AS id, CAST(row_number() OVER (ORDER BY lower(c_name), c_name) AS INTEGER) AS place FROM customer""")
+def clients_by_name(spark, sf):
+    c = D.by_name(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "name")
+    return c.withColumn("place", F.row_number().over(Window.orderBy(F.lower("name"), "name"))).select("id", "place")
+
+
+@query("""SELECT user_id AS doc_id, max(event_id) FILTER (ts = m) AS log_id FROM events JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id""")
+def latest_log(spark, sf):
+    logs = table(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("ts").alias("created_at"), F.col("event_id").alias("log_id"))
+    return D.latest(logs).select("doc_id", "log_id")
+
+
+@query("""SELECT l_orderkey AS doc_id, min(l_partkey) FILTER (l_linenumber = m) AS part FROM lineitem JOIN (SELECT l_orderkey, min(l_linenumber) AS m FROM lineitem GROUP BY l_orderkey) USING (l_orderkey) GROUP BY l_orderkey HAVING count(*) FILTER (l_linenumber = m) = 1""")
+def first_per_key(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", F.col("l_partkey").alias("part"))
+    once = rows.groupBy("doc_id", "l_linenumber").agg(F.count("*").alias("n"))
+    lowest = once.groupBy("doc_id").agg(F.min_by("n", "l_linenumber").alias("n")).where("n = 1").select("doc_id")
+    return D.first_per_key(rows, ["doc_id"], "l_linenumber").join(lowest, "doc_id").select("doc_id", "part")
+
+
+@query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name FROM eav WHERE field_name NOT IN ('VatAmount', 'TaxAmount')""")
+def stored_fields(spark, sf):
+    rate = F.col("field_name").isin("VatAmount", "TaxAmount")
+    f = eav(invoices(spark, sf)).withColumn("field_name", F.when(rate, "VatRate").otherwise(F.col("field_name")))
+    return D.without_candidates(f).select("doc_id", "field_name")
+
+
+@query("""SELECT x AS doc_id, x IN (SELECT o_orderkey FROM orders) AS "exists" FROM (SELECT unnest([7, 3, 99999999, 1]) AS x)""")
+def existence(spark, sf):
+    asked = spark.range(1).select(F.explode(F.array(*[F.lit(x).cast("long") for x in _REQUEST])).alias("doc_id"))
+    return D.existing(asked, table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")), "doc_id")
+
+
+@query(f"""WITH {_TENANT} SELECT doc_id, status FROM t WHERE org_id = 1 AND doc_id = 7""")
+def look_up(spark, sf):
+    return D.looked_up(_tenant(spark, sf), 1, 7).select("doc_id", "status")
+
+
+@query("""SELECT l_orderkey AS doc_id, round(avg(CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE l_discount END), 6) AS confidence FROM lineitem GROUP BY l_orderkey""")
+def page_confidence(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_discount").cast("double")).alias("confidence"))
+    return D.page_confidence(lines).select("doc_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_linenumber % 2 AS line_no, min(l_partkey) AS x_min, min(l_suppkey) AS y_min, max(l_partkey + 5) AS x_max, max(l_suppkey + 2) AS y_max FROM lineitem GROUP BY 1, 2""")
+def line_boxes(spark, sf):
+    x, y = F.col("l_partkey"), F.col("l_suppkey")
+    w = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), (F.col("l_linenumber") % 2).alias("line_no"), x.alias("x_min"), y.alias("y_min"), (x + 5).alias("x_max"), (y + 2).alias("y_max"))
+    return D.line_boxes(w).drop("page")
+
+
+@query("""SELECT p_partkey AS id, CAST(p_partkey AS BIGINT) AS "left", CAST(p_size AS BIGINT) AS top, CAST(3 AS BIGINT) AS width, CAST(4 AS BIGINT) AS height, CAST(100 - p_size - 4 AS BIGINT) AS flipped FROM part""")
+def polygon_boxes(spark, sf):
+    x, y = F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint")
+    box = D.polygon_box(F.array(x, y, x + 3, y, x + 3, y + 4, x, y + 4))
+    flip = D.flipped_box(x, y, x + 3, y + 4, F.lit(100).cast("bigint"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), box.alias("b"), flip["top"].alias("flipped")).select("id", "b.*", "flipped")
+
+
+@query("""SELECT doc_id, CAST(CAST((n_chars * 600 + (doc_id % 100) * 5 + 1) // 2 AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(18,6)) AS DECIMAL(18,6)) AS cost FROM (SELECT doc_id, coalesce(n_chars, 0) AS n_chars FROM documents)""")
+def token_costs(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", D.token_cost(F.coalesce("n_chars", F.lit(0)) * 1000, F.col("doc_id") % 100, "0.30", "2.50").alias("cost"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'Không đủ credit (còn ' || o_orderkey % 4 || '). Nạp thêm để tiếp tục xử lý.' ELSE 'Daily credit spending limit reached for this organization. Please try again tomorrow or contact support.' END AS refusal FROM orders""")
+def charge_refusals(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    i = F.col("doc_id")
+    d = o.select("doc_id", (i % 3 == 0).alias("accepted"), F.when(i % 3 == 2, 50).otherwise(i % 4).cast("bigint").alias("balance"), F.lit(5).cast("bigint").alias("amount"))
+    return D.refusals(d).select("doc_id", "refusal")
+
+
+@query("""SELECT user_id AS doc_id, max('P' || event_id % 3) FILTER (ts = m) || ': done, 1 page(s)' AS summary FROM events JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id""")
+def debug_summaries(spark, sf):
+    e = table(spark, sf, "events")
+    logs = e.select(F.col("user_id").alias("doc_id"), F.col("ts").alias("created_at"), F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string")).alias("provider"), F.lit("done").alias("status"), F.lit(1).alias("pages"))
+    return D.debug_summary(logs)
+
+
+@query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS "row", count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def edits_by_row(spark, sf):
+    p = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("table_idx"), F.col("l_linenumber").cast("bigint").alias("row"), F.col("l_partkey").alias("col"), F.lit("x").alias("text"))
+    return D.edits_by_row(p).select("doc_id", "row", F.size("cells").cast("bigint").alias("n"))
+
+
+@query(f"""WITH {INV}, {EAV} SELECT doc_id, 'REQUIRED_FIELD_MISSING' AS code, 'Reviewed' AS status, count(*) AS n FROM inv, (SELECT unnest(['InvoiceNumber', 'InvoiceDate', 'SupplierName', 'SupplierTaxCode', 'TotalAmount']) AS k)
+WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM eav e WHERE e.doc_id = inv.doc_id AND (e.field_name = k OR (inv.doc_id % 2 = 0 AND k = 'SupplierName' AND e.field_name = 'SellerName'))) GROUP BY doc_id
+UNION ALL SELECT doc_id, 'OLD', 'Failed', 1 FROM inv WHERE doc_id % 3 <> 0""")
+def edit_flow(spark, sf):
+    inv = invoices(spark, sf)
+    docs = _documents(inv).withColumn("status", F.lit("Failed"))
+    old = docs.select("doc_id", F.lit("Notes").alias("field_name"), F.lit("OLD").alias("code"), F.lit("Info").alias("severity"), F.lit("old").alias("message"))
+    edited = inv.where("doc_id % 3 = 0").select("doc_id")
+    warnings, after = E.recomputed(eav(inv), docs, old, edited, W.profiles(spark), F.lit("1998-02-01").cast("date"))
+    shown = warnings.where(F.col("code").isin("OLD", "REQUIRED_FIELD_MISSING")).join(after.select("doc_id", "status"), "doc_id")
+    return shown.groupBy("doc_id", "code", "status").agg(F.count("*").alias("n"))

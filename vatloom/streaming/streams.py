@@ -30,23 +30,27 @@ def first_seen(rows: DataFrame, keys: list[str], late: str = "1 day") -> DataFra
 
 
 def gated(requests: DataFrame, daily_cap: int = 0) -> DataFrame:
-    """The credit gate over a stream of requests (org_id, seq, ts, type, amount >= 0), its state kept by organization."""
+    """The credit gate over a stream of requests (org_id, seq, ts, type, amount >= 0), its state kept by organization.
+
+    A key's rows of one micro-batch come in several chunks; they are put in order of ts and seq together, so memory is
+    bounded by what a micro-batch brings for a key. Requests that come in a later micro-batch are judged later.
+    """
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         balance, used, day = state.get if state.exists else (0, 0, "")
-        for pdf in frames:
-            out = []
-            for r in pdf.sort_values(["ts", "seq"]).itertuples():
-                today = str(r.ts)[:10]
-                used = used if today == day else 0
-                day, amount = today, int(r.amount)
-                if r.type == "Consume":
-                    ok = balance >= amount and (daily_cap <= 0 or used + amount <= daily_cap)
-                    balance, used = (balance - amount, used + amount) if ok else (balance, used)
-                else:
-                    ok, balance = True, balance + amount
-                out.append((key[0], int(r.seq), ok, balance))
-            yield pd.DataFrame(out, columns=["org_id", "seq", "accepted", "balance"])
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        out = []
+        for seq, ts, kind, amount in zip(rows["seq"], rows["ts"], rows["type"], rows["amount"]):
+            today, amount = str(ts)[:10], int(amount)
+            used = used if today == day else 0
+            day = today
+            if kind == "Consume":
+                ok = balance >= amount and (daily_cap <= 0 or used + amount <= daily_cap)
+                balance, used = (balance - amount, used + amount) if ok else (balance, used)
+            else:
+                ok, balance = True, balance + amount
+            out.append((key[0], int(seq), ok, balance))
         state.update((balance, used, day))
+        yield pd.DataFrame(out, columns=["org_id", "seq", "accepted", "balance"])
 
     return requests.groupBy("org_id").applyInPandasWithState(step, LEDGER_OUT, "balance long, used long, day string", "append", "NoTimeout")
