@@ -179,8 +179,8 @@ def test_other_operators(spark):
     assert values(gate.rejects(gate.verified(claims)), "doc_id", "rejected") == [(1, 1)]
     total = reports.totals(spark.createDataFrame([], "rate int, subtotal decimal(18,2), vat decimal(18,2), total decimal(18,2)")).collect()
     assert [(r["is_total"], r["n"], int(r["total"])) for r in total] == [(True, 0, 0)]
-    files_, providers = spark.createDataFrame([("a",), ("b",)], "file string"), spark.createDataFrame([("p",), ("q",)], "provider string")
-    assert score.runs(files_, providers).count() == 4
+    files_, providers = spark.createDataFrame([("a.PDF",), ("b.xml",)], "file string"), spark.createDataFrame([("p", False), ("q", True)], "provider string, pdf_only boolean")
+    assert values(score.runs(files_, providers), "file", "provider") == [("a.PDF", "p"), ("a.PDF", "q"), ("b.xml", "p")]
     cells = spark.createDataFrame([(1, 0, 0, 0, "a"), (1, 0, 1, 0, "b")], "doc_id long, table_idx int, row int, col int, text string")
     patch = spark.createDataFrame([(1, 0, 0, 0, "new", 1), (1, 0, 0, 0, "later", 2), (1, 0, 9, 9, "none", 1)], "doc_id long, table_idx int, row int, col int, text string, seq int")
     assert values(edits.patch_cells(cells, patch), "row", "text") == [(0, "later"), (1, "b")]
