@@ -62,3 +62,11 @@ def words(c: Column) -> Column:
 def id_bucket(c: Column, modulus: int) -> Column:
     """crc32 of the decimal text of an id, modulo ``modulus``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not: ``name`` behind as many underscores as it takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -12,8 +12,8 @@ containment of 75 % falls below that with probability under one in a million.
 
 Verification. Candidates are compared on the words of their shingles, over whole documents.
 
-The probes are broadcast while there are no more than ``broadcast_rows`` of them, which is counted
-first; beyond that the join shuffles.
+The probes are broadcast while there are no more than ``broadcast_rows`` of them, and the items' shingles
+while they have no more than ``broadcast_bytes`` together; both are counted first. Beyond that the join shuffles.
 
 Defined cases. Case is ignored. Null, empty or blank document: contains nothing. Fewer than five words
 (item or document): one shingle, the whole sequence. Item without words: contained nowhere. Rows that
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, words
 
-K, CONTAINMENT, FUNCTIONS, SCREEN, BROADCAST_ROWS = 5, 0.75, 32, 0.35, 500_000
+K, CONTAINMENT, FUNCTIONS, SCREEN = 5, 0.75, 32, 0.35
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def _windows(w: Column, of) -> Column:
@@ -64,7 +65,7 @@ def probes(items: DataFrame) -> DataFrame:
     return hashed.withColumn("p", chosen).select("item_id", F.size("p").alias("n_probes"), F.explode("p").alias("probe"))
 
 
-def contained(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def contained(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, containment: float = CONTAINMENT, broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Verified pairs: doc_id, item_id, containment."""
     small = probes(benchmark.where("item_id IS NOT NULL"))
     small = staged(small, "dc-probes")
@@ -76,12 +77,14 @@ def contained(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     pairs = staged(hits.where(F.col("hits") >= F.col("n_probes") * SCREEN).select("doc_id", "item_id"), "dc-pairs")
 
     texts = _worded(benchmark.where("item_id IS NOT NULL"), "item_id", "text", "item_id").select("item_id", F.explode(shingle_texts(F.col("w"))).alias("shingle")).distinct()
+    texts = staged(texts, "dc-shingles")
+    bytes_ = texts.agg(F.sum(F.octet_length("shingle") + 32)).first()[0] or 0
     sizes = texts.groupBy("item_id").agg(F.count("*").alias("n"))
     wanted = pairs.select("doc_id").distinct()
     inside = (
         _worded(docs.join(wanted.select(F.col("doc_id").alias(id_col)), id_col, "left_semi"), id_col, text_col, "doc_id")
         .select("doc_id", F.explode(F.array_distinct(shingle_texts(F.col("w")))).alias("shingle"))
-        .join(F.broadcast(texts) if fits else texts, "shingle")
+        .join(F.broadcast(texts) if bytes_ <= broadcast_bytes else texts, "shingle")
         .groupBy("doc_id", "item_id")
         .agg(F.countDistinct("shingle").alias("shared"))
     )
