@@ -35,7 +35,8 @@ from .common import staged, table
 from .textvec import mix, pieces, word_hashes
 
 SAMPLES = 64
-PIECE_BYTES, PAIRS = 1 << 20, 1 << 14
+# Texts and (document, word) pairs that are worked on together; a block of pairs fits a core's cache.
+PIECE_BYTES, PAIRS = 1 << 19, 1 << 9
 #: What a text without words has for every sample.
 NONE = -1
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -86,20 +87,20 @@ def samples(texts: pa.Array) -> np.ndarray:
         doc, word = pair // len(words), pair % len(words)
         low = np.full((len(piece), SAMPLES), np.iinfo(np.int64).max, np.int64)
         # a word that occurs once has t = 0, whatever the document
-        r, log_c, b = (np.empty((len(words), SAMPLES)) for _ in range(3))
         once = np.empty((len(words), SAMPLES), np.int64)
         for x in range(0, len(words), PAIRS):
-            y = slice(x, x + PAIRS)
-            r[y], log_c[y], b[y] = draws(words[y])
-            once[y] = packed(words[y], np.zeros((1, SAMPLES)), log_c[y] - r[y] * (1 - b[y]))
+            some = words[x : x + PAIRS]
+            r, log_c, b = draws(some)
+            once[x : x + PAIRS] = packed(some, np.zeros((1, SAMPLES)), log_c - r * (1 - b))
         for x in range(0, len(pair), PAIRS):
             d, w, n = doc[x : x + PAIRS], word[x : x + PAIRS], count[x : x + PAIRS]
             key = once[w]
             many = np.flatnonzero(n > 1)
             if len(many):
-                m = w[many]
-                t = np.floor(np.log(n[many])[:, None] / r[m] + b[m])
-                key[many] = packed(words[m], t, log_c[m] - r[m] * (t - b[m] + 1))
+                some = words[w[many]]
+                r, log_c, b = draws(some)
+                t = np.floor(np.log(n[many])[:, None] / r + b)
+                key[many] = packed(some, t, log_c - r * (t - b + 1))
             cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             at = d[cut]
             low[at] = np.minimum(low[at], np.minimum.reduceat(key, cut, axis=0))
@@ -108,12 +109,22 @@ def samples(texts: pa.Array) -> np.ndarray:
     return out
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def fingerprint(texts: pa.Array) -> pa.Array:
-    found = samples(texts)
+def _lists(found: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, SAMPLES, dtype=np.int32)), pa.array(found.ravel()))
 
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.ArrayType(T.LongType())) for c in ("text", "edited")]))
+def fingerprint(texts: pa.Array, edited: pa.Array) -> pa.Array:
+    """Samples of a text and its edited form; words that both have are drawn once."""
+    found: list = [[], []]
+    for start, piece in pieces(texts, PIECE_BYTES // 2):
+        both = samples(pa.concat_arrays([piece, edited.slice(start, len(piece))]))
+        found[0].append(both[: len(piece)])
+        found[1].append(both[len(piece) :])
+    sides = [_lists(np.concatenate(x) if x else np.zeros((0, SAMPLES), np.int64)) for x in found]
+    return pa.StructArray.from_arrays(sides, names=["text", "edited"])
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal samples; two empty fingerprints are alike."""
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
@@ -142,9 +153,9 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     full = docs.join(heads, ["k", "nul"], "left").select("k", "nul", "text", edited.alias("edited"))
     known = full.select(
         F.when(~F.col("nul"), F.col("k")).alias("doc_id"), F.xxhash64("text").alias("th"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint("text").alias("fingerprint"), fingerprint("edited").alias("edited_fingerprint"),
+        fingerprint("text", "edited").alias("f"),
     )
-    known = staged(known, "fp-known")
+    known = staged(known.select("doc_id", "th", "n_chars", "edited_sha256", F.col("f.text").alias("fingerprint"), F.col("f.edited").alias("edited_fingerprint")), "fp-known")
     following = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by("fingerprint", "th").alias("next_fp")).withColumnRenamed("doc_id", "next_id")
     out = known.join(after.join(following, "next_id").select("doc_id", "next_fp"), "doc_id", "left")
     return out.select(
