@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import DECIMAL, invoice_nature, plain_decimal, vat_rate
-from ..functions.textnorm import filled, strip
+from ..functions.textnorm import bind, filled, strip
 
 ROOT = "//*[local-name()='DLHDon'][not(ancestor-or-self::*[local-name()='Signature'])]"
 
@@ -53,15 +53,17 @@ def _field(name: str, raw: Column, normalized: Column, confidence: float, provid
     return F.struct(F.lit(name).alias("field_name"), raw.alias("raw_value"), normalized.alias("normalized_value"), F.lit(confidence).alias("confidence"), provider.alias("provider_field"))
 
 
-def _money(tag: str, names: tuple[str, ...]) -> tuple[Column, Column]:
-    """Raw value and provider field: the tag, else the provider's extension entries by name."""
-    standard = _child("TToan", tag)
-    raw, provider = F.when(standard.try_cast(DECIMAL).isNotNull(), standard), F.when(standard.try_cast(DECIMAL).isNotNull(), F.lit(tag))
-    for n in names:
-        entry = _text(f"(({ROOT})[1]//{_name('TToan')})[1]//{_name('TTin')}[{_name('TTruong')}='{n}'][1]/{_name('DLieu')}[1]")
-        ok = entry.try_cast(DECIMAL).isNotNull()
-        raw, provider = F.coalesce(raw, F.when(ok, entry)), F.coalesce(provider, F.when(ok, F.lit(f"{n}:Extension")))
-    return F.coalesce(raw, standard), F.coalesce(provider, F.when(standard.isNotNull(), F.lit(tag)))
+def _money_field(name: str, tag: str, names: tuple[str, ...]) -> Column:
+    """An amount: the tag, else the provider's extension entries by name; the first that is a number. Each path is read once."""
+    entry = lambda n: _text(f"(({ROOT})[1]//{_name('TToan')})[1]//{_name('TTin')}[{_name('TTruong')}='{n}'][1]/{_name('DLieu')}[1]")
+    sources = (tag, *[f"{n}:Extension" for n in names])
+
+    def first(texts: Column) -> Column:
+        each = [F.struct(F.get(texts, F.lit(i)).alias("raw"), F.lit(s).alias("provider")) for i, s in enumerate(sources)]
+        return F.coalesce(*[F.when(x["raw"].try_cast(DECIMAL).isNotNull(), x) for x in each], F.when(each[0]["raw"].isNotNull(), each[0]))
+
+    found = bind(F.array(_child("TToan", tag), *[entry(n) for n in names]), first)
+    return bind(found, lambda f: _field(name, f["raw"], plain_decimal(f["raw"].try_cast(DECIMAL)), 1.0, f["provider"]))
 
 
 def fields(df: DataFrame, xml: str = "xml") -> DataFrame:
@@ -71,12 +73,10 @@ def fields(df: DataFrame, xml: str = "xml") -> DataFrame:
     found.append(_field("TaxAuthorityCode", _text(f"(//{_name('MCCQT')}[not(ancestor::{_name('Signature')})])[1]"), null, 1.0, F.lit("MCCQT")))
     found.append(_field("LookupCode", _text(f"({ROOT})[1]/@Id"), null, 1.0, F.lit("Id")))
     for n, tag, names in MONEY_FIELDS:
-        raw, provider = _money(tag, names)
-        value = raw.try_cast(DECIMAL)
-        found.append(_field(n, raw, F.when(value.isNotNull(), plain_decimal(value)), 1.0, provider))
-    nature, currency = _child("TTChung", "TCHDon"), _child("TTChung", "DVTTe")
-    found.append(F.when(nature.isNotNull(), _field("InvoiceNature", nature, invoice_nature(nature), 1.0, F.lit("TCHDon"))).otherwise(_field("InvoiceNature", null, invoice_nature(F.lit("1")), 0.5, null)))
-    found.append(_field("Currency", F.coalesce(currency, F.lit("VND")), null, 1.0, F.when(currency.isNotNull(), F.lit("DVTTe"))))
+        found.append(_money_field(n, tag, names))
+    plain = _field("InvoiceNature", null, invoice_nature(F.lit("1")), 0.5, null)
+    found.append(bind(_child("TTChung", "TCHDon"), lambda x: F.when(x.isNotNull(), _field("InvoiceNature", x, invoice_nature(x), 1.0, F.lit("TCHDon"))).otherwise(plain)))
+    found.append(bind(_child("TTChung", "DVTTe"), lambda x: _field("Currency", F.coalesce(x, F.lit("VND")), null, 1.0, F.when(x.isNotNull(), F.lit("DVTTe")))))
     found.append(_field("DocumentType", F.lit("VatInvoice"), null, 1.0, null))
     rows = readable(df, xml).where("xml_status = 'ok'").select("doc_id", F.inline(F.array(*found)))
     return rows.where("raw_value IS NOT NULL OR normalized_value IS NOT NULL")
