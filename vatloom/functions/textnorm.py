@@ -74,22 +74,18 @@ def slug(c: Column) -> Column:
 
 
 def contains_any(c: Column, keywords: list[str] | tuple[str, ...]) -> Column:
-    """Whether any keyword is a substring."""
-
-    def found(x: Column) -> Column:
-        out = F.lit(False)
-        for k in keywords:
-            out = out | x.contains(k)
-        return out
-
-    return bind(c, found)
+    """Whether any keyword is a substring; ``c`` should be a column or bound, as it is looked at for each."""
+    found = F.lit(False)
+    for k in keywords:
+        found = found | c.contains(k)
+    return found
 
 
 def value_after_label(c: Column) -> Column:
     """Trimmed text after the first colon, or else the first hyphen; null without one or if nothing follows it."""
-    at = lambda x: F.when(F.instr(x, ":") > 0, F.instr(x, ":")).otherwise(F.instr(x, "-"))
-    after = lambda x, i: F.when((i > 0) & (i < F.length(x)), strip(F.substr(x, i + 1, F.length(x))))
-    return bind(c, lambda x: bind(at(x), lambda i: after(x, i)))
+    colon, dash = F.instr(c, ":"), F.instr(c, "-")
+    at = F.when(colon > 0, colon).otherwise(dash)
+    return F.when((at > 0) & (at < F.length(c)), strip(F.substr(c, at + 1, F.length(c))))
 
 
 def clean_value(c: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import MONEY, confidence_score
-from ..functions.textnorm import blank, clean_value, contains_any, filled, first_match, last_match, search_text, squeeze, strip, truncate, value_after_label
+from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, squeeze, strip, truncate, value_after_label
 from . import rules as R
 
 CANDIDATE = ("doc_id", "field_name", "raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field", "stage", "position", "rule")
@@ -150,7 +150,7 @@ def from_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 def from_table_footers(cells: DataFrame) -> DataFrame:
     """Table rows (doc_id, table_idx, page, row, col, text) with an amount label: the right-most other cell with a number, else the label's own."""
-    marked = cells.withColumns({"field": amount_field(search_text(F.coalesce("text", F.lit("")))), "value": last_match(F.coalesce("text", F.lit("")), MONEY)})
+    marked = cells.withColumns({"field": bind(search_text(F.coalesce("text", F.lit(""))), amount_field), "value": last_match(F.coalesce("text", F.lit("")), MONEY)})
     key = ["doc_id", "table_idx", "row"]
     label = F.min_by(F.when(F.col("field").isNotNull(), F.struct("col", "field", "text", "value")), F.when(F.col("field").isNotNull(), F.col("col")))
     rows = marked.groupBy(*key).agg(label.alias("label"), F.first("page").alias("page"), F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("col", "text", "value"))), asc=False).alias("values"))

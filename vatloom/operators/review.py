@@ -50,7 +50,7 @@ def line_items(cells: DataFrame) -> DataFrame:
     pick = lambda k: F.max(F.when(F.col("col") == F.col(k), F.col("text"))).alias(f"t_{k}")
     rows = body.groupBy(*TABLE, "row").agg(*[pick(k) for k in R.TABLE_COLUMNS])
     rows = rows.withColumn("description", strip(F.col("t_Description"))).where(~blank(F.col("description")))
-    rows = rows.where(~contains_any(search_text(F.col("description"), underscore=True), R.TABLE_FOOTER))
+    rows = rows.where(~bind(search_text(F.col("description"), underscore=True), lambda s: contains_any(s, R.TABLE_FOOTER)))
     numbers = {k: cell_number(F.col(f"t_{k}")).cast("decimal(18,4)") for k in ("Quantity", "UnitPrice", "Amount")}
     failed = [F.when(~blank(F.col(f"t_{k}")) & v.isNull(), F.concat(F.lit(f"{k} could not be parsed from \""), F.col(f"t_{k}"), F.lit('".'))) for k, v in numbers.items()]
     warnings = F.filter(F.array(*failed), lambda w: w.isNotNull())
