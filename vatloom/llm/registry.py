@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and DuckDB SQL where SQL can express them."""
 
-from . import decontaminate, fill_middle, fingerprint, html_text, langid, minhash, mixing, pii, preference, suffix_dedup, suffix_tree, vector_codes
+from . import decontaminate, fill_middle, fingerprint, html_text, langid, minhash, mixing, pii, preference, suffix_dedup, suffix_tree, toxicity, vector_codes
 
 QUERIES = {
     "op2_suffix_tree": suffix_tree.op2_suffix_tree,
@@ -13,6 +13,7 @@ QUERIES = {
     "op9_minhash": minhash.op9_minhash,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op6_mixing": mixing.op6_mixing,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_fill_middle": fill_middle.op13_fill_middle,
 }
