@@ -123,5 +123,5 @@ def last_match(c: Column, pattern: str) -> Column:
 
 
 def first_match(c: Column, pattern: str, group: int = 0) -> Column:
-    """A group of the first match; null without a match."""
-    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+    """A group of the first match; null without a match or where it is empty."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))

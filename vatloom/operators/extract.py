@@ -1,7 +1,7 @@
 """Candidate generators over document lines, pairs, paragraphs and cells, and the choice of one winner a field.
 
 Inputs are long DataFrames keyed by ``doc_id``. All candidates have one shape, so the generators are
-unions of projections and the winner is one grouped maximum: confidence, then source priority, then
+projections and the winner is one grouped maximum: confidence, then source priority, then
 insertion order (stage, position, rule). ``position`` is the line's place in its document, from 0.
 """
 
@@ -11,10 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import MONEY, confidence_score
-from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, squeeze, strip, truncate, value_after_label
+from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, split_lines, squeeze, strip, truncate, value_after_label
 from . import rules as R
 
 CANDIDATE = ("doc_id", "field_name", "raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field", "stage", "position", "rule")
+CANDIDATE_TYPE = "struct<field_name:string,raw_value:string,confidence:double,page:int,priority:int,method:string,source_text:string,source_type:string,provider_field:string,stage:int,rule:int>"
+TOP_LINE = "SupplierTopLine"
+AMOUNTS = ("SubtotalAmount", "VatAmount", "TotalAmount")
+
+
+def compact(search: Column) -> Column:
+    """Search text without blanks, where hints of patterns are looked for."""
+    return F.replace(search, F.lit(" "), F.lit(""))
+
+
+def _hinted(pattern: str, hint: Column) -> Column:
+    return contains_any(hint, R.HINTS[pattern])
+
+
+def _matches(text: Column, pattern: str, hint: Column) -> Column:
+    return _hinted(pattern, hint) & text.rlike(pattern)
 
 
 def amount_field(search: Column) -> Column:
@@ -33,78 +49,137 @@ def total_weight(search: Column) -> Column:
     return best
 
 
-def _candidate(field, value: Column, confidence: Column, priority: int, method: str, source: Column, *, page: Column | None = None, kind: str = "Line", provider: Column | None = None, rule: int = 0) -> Column:
+def _candidate(field, value: Column, confidence: Column, priority: int, method: str, source: Column, *, stage: int, page: Column | None = None, kind: str = "Line", provider: Column | None = None, rule: int = 0) -> Column:
     null = F.lit(None)
     return F.struct(
         (F.lit(field) if isinstance(field, str) else field).alias("field_name"), value.alias("raw_value"), confidence.cast("double").alias("confidence"),
         (null if page is None else page).cast("int").alias("page"), F.lit(priority).alias("priority"), F.lit(method).alias("method"), truncate(source).alias("source_text"),
-        F.lit(kind).alias("source_type"), (null if provider is None else provider).cast("string").alias("provider_field"), F.lit(rule).alias("rule"),
+        F.lit(kind).alias("source_type"), (null if provider is None else provider).cast("string").alias("provider_field"), F.lit(stage).alias("stage"), F.lit(rule).alias("rule"),
     )
 
 
-def _spread(df: DataFrame, stage: int, position: Column, found: list[Column]) -> DataFrame:
-    """One row a non-blank candidate."""
-    rows = df.select("doc_id", F.lit(stage).alias("stage"), position.cast("int").alias("position"), F.inline(F.array(*found)))
+def _spread(df: DataFrame, position: Column, found: Column) -> DataFrame:
+    """One row a non-blank candidate of an array. The array is a column of its own beside a bound one, which keeps both out of
+    whole-stage code: there they would be one method, too large to be compiled; here they are split into small ones."""
+    rows = df.select("doc_id", bind(position.cast("int"), lambda x: x).alias("position"), found.alias("_found")).select("doc_id", "position", F.inline_outer("_found"))
     return rows.where(~blank(F.col("raw_value"))).select(*CANDIDATE)
 
 
+def _chosen(rules: list[tuple[tuple[str, ...], Column]], only: tuple[str, ...] | None) -> Column:
+    """The candidates of rules that can give a wanted field; all of them without a wish. A currency may follow from the amounts."""
+    if only is not None:
+        only = (*only, *AMOUNTS) if "Currency" in only else only
+        rules = [r for r in rules if set(r[0]) & set(only)]
+    return F.array(*[c for _, c in rules]) if rules else F.array().cast(f"array<{CANDIDATE_TYPE}>")
+
+
+def gathered(lines: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """A row a document: its full ``text`` and its ``lines`` (page, line_no, text, confidence) in order, without blank ones.
+
+    ``texts`` (doc_id, text, confidence) are the full texts as they were read; where a document has none, its lines joined.
+    A document without lines has those of its full text, on page 1. A document is one row, so it must fit in one.
+    Rules cost far more than bytes suggest, so the exchange keeps the session's number of partitions and isn't merged.
+    """
+    lines = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    line = F.struct("page", "line_no", "text", "confidence")
+    docs = lines.withColumns({"page": F.col("page").cast("int"), "line_no": F.col("line_no").cast("int"), "confidence": F.col("confidence").cast("double")}).groupBy("doc_id").agg(F.sort_array(F.collect_list(line)).alias("every"))
+    joined = F.array_join(F.transform("every", lambda x: x["text"]), "\n")
+    own = F.filter("every", lambda x: ~blank(x["text"]))
+    if texts is None:
+        return docs.select("doc_id", joined.alias("text"), own.alias("lines"))
+    both = docs.join(texts.select("doc_id", F.col("text").alias("whole"), F.col("confidence").cast("double").alias("mean")), "doc_id", "full")
+    split = F.transform(split_lines(F.col("whole")), lambda x, i: F.struct(F.lit(1).alias("page"), i.alias("line_no"), x.alias("text"), F.col("mean").alias("confidence")))
+    found = both.select("doc_id", F.coalesce("whole", joined).alias("text"), own.alias("own"), split.alias("split"))
+    return found.select("doc_id", "text", F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("split", "own")).alias("lines"))
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("search", search_text(F.col("text"))).withColumn("compact", compact(F.col("search")))
+
+
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """Each line with search text, place, count, the next line and the flags that rules ask for; and the full text, at place -1."""
+    row = lambda page, text, confidence, position, after: F.struct(page.cast("int").alias("page"), text.alias("text"), confidence.cast("double").alias("confidence"), position.alias("position"), after.cast("string").alias("next_text"))
+    each = F.transform("lines", lambda x, i: row(x["page"], x["text"], x["confidence"], i, F.get("lines", i + 1)["text"]))
+    null = F.lit(None)
+    whole = F.array(row(null, F.col("text"), null, F.lit(-1), null))
+    rows = docs.select("doc_id", F.size("lines").alias("n_lines"), F.concat(each, whole).alias("_rows")).select("doc_id", "n_lines", F.inline_outer("_rows"))
+    rows = _searched(rows)
+    return rows.withColumns({f"has_{k}": contains_any(F.col("search"), words) for k, words in _FLAGS.items()} | {"amount_field": bind(F.col("search"), amount_field)})
+
+
 def line_context(lines: DataFrame) -> DataFrame:
     """Lines (doc_id, page, line_no, text, confidence) with search text, place, count and the next line."""
-    order = Window.partitionBy("doc_id").orderBy("page", "line_no")
-    kept = lines.where(~blank(F.col("text"))).withColumn("search", search_text(F.col("text")))
-    return kept.withColumns({
-        "position": F.row_number().over(order) - 1, "n_lines": F.count("*").over(Window.partitionBy("doc_id")), "next_text": F.lead("text").over(order),
-    })
+    return numbered_lines(gathered(lines)).where("position >= 0")
+
 
+#: Keywords that rules ask for.
+_FLAGS = {
+    "supplier": R.SUPPLIER, "tax_code": R.TAX_CODE, "number": R.INVOICE_NUMBER, "date": R.INVOICE_DATE, "due": R.DUE_DATE, "po": R.PO_NUMBER, "vat": R.VAT, "notes": R.NOTES,
+    "company": R.COMPANY, "address": R.ADDRESS, "no_vendor": R.NOT_A_VENDOR,
+}
 
-def from_lines(context: DataFrame) -> DataFrame:
-    """Keyword rules on single lines and the line after."""
+
+def line_rules() -> list[tuple[tuple[str, ...], Column]]:
+    """Keyword rules on a line and the line after: the fields that each can give, and the candidate."""
     text, search, after, page = F.col("text"), F.col("search"), F.col("next_text"), F.col("page")
     score = lambda base: confidence_score(base if isinstance(base, Column) else F.lit(base), F.col("confidence"))
-    labelled = F.coalesce(filled(value_after_label(text)), after)
+    labelled = F.coalesce(F.nullif(value_after_label(text), F.lit("")), after)
     near = lambda pattern, here=text: F.coalesce(first_match(here, pattern), first_match(after, pattern))
-    field = amount_field(search)
+    field = F.col("amount_field")
     own = last_match(text, MONEY)
-    amount = F.coalesce(filled(own), last_match(after, MONEY))
+    amount = F.coalesce(own, last_match(after, MONEY))
     place = F.when(F.col("n_lines") > 1, F.col("position") / (F.col("n_lines") - 1) * 0.05).otherwise(F.lit(0.0))
     total = F.least(F.lit(0.97), F.lit(0.88) + (total_weight(search) - 1) * 0.03 + place)
-    when = lambda cond, value: F.when(cond, value)
-    has = lambda words: contains_any(search, words)
-    found = [
-        _candidate("SupplierName", when(has(R.SUPPLIER), clean_value(labelled)), score(0.88), 60, "LineKeyword", text, page=page, rule=1),
-        _candidate("SupplierTaxCode", when(has(R.TAX_CODE), near(R.TAX_CODE_VALUE)), score(0.9), 70, "LineKeyword", text, page=page, rule=2),
-        _candidate("InvoiceNumber", when(has(R.INVOICE_NUMBER) & ~search.contains("ma so thue"), near(R.NUMBER_VALUE, F.coalesce(value_after_label(text), text))), score(F.when(search == "so", 0.72).otherwise(0.86)), 55, "LineKeyword", text, page=page, rule=3),
-        _candidate("InvoiceDate", when(has(R.INVOICE_DATE) & ~has(R.DUE_DATE), near(R.DATE_VALUE)), score(0.86), 55, "LineKeyword", text, page=page, rule=4),
-        _candidate("DueDate", when(has(R.DUE_DATE), near(R.DATE_VALUE)), score(0.86), 55, "LineKeyword", text, page=page, rule=5),
-        _candidate("PONumber", when(has(R.PO_NUMBER), clean_value(labelled)), score(0.84), 55, "LineKeyword", text, page=page, rule=6),
-        _candidate(field, when(~search.contains("in words") & field.isNotNull(), amount), score(F.when(field == "TotalAmount", total).otherwise(0.84)), 65, "LineKeyword", F.when(~blank(own), text).otherwise(after), page=page, rule=7),
-        _candidate("VatRate", when(has(R.VAT), first_match(text, R.RATE_MARKER)), score(0.8), 60, "LineKeyword", text, page=page, rule=8),
-        _candidate("Notes", when(has(R.NOTES), clean_value(labelled)), score(0.78), 35, "LineKeyword", text, page=page, rule=9),
-        _candidate("SupplierName", when((F.col("position") < 10) & has(R.COMPANY) & ~has(R.SUPPLIER), clean_value(text)), score(0.72), 30, "SupplierMarker", text, page=page, rule=10),
+    has = lambda flag: F.col(f"has_{flag}")
+
+    def rule(number: int, names, cond: Column, value: Column, base, priority: int, method: str = "LineKeyword", source: Column = text, stage: int = 5):
+        named = (names,) if isinstance(names, str) else AMOUNTS
+        return named, _candidate(names, F.when(cond, value), score(base), priority, method, source, stage=stage, page=page, rule=number)
+
+    return [
+        rule(1, "SupplierName", has("supplier"), clean_value(labelled), 0.88, 60),
+        rule(2, "SupplierTaxCode", has("tax_code"), near(R.TAX_CODE_VALUE), 0.9, 70),
+        rule(3, "InvoiceNumber", has("number") & ~search.contains("ma so thue"), near(R.NUMBER_VALUE, F.coalesce(value_after_label(text), text)), F.when(search == "so", 0.72).otherwise(0.86), 55),
+        rule(4, "InvoiceDate", has("date") & ~has("due"), near(R.DATE_VALUE), 0.86, 55),
+        rule(5, "DueDate", has("due"), near(R.DATE_VALUE), 0.86, 55),
+        rule(6, "PONumber", has("po"), clean_value(labelled), 0.84, 55),
+        rule(7, field, ~search.contains("in words") & field.isNotNull(), amount, F.when(field == "TotalAmount", total).otherwise(0.84), 65, source=F.when(own.isNotNull(), text).otherwise(after)),
+        rule(8, "VatRate", has("vat"), first_match(text, R.RATE_MARKER), 0.8, 60),
+        rule(9, "Notes", has("notes"), clean_value(labelled), 0.78, 35),
+        rule(10, "SupplierName", (F.col("position") < 10) & has("company") & ~has("supplier"), clean_value(text), 0.72, 30, "SupplierMarker"),
+        rule(0, "SupplierName", (F.col("position") < 6) & likely_merchant(text), clean_value(text), 0.68, 20, TOP_LINE, stage=7),
     ]
-    return _spread(context, 5, F.col("position"), found)
 
 
-def likely_merchant(text: Column, search: Column) -> Column:
-    """Whether a top line can be a merchant's name."""
+def from_lines(context: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Keyword rules on single lines and the line after, and top lines that can be a merchant's name, of which the first counts."""
+    return _spread(context, F.col("position"), _chosen(line_rules(), only))
+
+
+def likely_merchant(text: Column) -> Column:
+    """Whether a line can be a merchant's name, by its flags and shape."""
     t = strip(text)
-    words = (*R.TAX_CODE, *R.INVOICE_NUMBER, *R.INVOICE_DATE, *R.DUE_DATE, *R.PO_NUMBER, *R.SUPPLIER, *R.NOTES, *R.ADDRESS, *R.NOT_A_VENDOR)
+    marked = F.lit(False)
+    for flag in _FLAGS:
+        marked = marked | F.col(f"has_{flag}") if flag not in ("vat", "company") else marked
     digits, solid = F.length(F.regexp_replace(t, r"(?U)\D", "")), F.length(F.regexp_replace(t, r"(?U)\s", ""))
     shape = (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.rlike(r"(?U)^\d") & (digits <= solid * 0.5)
-    titled = t.rlike(R.INVOICE_TITLE) | t.rlike(R.RECEIPT_TITLE) | t.rlike(R.DATE_VALUE)
-    return shape & ~titled & ~contains_any(search, words) & amount_field(search).isNull()
+    titled = _matches(t, R.INVOICE_TITLE, F.col("compact")) | _matches(t, R.RECEIPT_TITLE, F.col("compact")) | t.rlike(R.DATE_VALUE)
+    return ~marked & F.col("amount_field").isNull() & shape & ~titled
 
 
 def from_top_lines(context: DataFrame) -> DataFrame:
     """The first of the first six lines that can be a merchant's name."""
-    ok = context.where((F.col("position") < 6) & likely_merchant(F.col("text"), F.col("search")))
-    first = ok.groupBy("doc_id").agg(F.min_by(F.struct("text", "confidence", "page", "position"), "position").alias("l")).select("doc_id", "l.*")
-    return _spread(first, 7, F.col("position"), [_candidate("SupplierName", clean_value(F.col("text")), confidence_score(F.lit(0.68), F.col("confidence")), 20, "SupplierTopLine", F.col("text"), page=F.col("page"))])
+    every = _spread(context, F.col("position"), F.array(line_rules()[-1][1]))
+    first = F.min_by(F.struct(*[c for c in CANDIDATE if c != "doc_id"]), "position")
+    return every.groupBy("doc_id").agg(first.alias("f")).select("doc_id", "f.*").select(*CANDIDATE)
 
 
 def from_pairs(pairs: DataFrame) -> DataFrame:
     """Key-value pairs (doc_id, pair_no, key, value, confidence, page): the first rule that the key meets."""
-    key, value = search_text(F.col("key")), F.col("value")
+    pairs = pairs.where(~blank(F.col("value"))).withColumn("_search", search_text(F.col("key")))
+    key, value = F.col("_search"), F.col("value")
     has = lambda words: contains_any(key, words)
     amount = amount_field(key)
     or_all = lambda pattern: F.coalesce(filled(first_match(value, pattern)), value)
@@ -115,14 +190,16 @@ def from_pairs(pairs: DataFrame) -> DataFrame:
         .when(is_amount, last_match(value, MONEY)).when(has(R.INVOICE_NUMBER), or_all(R.NUMBER_VALUE)).when(has(R.NOTES), clean_value(value))
     )
     source = F.concat(F.coalesce("key", F.lit("")), F.lit(": "), value)
-    return _spread(pairs.where(~blank(value)), 1, F.col("pair_no"), [_candidate(field, raw, F.coalesce("confidence", F.lit(0.9)), 105, "KeyValuePair", source, page=F.col("page"), kind="KeyValuePair", provider=F.col("key"))]).where("field_name IS NOT NULL")
+    found = _candidate(field, raw, F.coalesce("confidence", F.lit(0.9)), 105, "KeyValuePair", source, stage=1, page=F.col("page"), kind="KeyValuePair", provider=F.col("key"))
+    return _spread(pairs, F.col("pair_no"), F.array(found)).where("field_name IS NOT NULL")
 
 
 def from_provider(fields: DataFrame) -> DataFrame:
     """Provider fields (doc_id, field_no, key, value, confidence, page) by the fixed key map."""
     names = F.create_map(*[F.lit(x) for k, v in R.PROVIDER_KEYS.items() for x in (k.lower(), v)])
     field = names[F.lower("key")]
-    rows = _spread(fields, 2, F.col("field_no"), [_candidate(field, F.col("value"), F.coalesce("confidence", F.lit(0.9)), 100, "ProviderField", F.col("value"), page=F.col("page"), kind="ProviderField", provider=F.col("key"))])
+    found = _candidate(field, F.col("value"), F.coalesce("confidence", F.lit(0.9)), 100, "ProviderField", F.col("value"), stage=2, page=F.col("page"), kind="ProviderField", provider=F.col("key"))
+    rows = _spread(fields, F.col("field_no"), F.array(found))
     return rows.where("field_name IS NOT NULL")
 
 
@@ -132,20 +209,26 @@ _TEXT_RULES = (
 )
 
 
-def _from_text(df: DataFrame, position: Column, stage: int, bases: tuple[float, ...], priority: int, method: str, page: Column | None) -> DataFrame:
+def _text_rules(bases: tuple[float, ...], priority: int, method: str, stage: int, page: Column | None) -> list[tuple[tuple[str, ...], Column]]:
     text = F.col("text")
-    found = [_candidate(field, first_match(text, p, g), F.lit(base), priority, method, first_match(text, p), page=page, kind="Regex", rule=i) for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases))]
-    return _spread(df, stage, position, found)
+    found = lambda p: F.when(_hinted(p, F.col("compact")), first_match(text, p)) if p in R.HINTS else first_match(text, p)
+    value = lambda p, g: F.regexp_extract(found(p), p, g) if g else found(p)  # noqa: E731  a pattern that gave a match gives the same on the match
+    return [((field,), _candidate(field, value(p, g), F.lit(base), priority, method, found(p), stage=stage, page=page, kind="Regex", rule=i)) for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases))]
+
+
+def full_text_rules() -> list[tuple[tuple[str, ...], Column]]:
+    return _text_rules((0.64, 0.62, 0.60, 0.62, 0.60, 0.60), 10, "FullTextRegex", 3, None)
 
 
 def from_full_text(texts: DataFrame) -> DataFrame:
     """Patterns over the whole text (doc_id, text)."""
-    return _from_text(texts, F.lit(0), 3, (0.64, 0.62, 0.60, 0.62, 0.60, 0.60), 10, "FullTextRegex", None)
+    return _spread(_searched(texts), F.lit(0), _chosen(full_text_rules(), None))
 
 
 def from_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """Patterns over paragraphs (doc_id, paragraph_no, text, page)."""
-    return _from_text(paragraphs, F.col("paragraph_no"), 4, (0.68, 0.66, 0.64, 0.66, 0.64, 0.64), 15, "ParagraphRegex", F.col("page"))
+    rules = _text_rules((0.68, 0.66, 0.64, 0.66, 0.64, 0.64), 15, "ParagraphRegex", 4, F.col("page"))
+    return _spread(_searched(paragraphs), F.col("paragraph_no"), _chosen(rules, None))
 
 
 def from_table_footers(cells: DataFrame) -> DataFrame:
@@ -160,65 +243,93 @@ def from_table_footers(cells: DataFrame) -> DataFrame:
     bonus = F.when(F.col("n_rows") > 1, F.col("row") / (F.col("n_rows") - 1) * 0.05).otherwise(F.lit(0.0))
     score = F.least(F.lit(0.9), F.when(F.col("label.field") == "TotalAmount", 0.8).otherwise(0.76) + bonus)
     source = F.concat(F.col("label.text"), F.lit(" | "), F.coalesce(best["text"], F.col("label.text")))
-    return _spread(rows, 6, F.col("table_idx") * 100000 + F.col("row"), [_candidate(F.col("label.field"), value, score, 40, "TableFooter", source, page=F.col("page"), kind="Table")])
+    found = _candidate(F.col("label.field"), value, score, 40, "TableFooter", source, stage=6, page=F.col("page"), kind="Table")
+    return _spread(rows, F.col("table_idx") * 100000 + F.col("row"), F.array(found))
 
 
-def document_type(text: Column, search: Column) -> Column:
-    """The first outcome of the cascade, most specific first; null for none."""
-    has = search.contains
+def document_type(text: Column, search: Column, hint: Column | None = None) -> Column:
+    """The first outcome of the cascade, most specific first; null for none. ``hint`` is the search text without blanks."""
+    hint, has = compact(search) if hint is None else hint, search.contains
+    match = lambda pattern: _matches(text, pattern, hint)
     return (
-        F.when(text.rlike(R.APP_RECEIPT) | has("ma don hang"), "AppReceiptScreenshot")
-        .when(text.rlike(R.RESTAURANT), "RestaurantBill")
+        F.when(match(R.APP_RECEIPT) | has("ma don hang"), "AppReceiptScreenshot")
+        .when(match(R.RESTAURANT), "RestaurantBill")
         .when(has("hoa don ban hang"), "PosReceipt")
-        .when(text.rlike(R.RECEIPT_TITLE) | has("bien lai") | has("phieu thu") | has("receipt"), "Receipt")
+        .when(match(R.RECEIPT_TITLE) | has("bien lai") | has("phieu thu") | has("receipt"), "Receipt")
         .when(has("gia tri gia tang"), "VatInvoice")
-        .when(text.rlike(R.COMMERCIAL), "CommercialInvoice")
-        .when(text.rlike(R.INTERNATIONAL), "InternationalInvoice")
-        .when(text.rlike(R.INVOICE_TITLE) | has("hoa don") | has("invoice"), "Invoice")
+        .when(match(R.COMMERCIAL), "CommercialInvoice")
+        .when(match(R.INTERNATIONAL), "InternationalInvoice")
+        .when(match(R.INVOICE_TITLE) | has("hoa don") | has("invoice"), "Invoice")
     )
 
 
-def from_whole(texts: DataFrame) -> DataFrame:
-    """Document type and currency marker of a whole text (doc_id, text)."""
+def whole_rules() -> list[tuple[tuple[str, ...], Column]]:
+    """Document type and currency marker of a whole text, with its search text."""
     text = F.col("text")
-    kind = document_type(text, search_text(text))
-    found = [
-        _candidate("DocumentType", kind, F.lit(0.84), 45, "DocumentTypeHeuristic", kind, kind="Heuristic", rule=0),
-        _candidate("Currency", first_match(text, R.CURRENCY_MARKER), F.lit(0.78), 35, "CurrencyHeuristic", first_match(text, R.CURRENCY_MARKER), kind="Heuristic", rule=1),
+    kind = document_type(text, F.col("search"), F.col("compact"))
+    marker = F.when(_hinted(R.CURRENCY_MARKER, F.col("compact")), first_match(text, R.CURRENCY_MARKER))
+    return [
+        (("DocumentType",), _candidate("DocumentType", kind, F.lit(0.84), 45, "DocumentTypeHeuristic", kind, stage=8, kind="Heuristic", rule=0)),
+        (("Currency",), _candidate("Currency", marker, F.lit(0.78), 35, "CurrencyHeuristic", marker, stage=8, kind="Heuristic", rule=1)),
     ]
-    return _spread(texts, 8, F.lit(0), found)
 
 
-def with_default_currency(candidates: DataFrame) -> DataFrame:
-    """Adds VND where no currency was found and an amount is grouped by dots."""
-    amounts = F.col("field_name").isin("SubtotalAmount", "VatAmount", "TotalAmount")
-    per = candidates.groupBy("doc_id").agg(F.max(F.col("field_name") == "Currency").alias("known"), F.max(amounts & F.col("raw_value").rlike(R.GROUPED_MONEY)).alias("grouped"))
-    extra = _spread(per.where("grouped AND NOT known"), 9, F.lit(0), [_candidate("Currency", F.lit("VND"), F.lit(0.5), 5, "CurrencyDefault", F.lit(None).cast("string"), kind="Heuristic")])
-    return candidates.unionByName(extra)
+def from_whole(texts: DataFrame) -> DataFrame:
+    """Document type and currency marker of a whole text (doc_id, text)."""
+    return _spread(_searched(texts), F.lit(0), _chosen(whole_rules(), None))
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
-    """The winner of each field: highest confidence (null is 0), then priority, then first inserted. URL-like invoice numbers don't count."""
+_WON = ("raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field")
+
+
+def _winners(candidates: DataFrame, *more: Column) -> DataFrame:
+    """Of a document's top lines only the first is a candidate, so it is found beside the best of the others."""
     ok = candidates.where(~blank(F.col("raw_value")) & ~((F.col("field_name") == "InvoiceNumber") & F.col("raw_value").rlike(R.URL_LIKE)))
     rank = F.struct(F.coalesce("confidence", F.lit(0.0)), "priority", -F.col("stage"), -F.col("position"), -F.col("rule"))
-    best = F.max_by(F.struct("raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field"), rank)
-    return ok.groupBy("doc_id", "field_name").agg(best.alias("w")).select("doc_id", "field_name", "w.*")
+    top, won = F.col("method").eqNullSafe(TOP_LINE), F.struct(rank.alias("rank"), F.struct(*_WON).alias("w"))
+    others = F.max_by(F.when(~top, won), F.when(~top, rank))
+    first = F.min_by(F.when(top, won), F.when(top, F.struct("position", "stage", "rule")))
+    both = ok.groupBy("doc_id", "field_name").agg(others.alias("_o"), first.alias("_f"), *more)
+    better = F.col("_o").isNull() | (F.col("_f.rank") > F.col("_o.rank"))
+    return both.withColumn("w", F.when(F.col("_f").isNotNull() & better, F.col("_f.w")).otherwise(F.col("_o.w"))).drop("_o", "_f")
+
+
+def resolve(candidates: DataFrame) -> DataFrame:
+    """The winner of each field: highest confidence (null is 0), then priority, then first inserted. URL-like invoice numbers don't count."""
+    return _winners(candidates).select("doc_id", "field_name", "w.*")
+
+
+def resolve_with_default(candidates: DataFrame) -> DataFrame:
+    """Winners, and VND where no currency was found and an amount, winner or not, is grouped by dots. Candidates that lie
+    together by document need no further exchange: the currency is told from the winners of the document."""
+    grouped = F.max(F.col("field_name").isin(*AMOUNTS) & F.col("raw_value").rlike(R.GROUPED_MONEY))
+    won = _winners(candidates, grouped.alias("grouped"))
+    each = F.struct("field_name", "w.*")
+    docs = won.groupBy("doc_id").agg(F.collect_list(each).alias("all"), F.max(F.col("field_name") == "Currency").alias("known"), F.max("grouped").alias("grouped"))
+    default = _candidate("Currency", F.lit("VND"), F.lit(0.5), 5, "CurrencyDefault", F.lit(None).cast("string"), stage=9, kind="Heuristic")
+    extra = F.array(F.struct(*[default[c].alias(c) for c in ("field_name", *_WON)]))
+    return docs.select("doc_id", F.inline(F.when(F.col("grouped") & ~F.col("known"), F.concat("all", extra)).otherwise(F.col("all"))))
 
 
 def full_text(lines: DataFrame) -> DataFrame:
     """Lines joined in order."""
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", "line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return gathered(lines.withColumn("confidence", F.lit(None).cast("double"))).select("doc_id", "text")
+
 
+def extract(lines: DataFrame, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """All generators over one batch of documents, and the winners. With ``only``, rules that can't give these fields don't run.
 
-def extract(lines: DataFrame, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
-    """All generators over one batch of documents, and the winners."""
-    context, texts = line_context(lines), full_text(lines)
-    parts = [from_full_text(texts), from_lines(context), from_top_lines(context), from_whole(texts)]
-    parts += [f(x) for f, x in ((from_pairs, pairs), (from_provider, fields), (from_paragraphs, paragraphs), (from_table_footers, cells)) if x is not None]
-    every = parts[0]
-    for p in parts[1:]:
+    Lines are gathered by document once; every rule on lines and texts is one projection of them, so without other sources
+    that one exchange is all.
+    """
+    rows = numbered_lines(gathered(lines, texts))
+    found = F.when(F.col("position") >= 0, _chosen(line_rules(), only)).otherwise(_chosen([*full_text_rules(), *whole_rules()], only))
+    every = _spread(rows, F.greatest("position", F.lit(0)), found)
+    others = [f(x) for f, x in ((from_pairs, pairs), (from_provider, fields), (from_paragraphs, paragraphs), (from_table_footers, cells)) if x is not None]
+    for p in others:
         every = every.unionByName(p)
-    return resolve(with_default_currency(every))
+    won = resolve_with_default(every.repartition("doc_id") if others else every)
+    return won if only is None else won.where(F.col("field_name").isin(*only))
 
 
 def words_to_lines(words: DataFrame, factor: float = 0.6, least: float = 1.0) -> DataFrame:

@@ -193,7 +193,7 @@ def split_lines(spark, sf):
 @query("""SELECT conv_id, turn, md5(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS next_h FROM conversations""")
 def next_line(spark, sf):
     lines = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("line_no"), "text", F.lit(1.0).alias("confidence"))
-    return X.line_context(lines).select(F.col("doc_id").alias("conv_id"), F.col("line_no").alias("turn"), F.md5("next_text").alias("next_h"))
+    return X.line_context(lines).select(F.col("doc_id").alias("conv_id"), F.col("position").alias("turn"), F.md5("next_text").alias("next_h"))
 
 
 @query("""SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id""")
@@ -227,14 +227,13 @@ UNION ALL SELECT doc_id, 'SubtotalAmount', gs || ' VND' FROM x UNION ALL SELECT
 
 @query(_WANTED)
 def line_fields(spark, sf):
-    won = X.extract(rendered_lines(invoices(spark, sf)))
     wanted = ("SupplierName", "SupplierTaxCode", "InvoiceNumber", "InvoiceDate", "SubtotalAmount", "VatAmount", "TotalAmount")
-    return won.where(F.col("field_name").isin(*wanted)).select("doc_id", "field_name", T.strip(F.col("raw_value")).alias("raw_value"))
+    return X.extract(rendered_lines(invoices(spark, sf)), only=wanted).select("doc_id", "field_name", T.strip(F.col("raw_value")).alias("raw_value"))
 
 
 @query(f"""WITH {INV} SELECT doc_id, 'VatInvoice' AS document_type, 'VND' AS currency FROM inv""")
 def line_types(spark, sf):
-    won = X.extract(rendered_lines(invoices(spark, sf)))
+    won = X.extract(rendered_lines(invoices(spark, sf)), only=("DocumentType", "Currency"))
     pickf = lambda n: F.max(F.when(F.col("field_name") == n, F.col("raw_value")))
     return won.groupBy("doc_id").agg(pickf("DocumentType").alias("document_type"), pickf("Currency").alias("currency"))
 
@@ -286,7 +285,7 @@ def top_line(spark, sf):
 @query(f"""WITH {INV} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'USD' ELSE 'VND' END AS currency, CAST(CASE WHEN doc_id % 3 = 0 THEN 0.78 ELSE 0.5 END AS DOUBLE) AS confidence FROM inv""")
 def default_currency(spark, sf):
     each = invoices(spark, sf).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.concat(F.lit("Tổng cộng: "), dotted(F.col("total")), F.when(_id() % 3 == 0, F.lit("\nUSD")).otherwise(F.lit(""))).alias("text"), F.lit(1.0).alias("confidence"))
-    return X.extract(each).where("field_name = 'Currency'").select("doc_id", F.col("raw_value").alias("currency"), "confidence")
+    return X.extract(each, only=("Currency",)).select("doc_id", F.col("raw_value").alias("currency"), "confidence")
 
 
 _TITLES = ("Mã đơn hàng 12", "NHÀ HÀNG Sen", "HÓA ĐƠN BÁN HÀNG", "Biên lai", "HÓA ĐƠN GIÁ TRỊ GIA TĂNG", "Commercial Invoice", "Bill To: x", "Hóa đơn", "khác")
