@@ -31,6 +31,14 @@ def duplicate_tax_codes(clients: DataFrame) -> DataFrame:
     return clients.where("tax_code IS NOT NULL").groupBy("org_id", "tax_code").agg(F.count("*").alias("n"), F.min("client_id").alias("first_id")).where("n > 1")
 
 
+def taken(asked: DataFrame, clients: DataFrame) -> DataFrame:
+    """Requests (request_id, org_id, tax_code, client_id: the client that is edited, null for a new one) with ``taken``: another client
+    of the organization has the tax code. A null code is never taken."""
+    held = clients.where("tax_code IS NOT NULL").groupBy("org_id", "tax_code").agg(F.count("*").alias("_n"), F.max("client_id").alias("_hi"), F.min("client_id").alias("_lo"))
+    other = F.col("client_id").isNull() | (F.col("_n") > 1) & (F.col("_hi") != F.col("_lo")) | (F.col("_lo") != F.col("client_id"))
+    return asked.join(held, ["org_id", "tax_code"], "left").withColumn("taken", F.col("_n").isNotNull() & other).drop("_n", "_hi", "_lo")
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of ``changes`` replace rows of the same key; others stay; new ones are added."""
     return current.join(changes, key, "left_anti").unionByName(changes.select(*current.columns))

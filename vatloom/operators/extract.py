@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import MONEY, confidence_score
 from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, split_lines, squeeze, strip, truncate, value_after_label
 from . import rules as R
+from .lists import polygon_span
 
 CANDIDATE = ("doc_id", "field_name", "raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field", "stage", "position", "rule")
 CANDIDATE_TYPE = "struct<field_name:string,raw_value:string,confidence:double,page:int,priority:int,method:string,source_text:string,source_type:string,provider_field:string,stage:int,rule:int>"
@@ -354,3 +355,14 @@ def words_to_lines(words: DataFrame, factor: float = 0.6, least: float = 1.0) ->
 def words_on_lines(words: DataFrame, lines: DataFrame) -> DataFrame:
     """Words (doc_id, page, word_no, y) whose middle lies between a line's top and bottom (doc_id, page, line_no, y_min, y_max); a word may be on several."""
     return words.join(lines, ["doc_id", "page"]).where(F.col("y").between(F.col("y_min"), F.col("y_max"))).select("doc_id", "page", "word_no", "line_no")
+
+
+def polygon_words(words: DataFrame, lines: DataFrame, step: float = 1.0) -> DataFrame:
+    """Words (doc_id, page, word_no, polygon) on lines (doc_id, page, line_no, polygon): the mean of a word's heights lies within a
+    line's, ends included; polygons below two numbers are on nothing. A line is laid into every band of ``step`` that it crosses, a
+    word into its own, so that a full page joins band by band and not every word with every line."""
+    band = lambda y: F.floor(y / step)
+    w = words.withColumn("_s", polygon_span(F.col("polygon"))).where("_s IS NOT NULL").select("doc_id", "page", "word_no", F.col("_s.mean").alias("_y"), band(F.col("_s.mean")).alias("_band"))
+    spans = lines.withColumn("_s", polygon_span(F.col("polygon"))).where("_s IS NOT NULL")
+    ln = spans.select("doc_id", "page", "line_no", F.col("_s.low").alias("_low"), F.col("_s.high").alias("_high"), F.explode(F.sequence(band(F.col("_s.low")), band(F.col("_s.high")))).alias("_band"))
+    return w.join(ln, ["doc_id", "page", "_band"]).where(F.col("_y").between(F.col("_low"), F.col("_high"))).select("doc_id", "page", "word_no", "line_no")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.textnorm import strip_marks
-
 REPORTABLE = ("Processed", "Reviewed")
 
 
@@ -42,8 +40,10 @@ def page_with_total(df: DataFrame, order: list[Column], number: int = 1, size: i
 
 
 def by_name(df: DataFrame, name: str) -> DataFrame:
-    """Rows by name as a dictionary has them: without case and marks first, then as written."""
-    return df.orderBy(F.lower(strip_marks(F.col(name), "case")), name)
+    """Rows by name as a dictionary has them: by the root collation without case and marks, then as written. Spark's
+    collations have no rule for the crossed d, so it counts as d."""
+    plain = F.translate(F.col(name), "đĐ", "dD")
+    return df.orderBy(F.collate(plain, "UNICODE_CI_AI"), name)
 
 
 def latest(logs: DataFrame, key: str = "doc_id", at: str = "created_at") -> DataFrame:
@@ -84,12 +84,18 @@ def line_boxes(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "page", "line_no").agg(F.min("x_min").alias("x_min"), F.min("y_min").alias("y_min"), F.max("x_max").alias("x_max"), F.max("y_max").alias("y_max"))
 
 
-def polygon_box(polygon: Column) -> Column:
-    """(left, top, width, height) of a flat list of x, y, x, y, ...; null below four points or with a half point."""
-    side = lambda first: F.filter(polygon, lambda _x, i: i % 2 == first)
-    x, y = side(0), side(1)
-    box = F.struct(F.array_min(x).alias("left"), F.array_min(y).alias("top"), (F.array_max(x) - F.array_min(x)).alias("width"), (F.array_max(y) - F.array_min(y)).alias("height"))
-    return F.when((F.size(polygon) >= 8) & (F.size(polygon) % 2 == 0), box)
+def polygon_points(polygon: Column) -> Column:
+    """The points (x, y) of a flat list of x, y, x, y, ...; null below two numbers; an odd number at the end is left out."""
+    half = F.floor(F.size(polygon) / 2).cast("int")
+    points = F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.struct(F.get(polygon, i * 2).alias("x"), F.get(polygon, i * 2 + 1).alias("y")))
+    return F.when(F.size(polygon) >= 2, points)
+
+
+def polygon_span(polygon: Column) -> Column:
+    """(low, high, mean) of the y of a flat list of x, y, x, y, ...; null below two numbers."""
+    y = F.filter(polygon, lambda _x, i: i % 2 == 1)
+    mean = F.aggregate(y, F.lit(0.0), lambda s, v: s + v.cast("double"), lambda s: s / F.size(y))
+    return F.when(F.size(polygon) >= 2, F.struct(F.array_min(y).alias("low"), F.array_max(y).alias("high"), mean.alias("mean")))
 
 
 def flipped_box(left: Column, bottom: Column, right: Column, top: Column, page_height: Column) -> Column:
@@ -108,16 +114,23 @@ SHORT = "Không đủ credit (còn %d). Nạp thêm để tiếp tục xử lý.
 CAPPED = "Daily credit spending limit reached for this organization. Please try again tomorrow or contact support."
 
 
+#: Fixed value: what the debug view says of a document.
+SUMMARY = "%d page(s), %d table(s), %d field(s), %d warning(s)"
+
+
 def refusals(decided: DataFrame) -> DataFrame:
     """Charges that the gate decided (doc_id, accepted, balance, amount), with the reason of a refusal; refused documents are not queued."""
     why = F.when(F.col("balance") < F.col("amount"), F.format_string(SHORT, "balance")).otherwise(F.lit(CAPPED))
     return decided.withColumn("refusal", F.when(~F.col("accepted"), why))
 
 
-def debug_summary(logs: DataFrame) -> DataFrame:
-    """A line of text on the latest log (doc_id, created_at, provider, status, pages) of each document."""
-    text = F.format_string("%s: %s, %d page(s)", F.coalesce("provider", F.lit("unknown")), F.coalesce("status", F.lit("unknown")), F.coalesce("pages", F.lit(0)))
-    return latest(logs).select("doc_id", text.alias("summary"))
+def debug_summary(documents: DataFrame, tables: DataFrame, fields: DataFrame, warnings: DataFrame) -> DataFrame:
+    """A line of text on each document (doc_id, page_count): its pages, tables (doc_id, table_idx, ...), fields and warnings."""
+    counted = lambda rows, name, what=F.lit(1): rows.groupBy("doc_id").agg(F.count(what).alias(name))
+    each = tables.groupBy("doc_id").agg(F.count_distinct("table_idx").alias("_t"))
+    out = documents.join(each, "doc_id", "left").join(counted(fields, "_f"), "doc_id", "left").join(counted(warnings, "_w"), "doc_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return out.select("doc_id", F.format_string(SUMMARY, n("page_count"), n("_t"), n("_f"), n("_w")).alias("summary"))
 
 
 def edits_by_row(patches: DataFrame) -> DataFrame:

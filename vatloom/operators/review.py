@@ -61,9 +61,18 @@ def line_items(cells: DataFrame) -> DataFrame:
     )
 
 
-def table_sheet(cells: DataFrame, width: int) -> DataFrame:
-    """One row a table row, columns padded to ``width``."""
-    return cells.groupBy(*TABLE, "row").pivot("col", list(range(width))).agg(F.first("text")).select(*TABLE, "row", *[F.coalesce(F.col(str(i)), F.lit("")).alias(f"c{i}") for i in range(width)])
+def table_width(cells: DataFrame) -> int:
+    """Columns of the widest table; 0 without any."""
+    return cells.agg(F.coalesce(F.max("col") + 1, F.lit(0)).alias("w")).first()["w"]
+
+
+def table_sheet(cells: DataFrame, width: int | None = None) -> DataFrame:
+    """One row a table row, columns padded to ``width``, or to the widest table; of cells at one place the first text by order counts."""
+    width = table_width(cells) if width is None else width
+    rows = cells.groupBy(*TABLE, "row")
+    if not width:
+        return rows.agg(F.lit(1)).select(*TABLE, "row")
+    return rows.pivot("col", list(range(width))).agg(F.min("text")).select(*TABLE, "row", *[F.coalesce(F.col(str(i)), F.lit("")).alias(f"c{i}") for i in range(width)])
 
 
 def mapped(fields: DataFrame, documents: DataFrame, profile: DataFrame) -> DataFrame:

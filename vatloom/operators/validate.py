@@ -19,6 +19,8 @@ MESSAGES = {
     "INVALID_TOTAL_AMOUNT": "TotalAmount '%s' must be a positive number.",
     "AMOUNT_CONSISTENCY_MISMATCH": "SubtotalAmount (%s) + VatAmount (%s) = %s, but TotalAmount is %s. Difference exceeds the allowed rounding tolerance.",
     "LOW_CONFIDENCE": "Field '%s' has low confidence (%d%%). Please verify.",
+    "DOCUMENT_DIRECTION_UNKNOWN": "Could not determine whether this is a purchase or a sale — please select it manually.",
+    "EXPERIMENTAL_DOCUMENT_CATEGORY": "This document category has lower extraction reliability (e.g. handwritten or mixed-format bills) — please review every field carefully.",
 }
 
 WARNING = ("doc_id", "field_name", "code", "severity", "message")
@@ -109,11 +111,18 @@ def low_confidence(fields: DataFrame, least: float = 0.75) -> DataFrame:
 
 def experimental(documents: DataFrame) -> DataFrame:
     """A note on documents of a profile that is still on trial."""
-    return _warn(documents.where(F.col("profile").isin(*R.EXPERIMENTAL)), F.lit(None).cast("string"), "EXPERIMENTAL_DOCUMENT_CATEGORY", "Info", F.lit("This document category is experimental."))
+    return _warn(documents.where(F.col("profile").isin(*R.EXPERIMENTAL)), F.lit(None).cast("string"), "EXPERIMENTAL_DOCUMENT_CATEGORY", "Info", F.lit(MESSAGES["EXPERIMENTAL_DOCUMENT_CATEGORY"]))
 
 
 def direction_unknown(documents: DataFrame) -> DataFrame:
-    return _warn(documents.where("direction = 'Unknown'"), F.lit(None).cast("string"), "DOCUMENT_DIRECTION_UNKNOWN", "Info", F.lit("Purchase or sale could not be told from the client's tax code."))
+    return _warn(documents.where("direction = 'Unknown'"), F.lit(None).cast("string"), "DOCUMENT_DIRECTION_UNKNOWN", "Info", F.lit(MESSAGES["DOCUMENT_DIRECTION_UNKNOWN"]))
+
+
+def with_direction(warnings: DataFrame, documents: DataFrame) -> DataFrame:
+    """Warnings after the direction of ``documents`` (doc_id, direction) was told anew: their old note on it goes, and a new one
+    comes where it is unknown; other documents keep theirs."""
+    stale = documents.select("doc_id").distinct().withColumn("code", F.lit("DOCUMENT_DIRECTION_UNKNOWN"))
+    return warnings.join(stale, ["doc_id", "code"], "left_anti").select(*WARNING).unionByName(direction_unknown(documents))
 
 
 def validate(fields: DataFrame, documents: DataFrame, profile: DataFrame, as_of: Column) -> DataFrame:

@@ -1,8 +1,10 @@
-"""E-invoice XML to fields and tax lines, by XPath over local names.
+"""E-invoice XML to fields and tax lines.
 
-XPath raises on malformed input and expands entities, so every expression is guarded: a document is
-read only if it parses, and any DOCTYPE is refused. The invoice is the first DLHDon that has no
-Signature above it.
+A document is decoded once, by ``from_xml`` with the schema of an invoice; prefixes are ignored and every element is
+an array, so that the first of repeated ones counts, and fields are looked up in that tree. An invoice in another
+place than below the root, or with a block that the tree lacks although the text names it, is read by XPath over local
+names instead; both give the same texts, so what follows doesn't know which was used. Malformed input and any DOCTYPE
+are refused. The invoice is the first DLHDon that has no Signature above it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import DECIMAL, invoice_nature, plain_decimal, vat_rate
-from ..functions.textnorm import bind, filled, strip
+from ..functions.textnorm import strip
 
 ROOT = "//*[local-name()='DLHDon'][not(ancestor-or-self::*[local-name()='Signature'])]"
 
@@ -26,69 +28,128 @@ MONEY_FIELDS = (
 )
 
 
-def _name(tag: str) -> str:
-    return f"*[local-name()='{tag}']"
+_TEXTS = "array<string>"
+_RATE = "struct<TSuat:array<string>,ThTien:array<string>,TThue:array<string>>"
+_EXTRA = "array<struct<TTin:array<struct<TTruong:array<string>,DLieu:array<string>>>>>"
 
 
-def readable(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds ``xml_status``: ok, no invoice, or unreadable (malformed, DOCTYPE, null); ``safe_xml`` is null unless readable."""
-    probe = F.from_xml(F.col(xml), "_corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    good = F.col(xml).isNotNull() & ~F.coalesce(F.col(xml).rlike("(?i)<!DOCTYPE"), F.lit(False)) & probe["_corrupt_record"].isNull()
-    out = df.withColumn("safe_xml", F.when(good, F.col(xml)))
-    found = F.when(F.col("safe_xml").isNotNull(), F.xpath_boolean("safe_xml", F.lit(ROOT)))
-    return out.withColumn("xml_status", F.when(F.col("safe_xml").isNull(), "unreadable").when(found, "ok").otherwise("no invoice"))
+def _block(name: str, more: str = "") -> str:
+    tags = [t for _, b, t in TEXT_FIELDS if b == name] + [t for t in ("TCHDon", "DVTTe") if name == "TTChung"]
+    return f"{name}:array<struct<{','.join(f'{t}:{_TEXTS}' for t in tags)}{more}>>"
+
+
+_TOTALS = _block("TToan", "," + ",".join(f"{t}:{_TEXTS}" for _, t, _ in MONEY_FIELDS) + f",THTTLTSuat:array<struct<LTSuat:array<{_RATE}>>>,TTKhac:{_EXTRA}")
+SCHEMA = f"DLHDon array<struct<_Id:string,{_block('TTChung')},NDHDon:array<struct<{_block('NBan')},{_block('NMua')},{_TOTALS}>>>>, MCCQT {_TEXTS}, _corrupt_record string"
+
+
+def _name(tag: str) -> str:
+    return f"*[local-name()='{tag}']"
 
 
-def _text(path: str) -> Column:
-    """Trimmed text at a path; null if absent or blank."""
-    return filled(strip(F.when(F.col("xml_status") == "ok", F.xpath_string("safe_xml", F.lit(path)))))
+def _first(c: Column, *tags: str) -> Column:
+    for t in tags:
+        c = F.get(c[t], F.lit(0))
+    return c
+
+
+def _filled(c: Column) -> Column:
+    """Trimmed text; null if absent or blank."""
+    return F.nullif(strip(c), F.lit(""))
+
+
+def _typed(x: Column) -> Column:
+    """All texts that fields are made of, from the decoded tree."""
+    root = _first(x, "DLHDon")
+    block = {"TTChung": _first(root, "TTChung")} | {b: _first(root, "NDHDon", b) for b in ("NBan", "NMua", "TToan")}
+    entries = _first(block["TToan"], "TTKhac")["TTin"]
+    named = lambda n: F.get(F.filter(entries, lambda e: F.get(e["TTruong"], F.lit(0)) == n), F.lit(0))
+    texts = {name: _first(block[b], t) for name, b, t in TEXT_FIELDS} | {"TCHDon": _first(block["TTChung"], "TCHDon"), "DVTTe": _first(block["TTChung"], "DVTTe"), "MCCQT": _first(x, "MCCQT"), "Id": root["_Id"]}
+    for name, tag, names in MONEY_FIELDS:
+        texts[name] = _first(block["TToan"], tag)
+        texts |= {f"{n}:Extension": _first(named(n), "DLieu") for n in names}
+    rates = F.transform(_first(block["TToan"], "THTTLTSuat")["LTSuat"], lambda r: F.struct(*[F.get(r[t], F.lit(0)).alias(t) for t in ("TSuat", "ThTien", "TThue")]))
+    return F.struct(*[_filled(c).alias(k) for k, c in texts.items()], rates.alias("rates"))
+
+
+def _by_path(xml: Column) -> Column:
+    """The same texts by XPath."""
+    text = lambda path: F.xpath_string(xml, F.lit(path))
+    child = lambda b, t: text(f"(({ROOT})[1]//{_name(b)})[1]/{_name(t)}[1]")
+    total = f"(({ROOT})[1]//{_name('TToan')})[1]"
+    texts = {name: child(b, t) for name, b, t in TEXT_FIELDS} | {"TCHDon": child("TTChung", "TCHDon"), "DVTTe": child("TTChung", "DVTTe")}
+    texts |= {"MCCQT": text(f"(//{_name('MCCQT')}[not(ancestor::{_name('Signature')})])[1]"), "Id": text(f"({ROOT})[1]/@Id")}
+    for name, tag, names in MONEY_FIELDS:
+        texts[name] = child("TToan", tag)
+        texts |= {f"{n}:Extension": text(f"{total}//{_name('TTin')}[{_name('TTruong')}='{n}'][1]/{_name('DLieu')}[1]") for n in names}
+    path = f"{total}//{_name('THTTLTSuat')}[1]/{_name('LTSuat')}"
+    place = F.sequence(F.lit(1), F.xpath_int(xml, F.lit(f"count({path})")))
+    values = {t: F.xpath(xml, F.lit(f"{path}/{_name(t)}/text()")) for t in ("TSuat", "ThTien", "TThue")}
+    rates = F.when(F.xpath_boolean(xml, F.lit(path)), F.transform(place, lambda i: F.struct(*[F.get(v, i - 1).alias(t) for t, v in values.items()])))
+    return F.struct(*[_filled(c).alias(k) for k, c in texts.items()], rates.alias("rates"))
+
+
+def decoded(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """Adds ``xml_status``: ok, no invoice, or unreadable (malformed, DOCTYPE, null); and ``texts``, null unless ok. One parse a document."""
+    refused = F.coalesce(F.col(xml).rlike("(?i)<!DOCTYPE"), F.lit(True))
+    tree = F.from_xml(F.when(~refused, F.col(xml)), SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreNamespace": "true"})
+    x = F.col("_tree")
+    bad = x.isNull() | x["_corrupt_record"].isNotNull()
+    root = _first(x, "DLHDon")
+    inner = _first(root, "NDHDon")
+    lacks = [(root["TTChung"], "TTChung"), (inner["NBan"], "NBan"), (inner["NMua"], "NMua"), (inner["TToan"], "TToan"), (x["MCCQT"], "MCCQT")]
+    elsewhere = F.lit(False)
+    for found, tag in lacks:
+        elsewhere = elsewhere | (found.isNull() & F.col(xml).contains(tag))
+    total = _first(inner, "TToan")
+    elsewhere = elsewhere | (total["THTTLTSuat"].isNull() & F.col(xml).contains("THTTLTSuat")) | (total["TTKhac"].isNull() & F.col(xml).contains("TTin"))
+    plain = root.isNotNull() & ~elsewhere
+    there = F.col(xml).contains("DLHDon") & F.xpath_boolean(xml, F.lit(ROOT))
+    status = F.when(bad, "unreadable").when(plain, "plain").when(there, "elsewhere").otherwise("no invoice")
+    read = df.withColumn("_tree", tree).withColumn("_status", status)
+    texts = F.when(F.col("_status") == "plain", _typed(x)).when(F.col("_status") == "elsewhere", _by_path(F.col(xml)))
+    ok = F.when(F.col("_status").isin("plain", "elsewhere"), "ok").otherwise(F.col("_status"))
+    return read.withColumns({"texts": texts, "xml_status": ok}).drop("_tree", "_status")
 
 
-def _child(block: str, tag: str) -> Column:
-    return _text(f"(({ROOT})[1]//{_name(block)})[1]/{_name(tag)}[1]")
+def readable(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """Adds ``xml_status`` and ``safe_xml``, which is null unless the document is well-formed and without DOCTYPE."""
+    out = decoded(df, xml).drop("texts")
+    return out.withColumn("safe_xml", F.when(F.col("xml_status") != "unreadable", F.col(xml)))
 
 
 def _field(name: str, raw: Column, normalized: Column, confidence: float, provider: Column | None) -> Column:
     provider = F.lit(None).cast("string") if provider is None else provider
-    return F.struct(F.lit(name).alias("field_name"), raw.alias("raw_value"), normalized.alias("normalized_value"), F.lit(confidence).alias("confidence"), provider.alias("provider_field"))
+    return F.struct(F.lit(name).alias("field_name"), raw.cast("string").alias("raw_value"), normalized.cast("string").alias("normalized_value"), F.lit(confidence).alias("confidence"), provider.cast("string").alias("provider_field"))
 
 
 def _money_field(name: str, tag: str, names: tuple[str, ...]) -> Column:
-    """An amount: the tag, else the provider's extension entries by name; the first that is a number. Each path is read once."""
-    entry = lambda n: _text(f"(({ROOT})[1]//{_name('TToan')})[1]//{_name('TTin')}[{_name('TTruong')}='{n}'][1]/{_name('DLieu')}[1]")
-    sources = (tag, *[f"{n}:Extension" for n in names])
-
-    def first(texts: Column) -> Column:
-        each = [F.struct(F.get(texts, F.lit(i)).alias("raw"), F.lit(s).alias("provider")) for i, s in enumerate(sources)]
-        return F.coalesce(*[F.when(x["raw"].try_cast(DECIMAL).isNotNull(), x) for x in each], F.when(each[0]["raw"].isNotNull(), each[0]))
-
-    found = bind(F.array(_child("TToan", tag), *[entry(n) for n in names]), first)
-    return bind(found, lambda f: _field(name, f["raw"], plain_decimal(f["raw"].try_cast(DECIMAL)), 1.0, f["provider"]))
+    """An amount: the tag, else the provider's extension entries by name; the first that is a number, else the tag's text."""
+    t = F.col("texts")
+    sources = [(t[name], tag), *[(t[f"{n}:Extension"], f"{n}:Extension") for n in names]]
+    raw, provider = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for text, source in reversed(sources):
+        number = text.try_cast(DECIMAL).isNotNull()
+        raw, provider = F.when(number, text).otherwise(raw), F.when(number, F.lit(source)).otherwise(provider)
+    raw, provider = F.coalesce(raw, t[name]), F.when(raw.isNull() & t[name].isNotNull(), F.lit(tag)).otherwise(provider)
+    return _field(name, raw, plain_decimal(raw.try_cast(DECIMAL)), 1.0, provider)
 
 
 def fields(df: DataFrame, xml: str = "xml") -> DataFrame:
     """doc_id, field_name, raw_value, normalized_value, confidence, provider_field of every readable invoice."""
-    null = F.lit(None).cast("string")
-    found = [_field(n, _child(b, t), null, 1.0, F.lit(t)) for n, b, t in TEXT_FIELDS]
-    found.append(_field("TaxAuthorityCode", _text(f"(//{_name('MCCQT')}[not(ancestor::{_name('Signature')})])[1]"), null, 1.0, F.lit("MCCQT")))
-    found.append(_field("LookupCode", _text(f"({ROOT})[1]/@Id"), null, 1.0, F.lit("Id")))
-    for n, tag, names in MONEY_FIELDS:
-        found.append(_money_field(n, tag, names))
-    plain = _field("InvoiceNature", null, invoice_nature(F.lit("1")), 0.5, null)
-    found.append(bind(_child("TTChung", "TCHDon"), lambda x: F.when(x.isNotNull(), _field("InvoiceNature", x, invoice_nature(x), 1.0, F.lit("TCHDon"))).otherwise(plain)))
-    found.append(bind(_child("TTChung", "DVTTe"), lambda x: _field("Currency", F.coalesce(x, F.lit("VND")), null, 1.0, F.when(x.isNotNull(), F.lit("DVTTe")))))
-    found.append(_field("DocumentType", F.lit("VatInvoice"), null, 1.0, null))
-    rows = readable(df, xml).where("xml_status = 'ok'").select("doc_id", F.inline(F.array(*found)))
-    return rows.where("raw_value IS NOT NULL OR normalized_value IS NOT NULL")
+    null, t = F.lit(None), F.col("texts")
+    found = [_field(n, t[n], null, 1.0, F.lit(tag)) for n, _, tag in TEXT_FIELDS]
+    found += [_field("TaxAuthorityCode", t["MCCQT"], null, 1.0, F.lit("MCCQT")), _field("LookupCode", t["Id"], null, 1.0, F.lit("Id"))]
+    found += [_money_field(*m) for m in MONEY_FIELDS]
+    nature = t["TCHDon"]
+    found.append(F.when(nature.isNotNull(), _field("InvoiceNature", nature, invoice_nature(nature), 1.0, F.lit("TCHDon"))).otherwise(_field("InvoiceNature", null, invoice_nature(F.lit("1")), 0.5, None)))
+    found.append(_field("Currency", F.coalesce(t["DVTTe"], F.lit("VND")), null, 1.0, F.when(t["DVTTe"].isNotNull(), F.lit("DVTTe"))))
+    found.append(_field("DocumentType", F.lit("VatInvoice"), null, 1.0, None))
+    each = decoded(df, xml).select("doc_id", F.when(t.isNotNull(), F.array(*found)).alias("_found"))
+    return each.select("doc_id", F.inline_outer("_found")).where("raw_value IS NOT NULL OR normalized_value IS NOT NULL")
 
 
 def tax_lines(df: DataFrame, xml: str = "xml") -> DataFrame:
     """doc_id, sort_order, raw_rate, vat_rate, taxable_amount, tax_amount of each rate line in order."""
-    path = f"(({ROOT})[1]//{_name('TToan')})[1]//{_name('THTTLTSuat')}[1]/{_name('LTSuat')}"
-    ok = readable(df, xml).where("xml_status = 'ok'")
-    n = F.xpath_int("safe_xml", F.lit(f"count({path})"))
-    counted = ok.withColumn("_n", n).where("_n > 0")
-    values = {c: F.xpath("safe_xml", F.lit(f"{path}/{_name(t)}/text()")) for c, t in (("raw_rate", "TSuat"), ("taxable", "ThTien"), ("tax", "TThue"))}
-    arrays = counted.withColumns(values)
-    each = arrays.select("doc_id", F.posexplode(F.arrays_zip(*values)).alias("sort_order", "l"))
-    return each.select("doc_id", "sort_order", F.col("l.raw_rate").alias("raw_rate"), vat_rate(F.col("l.raw_rate")).alias("vat_rate"), strip(F.col("l.taxable")).try_cast("decimal(18,2)").alias("taxable_amount"), strip(F.col("l.tax")).try_cast("decimal(18,2)").alias("tax_amount"))
+    each = decoded(df, xml).select("doc_id", F.posexplode_outer("texts.rates").alias("sort_order", "l")).where("sort_order IS NOT NULL")
+    amount = lambda tag: strip(F.col(f"l.{tag}")).try_cast("decimal(18,2)")
+    return each.select("doc_id", "sort_order", F.col("l.TSuat").alias("raw_rate"), vat_rate(F.col("l.TSuat")).alias("vat_rate"), amount("ThTien").alias("taxable_amount"), amount("TThue").alias("tax_amount"))

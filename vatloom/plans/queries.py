@@ -193,7 +193,7 @@ def split_lines(spark, sf):
 @query("""SELECT conv_id, turn, md5(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS next_h FROM conversations""")
 def next_line(spark, sf):
     lines = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), F.col("turn").alias("line_no"), "text", F.lit(1.0).alias("confidence"))
-    return X.line_context(lines).select(F.col("doc_id").alias("conv_id"), F.col("position").alias("turn"), F.md5("next_text").alias("next_h"))
+    return X.line_context(lines).select(F.col("doc_id").alias("conv_id"), F.col("position").cast("bigint").alias("turn"), F.md5("next_text").alias("next_h"))
 
 
 @query("""SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS h FROM conversations GROUP BY conv_id""")
@@ -469,7 +469,7 @@ def table_columns(spark, sf):
 @query(f"""WITH {_ITEMS} SELECT doc_id, CAST(n AS INTEGER) AS "row", 'Part ' || l_partkey AS c0, CAST(q AS VARCHAR) AS c1, CASE WHEN n % 5 = 0 THEN 'n/a' ELSE replace(format('{{:,}}', a), ',', '.') || ' đ' END AS c2 FROM li""")
 def tables_sheet(spark, sf):
     body = cells(spark, sf).where("kind = 'content' AND text <> 'Tổng cộng'")
-    return V.table_sheet(body, 3).where("c0 <> ''").select("doc_id", "row", "c0", "c1", "c2")
+    return V.table_sheet(body).where("c0 <> ''").select("doc_id", "row", "c0", "c1", "c2")
 
 
 @query(f"""WITH {INV} SELECT doc_id, strftime(d, '%Y-%m-%d') AS invoice_date, CAST(total AS DECIMAL(18,2)) AS total, CASE WHEN status = 'O' THEN 'Đã duyệt' ELSE 'Chưa duyệt' END AS reviewed FROM inv""")
@@ -690,10 +690,13 @@ def page_with_total(spark, sf):
     return D.page_with_total(_tenant(spark, sf), [F.col("day").desc(), F.col("doc_id").desc()], 3, 500).select("doc_id", "total_count")
 
 
-@query("""SELECT c_custkey AS id, CAST(row_number() OVER (ORDER BY lower(c_name), c_name) AS INTEGER) AS place FROM customer""")
+@query("""WITH n AS (SELECT c_custkey AS id, ['Ánh', 'anh', 'Bảo', 'đông', 'Dung', 'ÊM'][c_custkey % 6 + 1] || ' ' || c_custkey % 20 AS name FROM customer)
+SELECT place, name FROM (SELECT name, CAST(row_number() OVER (ORDER BY replace(strip_accents(lower(name)), 'đ', 'd'), name) - 1 AS BIGINT) AS place FROM n) WHERE place < 500""")
 def clients_by_name(spark, sf):
-    c = D.by_name(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "name")
-    return c.withColumn("place", F.row_number().over(Window.orderBy(F.lower("name"), "name"))).select("id", "place")
+    """The first five hundred names in the operator's own order, numbered as they come."""
+    name = F.concat_ws(" ", pick(F.col("c_custkey"), *[F.lit(x) for x in ("Ánh", "anh", "Bảo", "đông", "Dung", "ÊM")]), F.col("c_custkey") % 20)
+    first = D.by_name(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), name.alias("name")), "name").limit(500)
+    return first.agg(F.collect_list("name").alias("names")).select(F.posexplode("names").alias("place", "name")).select(F.col("place").cast("bigint").alias("place"), "name")
 
 
 @query("""SELECT user_id AS doc_id, max(event_id) FILTER (ts = m) AS log_id FROM events JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id""")
@@ -741,12 +744,27 @@ def line_boxes(spark, sf):
     return D.line_boxes(w).drop("page")
 
 
-@query("""SELECT p_partkey AS id, CAST(p_partkey AS BIGINT) AS "left", CAST(p_size AS BIGINT) AS top, CAST(3 AS BIGINT) AS width, CAST(4 AS BIGINT) AS height, CAST(100 - p_size - 4 AS BIGINT) AS flipped FROM part""")
+@query("""SELECT p_partkey AS id, k AS n, CASE WHEN k >= 2 THEN k // 2 END AS points, CASE WHEN k >= 2 THEN p_partkey END AS first_x, CASE WHEN k >= 2 THEN p_size END AS first_y,
+ CASE WHEN k >= 2 THEN p_size + (k // 2 - 1) END AS last_y, CAST(100 - p_size - 4 AS BIGINT) AS flipped FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_partkey % 10 AS k FROM part)""")
 def polygon_boxes(spark, sf):
-    x, y = F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint")
-    box = D.polygon_box(F.array(x, y, x + 3, y, x + 3, y + 4, x, y + 4))
-    flip = D.flipped_box(x, y, x + 3, y + 4, F.lit(100).cast("bigint"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), box.alias("b"), flip["top"].alias("flipped")).select("id", "b.*", "flipped")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("y"), (F.col("p_partkey") % 10).alias("n"))
+    flat = F.transform(F.slice(F.array(*[F.lit(i) for i in range(10)]), 1, F.col("n").cast("int")), lambda i: F.when(i % 2 == 0, F.col("id") + i / 2).otherwise(F.col("y") + (i - 1) / 2).cast("bigint"))
+    made = part.withColumn("p", D.polygon_points(flat))
+    flip = D.flipped_box(F.col("id"), F.col("y"), F.col("id") + 3, F.col("y") + 4, F.lit(100).cast("bigint"))
+    first, last = F.get("p", F.lit(0)), F.try_element_at("p", F.lit(-1))
+    return made.select("id", "n", F.when(F.col("p").isNotNull(), F.size("p").cast("bigint")).alias("points"), first["x"].alias("first_x"), first["y"].alias("first_y"), last["y"].alias("last_y"), flip["top"].alias("flipped"))
+
+
+_BOXES = f"""{LINES}, w AS (SELECT l_orderkey AS doc_id, CAST(n AS BIGINT) AS n, CAST(l_quantity AS DOUBLE) AS y FROM lines)"""
+
+
+@query(f"""WITH {_BOXES} SELECT a.doc_id, a.n AS word_no, b.n AS line_no FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.n % 5 <> 0 AND a.y + 0.5 BETWEEN b.y - 1.5 AND b.y + b.n % 3""")
+def polygon_words(spark, sf):
+    li = numbered_lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("n").cast("bigint").alias("n"), F.col("l_quantity").cast("double").alias("y"))
+    y, x = F.col("y"), F.lit(0.0)
+    words = li.select("doc_id", "page", F.col("n").alias("word_no"), F.when(F.col("n") % 5 != 0, F.array(x, y - 1, x, y + 2)).otherwise(F.array(x)).alias("polygon"))
+    lines = li.select("doc_id", "page", F.col("n").alias("line_no"), F.array(x, y - 1.5, x, y, x, y + (F.col("n") % 3)).alias("polygon"))
+    return X.polygon_words(words, lines, 4.0).drop("page")
 
 
 @query("""SELECT doc_id, CAST(CAST((n_chars * 600 + (doc_id % 100) * 5 + 1) // 2 AS DECIMAL(18,0)) * CAST(0.000001 AS DECIMAL(18,6)) AS DECIMAL(18,6)) AS cost FROM (SELECT doc_id, coalesce(n_chars, 0) AS n_chars FROM documents)""")
@@ -763,11 +781,43 @@ def charge_refusals(spark, sf):
     return D.refusals(d).select("doc_id", "refusal")
 
 
-@query("""SELECT user_id AS doc_id, max('P' || event_id % 3) FILTER (ts = m) || ': done, 1 page(s)' AS summary FROM events JOIN (SELECT user_id, max(ts) AS m FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id""")
+@query(f"""WITH {INV}, {EAV}, f AS (SELECT doc_id, count(*) AS f, count(*) FILTER (confidence < 0.75) AS w FROM eav GROUP BY doc_id), t AS (SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber) AS t FROM lineitem WHERE l_linenumber > 1 GROUP BY 1)
+SELECT o_orderkey AS doc_id, o_orderkey % 4 || ' page(s), ' || coalesce(t, 0) || ' table(s), ' || coalesce(f, 0) || ' field(s), ' || coalesce(w, 0) || ' warning(s)' AS summary FROM orders LEFT JOIN f ON f.doc_id = o_orderkey LEFT JOIN t ON t.doc_id = o_orderkey""")
 def debug_summaries(spark, sf):
-    e = table(spark, sf, "events")
-    logs = e.select(F.col("user_id").alias("doc_id"), F.col("ts").alias("created_at"), F.concat(F.lit("P"), (F.col("event_id") % 3).cast("string")).alias("provider"), F.lit("done").alias("status"), F.lit(1).alias("pages"))
-    return D.debug_summary(logs)
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 4).alias("page_count"))
+    tables = table(spark, sf, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("table_idx"))
+    fields = eav(invoices(spark, sf))
+    return D.debug_summary(docs, tables, fields, W.low_confidence(fields))
+
+
+_UNKNOWN, _TRIAL = "Could not determine whether this is a purchase or a sale — please select it manually.", "This document category has lower extraction reliability (e.g. handwritten or mixed-format bills) — please review every field carefully."
+
+
+@query(f"""{_MATCH}, d AS (SELECT doc_id, CASE WHEN matched = cust THEN 'Purchase' WHEN matched = sc THEN 'Sale' ELSE 'Unknown' END AS direction FROM m)
+SELECT doc_id, 'DOCUMENT_DIRECTION_UNKNOWN' AS code, 'Info' AS severity, '{_UNKNOWN}' AS message FROM d WHERE direction = 'Unknown' AND doc_id % 3 <> 0
+UNION ALL SELECT doc_id, 'DOCUMENT_DIRECTION_UNKNOWN', 'Info', 'stale' FROM d WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'OTHER', 'Info', 'kept' FROM d""")
+def direction_warnings(spark, sf):
+    docs, cl = _parties(spark, sf)
+    placed = C.direction(C.match(docs, cl).withColumn("client_id", F.col("matched")).drop("matched"), cl).select("doc_id", "direction")
+    row = lambda code, text: F.struct(F.lit(None).cast("string").alias("field_name"), F.lit(code).alias("code"), F.lit("Info").alias("severity"), F.lit(text).alias("message"))
+    old = placed.select("doc_id", F.inline(F.array(row("DOCUMENT_DIRECTION_UNKNOWN", "stale"), row("OTHER", "kept"))))
+    return W.with_direction(old, placed.where("doc_id % 3 <> 0")).drop("field_name")
+
+
+@query(f"""SELECT o_orderkey AS doc_id, 'EXPERIMENTAL_DOCUMENT_CATEGORY' AS code, '{_TRIAL}' AS message FROM orders WHERE o_orderkey % 9 = 1""")
+def experimental_notes(spark, sf):
+    t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")).withColumn("text", pick(_id(), *[F.lit(x) for x in _TITLES]))
+    kind = X.document_type(F.col("text"), T.search_text(F.col("text")))
+    profile = t.select("doc_id", kind.alias("k")).select("doc_id", W.profile_of(W.category(F.col("k"), W.persisted_type(F.col("k")))).alias("profile"))
+    return W.experimental(profile).select("doc_id", "code", "message")
+
+
+@query("""SELECT c_custkey AS id, c_nationkey % 7 = 0 OR n > 1 OR c_custkey % 2 = 0 AS taken FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey, c_custkey % 50) AS n FROM customer) WHERE c_nationkey % 7 <> 0
+UNION ALL SELECT c_custkey, false FROM customer WHERE c_nationkey % 7 = 0""")
+def tax_code_taken(spark, sf):
+    cl = table(spark, sf, "customer").select(F.col("c_custkey").alias("client_id"), F.lit(1).alias("org_id"), F.when(F.col("c_nationkey") % 7 != 0, F.concat_ws("-", "c_nationkey", F.col("c_custkey") % 50)).alias("tax_code"))
+    asked = cl.select(F.col("client_id").alias("request_id"), "org_id", "tax_code", F.when(F.col("client_id") % 2 != 0, F.col("client_id")).alias("client_id"))
+    return C.taken(asked, cl).select(F.col("request_id").alias("id"), "taken")
 
 
 @query("""SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS "row", count(*) AS n FROM lineitem GROUP BY 1, 2""")
