@@ -87,7 +87,7 @@ def line_boxes(words: DataFrame) -> DataFrame:
 def polygon_points(polygon: Column) -> Column:
     """The points (x, y) of a flat list of x, y, x, y, ...; null below two numbers; an odd number at the end is left out."""
     half = F.floor(F.size(polygon) / 2).cast("int")
-    points = F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.struct(F.get(polygon, i * 2).alias("x"), F.get(polygon, i * 2 + 1).alias("y")))
+    points = F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.named_struct(F.lit("x"), F.get(polygon, i * 2), F.lit("y"), F.get(polygon, i * 2 + 1)))
     return F.when(F.size(polygon) >= 2, points)
 
 
@@ -95,7 +95,7 @@ def polygon_span(polygon: Column) -> Column:
     """(low, high, mean) of the y of a flat list of x, y, x, y, ...; null below two numbers."""
     y = F.filter(polygon, lambda _x, i: i % 2 == 1)
     mean = F.aggregate(y, F.lit(0.0), lambda s, v: s + v.cast("double"), lambda s: s / F.size(y))
-    return F.when(F.size(polygon) >= 2, F.struct(F.array_min(y).alias("low"), F.array_max(y).alias("high"), mean.alias("mean")))
+    return F.when(F.size(polygon) >= 2, F.named_struct(F.lit("low"), F.array_min(y), F.lit("high"), F.array_max(y), F.lit("mean"), mean))
 
 
 def flipped_box(left: Column, bottom: Column, right: Column, top: Column, page_height: Column) -> Column:

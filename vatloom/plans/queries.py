@@ -19,6 +19,8 @@ from ..operators import rules as R
 from ..operators import score as S
 from ..operators import validate as W
 from ..operators import xmlinvoice as M
+from ..sources import cache as K
+from ..sources import layout as Y
 from .base import EAV, INV, LEDGER, LINES, cells, code, commas, dotted, eav, invoices, ledger, numbered_lines, pick, rendered_lines, table, xml
 
 QUERIES: dict = {}
@@ -388,6 +390,76 @@ def strategy_fall_through(spark, sf):
     return G.first_success(a).select("doc_id", "strategy")
 
 
+# Layout answers, responses and stored results
+
+
+def _answers(spark, sf):
+    """A layout answer of each order: a line and two words a line item, of which the second lies below every third line; a table, a paragraph, a pair; one in eleven is cut off."""
+    li = numbered_lines(spark, sf).select(F.col("l_orderkey").alias("doc_id"), F.col("n").cast("int").alias("n"), F.col("l_partkey").cast("string").alias("part"), F.col("l_quantity").cast("double").alias("q"))
+    n = F.col("n")
+    box = lambda top, low: F.array(F.lit(0.0), top, F.lit(9.0), top, F.lit(9.0), low, F.lit(0.0), low)
+    span = lambda at: F.struct(at.cast("int").alias("offset"), F.lit(3).alias("length"))
+    line = F.struct(F.concat(F.lit("Part "), F.col("part")).alias("content"), box(n * 10.0, n * 10.0 + 8).alias("polygon"), F.array(span(n * 100)).alias("spans"))
+    word = lambda text, y, c: F.struct(text.alias("content"), c.alias("confidence"), box(y, y + 2).alias("polygon"), span(n * 100).alias("span"))
+    pair = F.array(word(F.lit("Part"), n * 10.0 + 2, F.lit(0.9)), word(F.col("part"), n * 10.0 + F.when(n % 3 == 0, 8.5).otherwise(3.0), F.col("q") / 100))
+    region = F.array(F.struct(F.lit(1).alias("pageNumber"), box(n * 10.0, n * 10.0 + 8).alias("polygon")))
+    cell = F.struct(n.alias("rowIndex"), F.lit(0).alias("columnIndex"), F.when(n % 2 == 0, F.lit(2)).alias("rowSpan"), F.lit(None).cast("int").alias("columnSpan"), F.col("part").alias("content"), F.lit("content").alias("kind"), region.alias("boundingRegions"))
+    gathered = li.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line"), pair.alias("pair"), cell.alias("cell")))).alias("xs"), F.max("n").alias("m")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    of = lambda c: F.transform("xs", lambda x: x[c])
+    whole = F.array(F.struct(F.lit(1).alias("pageNumber"), box(F.lit(0.0), F.lit(1.0)).alias("polygon")))
+    page = F.struct(F.lit(1).alias("pageNumber"), F.lit(8.5).alias("width"), F.lit("inch").alias("unit"), of("line").alias("lines"), F.flatten(of("pair")).alias("words"))
+    part = lambda text: F.struct(text.alias("content"), whole.alias("boundingRegions"))
+    answer = F.struct(
+        F.array(page).alias("pages"), F.array(F.struct(F.col("m").alias("rowCount"), F.lit(1).alias("columnCount"), of("cell").alias("cells"), whole.alias("boundingRegions"))).alias("tables"),
+        F.array(F.struct(F.lit("Title").alias("content"), F.lit("title").alias("role"), whole.alias("boundingRegions"))).alias("paragraphs"), F.array(F.struct(part(F.lit("No")).alias("key"), part(_id().cast("string")).alias("value"), F.lit(0.7).alias("confidence"))).alias("keyValuePairs"),
+    )
+    json = F.to_json(answer)
+    return Y.decoded(gathered.select("doc_id", F.when(_id() % 11 == 0, F.substring(json, 1, 40)).otherwise(json).alias("json")))
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey AS doc_id, n AS line_no, 'Part ' || l_partkey AS text, CASE WHEN n % 3 = 0 THEN 'Part' ELSE 'Part ' || l_partkey END AS words, CAST(n * 10 + 8 AS DOUBLE) AS low_y, CAST(n * 100 AS INTEGER) AS span_offset,
+ CAST(CASE WHEN n % 3 = 0 THEN 0.9 ELSE least(0.9, CAST(l_quantity AS DOUBLE) / 100) END AS DOUBLE) AS least FROM lines WHERE l_orderkey % 11 <> 0""")
+def layout_lines(spark, sf):
+    w = Y.lines(_answers(spark, sf))
+    texts, sure = F.transform("words", lambda x: x["text"]), F.transform("words", lambda x: x["confidence"])
+    return w.select("doc_id", "line_no", "text", F.array_join(texts, " ").alias("words"), F.try_element_at("points", F.lit(-1))["y"].alias("low_y"), "span_offset", F.array_min(sure).alias("least"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey AS doc_id, max(n) AS m FROM lines GROUP BY 1) SELECT l_orderkey AS doc_id, n AS "row", CAST(CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS row_span, CAST(1 AS INTEGER) AS col_span, CAST(l_partkey AS VARCHAR) AS text, m AS n_rows, CAST(n * 10 AS DOUBLE) AS top_y
+FROM lines JOIN m ON m.doc_id = l_orderkey WHERE l_orderkey % 11 <> 0""")
+def layout_cells(spark, sf):
+    return Y.cells(_answers(spark, sf)).select("doc_id", "row", "row_span", "col_span", "text", "n_rows", F.get("points", F.lit(0))["y"].alias("top_y"))
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey AS doc_id, 'Title' AS paragraph, 'title' AS role, CAST(l_orderkey AS VARCHAR) AS value, CAST(count(*) * 2 AS BIGINT) AS words, string_agg('Part ' || l_partkey, ' ' ORDER BY n) AS full_text FROM lines WHERE l_orderkey % 11 <> 0 GROUP BY l_orderkey""")
+def layout_documents(spark, sf):
+    a = _answers(spark, sf)
+    g = Y.paragraphs(a).where("page = 1").select("doc_id", F.col("text").alias("paragraph"), "role")
+    n = Y.words(a).groupBy("doc_id").agg(F.count("*").alias("words"))
+    return g.join(Y.pairs(a).where("key = 'No'").select("doc_id", "value"), "doc_id").join(n, "doc_id").join(Y.pages(a).select("doc_id", "full_text"), "doc_id")
+
+
+@query(f"""WITH {INV} SELECT doc_id, total, CASE WHEN doc_id % 5 IN (0, 1, 4) THEN 'HD-' || doc_id || '|x' END AS lines, CASE WHEN doc_id % 5 IN (0, 1) THEN 'p' || d END AS paragraphs, CASE WHEN doc_id % 5 IN (0, 4) THEN CAST(0.5 AS DOUBLE) END AS confidence FROM inv""")
+def debug_enrichment(spark, sf):
+    inv = invoices(spark, sf)
+    j = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    lines, g = j('{"Pages":[{"Lines":[{"Text":"HD-', _id(), '"}]},{"Lines":[{"Text":"x"}]}]'), j('"Paragraphs":[{"Text":"p', F.col("d"), '"}]')
+    kv = '"KeyValuePairs":[{"KeyText":"k","ValueText":null,"Confidence":0.5}]}'
+    blob = pick(_id(), j(lines, ",", g, ",", kv), j(lines, ",", g, ',"KeyValuePairs":7}'), j(lines, ","), F.lit(None).cast("string"), j(lines, ',"Paragraphs":"none",', kv))
+    blobs = inv.select("doc_id", blob.alias("json")).where("doc_id % 10 <> 3")
+    out = Y.enriched(inv.select("doc_id", "total"), blobs)
+    return out.select("doc_id", "total", F.array_join("lines", "|").alias("lines"), F.array_join("paragraphs", "|").alias("paragraphs"), F.get("pairs", F.lit(0))["Confidence"].alias("confidence"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, upper(sha256(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM documents),
+e AS (SELECT h, doc_id % 2 AS m, doc_id AS at, 'r' || doc_id AS r FROM d WHERE doc_id % 4 < 3) SELECT d.doc_id, max(e.at) AS newest, count(e.at) > 0 AS hit, arg_max(e.r, e.at) AS response FROM d LEFT JOIN e ON e.h = d.h AND e.m = 0 GROUP BY d.doc_id""")
+def cache_lookup(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    made = K.asked(d.where("doc_id % 4 < 3"), "m").select("text_hash", F.concat(F.lit("m"), F.col("doc_id") % 2).alias("model"), F.concat(F.lit("r"), F.col("doc_id")).alias("response_json"), F.timestamp_seconds("doc_id").alias("created_at"))
+    found = K.looked_up(K.asked(d, "m0"), made)
+    return found.select("doc_id", F.substring("response_json", 2, 20).cast("bigint").alias("newest"), "hit", F.col("response_json").alias("response"))
+
+
 # Validation and review
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.textnorm import blank, filled, strip
+from .named import lines_of
 
 # Kinds of files, their content types, first bytes and size limits.
 KINDS = {
@@ -106,11 +107,9 @@ def routed(text_layer: DataFrame, ocr_text: DataFrame, least: int = 100) -> Data
     return both.select("doc_id", F.coalesce("layer", "scan").alias("text"), F.when(F.col("layer").isNotNull(), "PdfTextLayer").otherwise("Ocr").alias("provider"))
 
 
-def fixture(spark: SparkSession, count: int = 1) -> DataFrame:
+def fixture(spark: SparkSession, count: int = 1, partitions: int = 1) -> DataFrame:
     """Deterministic documents for tests: lines of a small receipt."""
-    lines = ["CỬA HÀNG SEN", "Hóa đơn bán hàng", "Số HĐ: B-001", "Ngày: 05/06/2024", "Tổng cộng: 120.000 đ"]
-    each = spark.range(count).select(F.col("id").alias("doc_id"), F.posexplode(F.array(*[F.lit(x) for x in lines])).alias("i", "text"))
-    return each.select("doc_id", F.lit(1).alias("page"), (F.col("i") + 1).alias("line_no"), "text", F.lit(0.96).alias("confidence"))
+    return lines_of(spark, "fixture", count=count, partitions=partitions)
 
 
 LOADERS = {"fixture": fixture, "xml": xml_documents, "files": files}
