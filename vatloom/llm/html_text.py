@@ -333,7 +333,10 @@ class Weights:
             up = out[page.parent[i]]
             if page.marks[i]:
                 share = page.share(i)
-                up = sum(get(f"{m} {share}", 0.0) for m in page.marks[i]) + DECAY * min(up, INHERITED)
+                own = sum(get(f"{m} {share}", get(f"{m} some", 0.0) if share == "large" else 0.0) for m in page.marks[i])  # a footer that makes up a tiny page is a footer
+                if page.titled[i] and 2 * page.words[i] >= page.words[0]:
+                    own = max(own, 0.0)  # what holds the title and most of the page is not noise for its name
+                up = own + DECAY * min(up, INHERITED)
             out[i] = max(-LIMIT, min(LIMIT, up))
         return out
 
@@ -388,6 +391,25 @@ def whole_element(page: Page, first: int, end: int) -> tuple[int, int]:
     return first, end
 
 
+#: Elements that are beside a page's text whatever they hold.
+BESIDE = ("nav", "footer", "aside", "form")
+
+
+def least_bad(page: Page, marks: list[float], words: list[float]) -> tuple[int, int]:
+    """The block of the best run that is no link, in an article or main element if there is one, else where nothing around it
+    speaks against it; (0, 0) without one."""
+    beside, within = [False] * len(page.parent), [False] * len(page.parent)
+    for i in range(1, len(beside)):
+        beside[i] = beside[page.parent[i]] or page.name[i] in BESIDE
+        within[i] = within[page.parent[i]] or page.name[i] in ("article", "main")
+    runs = [i for i, (node, t, _, n, _) in enumerate(page.seq) if not t and n and not beside[node] and not page.all_links(node) and (within[node] or marks[node] >= 0)]
+    if not runs:
+        return 0, 0
+    best = max(runs, key=lambda i: (within[page.seq[i][0]], words[page.seq[i][0]], page.seq[i][3], -i))
+    same = [i for i in runs if page.block[page.seq[i][0]] == page.block[page.seq[best][0]]]
+    return same[0], same[-1] + 1
+
+
 def main_text(page: str | None, weights: Weights | None = None) -> str:
     """The main text of one page."""
     if not page:
@@ -398,6 +420,9 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
     words = weights.words(read, marks)
     tag = weights.tag
     first, end = best_region([tag.get(t.lstrip("/"), -0.2) if t else n * words[node] for node, t, _, n, _ in read.seq])
+    short = first == end  # a page too short for any stretch to be worth its tags
+    if short:
+        first, end = least_bad(read, marks, words)
     first, end = whole_element(read, first, end)
     lines, line = [], []
 
@@ -415,7 +440,7 @@ def main_text(page: str | None, weights: Weights | None = None) -> str:
                 line.append(text)
         elif not n:
             line.append(" ")
-        elif marks[node] >= SURE or marks[node] >= 0 and not (words[node] <= LEAST and read.all_links(node)):
+        elif short or marks[node] >= SURE or marks[node] >= 0 and not (words[node] <= LEAST and read.all_links(node)):
             line.append(text)
     close()
     return "\n".join(lines)
