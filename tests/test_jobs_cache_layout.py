@@ -9,8 +9,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from vatloom.operators import clients, extract, lists, review, validate, xmlinvoice
-from vatloom.sources import cache, files, layout, named
+from vatloom.operators import clients, extract, lists, reports, review, validate, xmlinvoice
+from vatloom.sources import cache, files, layout, named, sinks
 from vatloom.streaming import jobs
 
 
@@ -188,3 +188,42 @@ def test_names_and_width(spark):
     cells = spark.createDataFrame([(1, 0, 0, 0, "a"), (1, 0, 0, 3, "b"), (1, 0, 0, 3, "z")], "doc_id long, table_idx int, row int, col int, text string")
     assert review.table_sheet(cells).collect()[0][3:] == ("a", "", "", "b") and review.table_width(cells.limit(0)) == 0
     assert review.table_sheet(cells.limit(0)).collect() == []
+
+
+def test_a_report_as_a_workbook_of_three_sheets(spark, tmp_path):
+    """Rows in order over many part files, sums after their rates, skipped documents with reasons; read back as any reader would."""
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    docs = spark.createDataFrame([(i, 1, 1, "Processed", f"F{i:03}.pdf", datetime(2024, 1, 1 + i % 28), datetime(2024, 2, 1)) for i in range(200)] + [(900, 1, 2, "Processed", "other.pdf", datetime(2024, 1, 1), datetime(2024, 1, 1)), (901, 1, 1, "Failed", "failed.pdf", datetime(2024, 1, 1), datetime(2024, 1, 1))], "doc_id long, org_id int, client_id int, status string, file_name string, created_at timestamp, updated_at timestamp").repartition(7)
+    rows = []
+    for i in range(200):
+        if i % 50:
+            rows.append((i, "InvoiceDate", f"2024-01-{1 + i % 28:02}"))
+        rows += [(i, "TotalAmount", str(1000 + (80 if i % 2 else 100))), (i, "SubtotalAmount", "1000"), (i, "VatAmount", "80" if i % 2 else "100"), (i, "SupplierName", 'A & <B> "C"'), (i, "InvoiceNumber", f"N{i:03}")]
+    fields = spark.createDataFrame([(d, n, v, v, 0.9) for d, n, v in rows], "doc_id long, field_name string, raw_value string, normalized_value string, confidence double")
+    period = F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")
+    body, skipped = reports.report(docs, fields, 1, 1, *period)
+    summary = sinks.documents_sheet(docs, reports.pivoted(fields)).drop("doc_id")
+    path = f"{tmp_path}/deep/report.xlsx"
+    sinks.write_workbook({"BangKeMuaVao": body, "CanhBao": skipped, "Documents": summary}, path, order={"BangKeMuaVao": "line", "CanhBao": "line", "Documents": "file_name"})
+    assert os.listdir(f"{tmp_path}/deep") in (["report.xlsx", ".report.xlsx.crc"], [".report.xlsx.crc", "report.xlsx"], ["report.xlsx"])
+
+    def sheet(z, i):
+        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        return [["".join(c.itertext()) for c in row] for row in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{ns}row")]
+
+    with zipfile.ZipFile(path) as z:
+        names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter("{http://schemas.openxmlformats.org/spreadsheetml/2006/main}sheet")]
+        listed, left, summed = (sheet(z, i) for i in (1, 2, 3))
+    assert names == ["BangKeMuaVao", "CanhBao", "Documents"]
+    numbers = [r[0] for r in listed[1:]]
+    assert [int(n) for n in numbers if n] == list(range(1, 197)) and [r[-1] for r in listed[1:] if r[-1]] == ["Cộng 8%:", "Cộng 10%:", "TỔNG CỘNG"]
+    assert listed[1][3] == 'A & <B> "C"' and listed[101][-1] == "Cộng 8%:" and float(listed[101][5]) == 100_000 and float(listed[-1][5]) == 196_000
+    assert [r[0] for r in left[1:]] == ["F000.pdf", "F050.pdf", "F100.pdf", "F150.pdf"] or {r[0] for r in left[1:]} == {"F000.pdf", "F050.pdf", "F100.pdf", "F150.pdf"}
+    assert {r[1] for r in left[1:]} == {"Thiếu hoặc không đọc được ngày hóa đơn."} and len(summed) == 203
+    ledger, _ = reports.report(docs, fields, 1, 1, *period, reports.REVENUE)
+    kept = ledger.orderBy("line").collect()
+    assert kept[-1].label == "Cộng phát sinh:" and len(kept) == 197 and kept[0].booking_date == "2024-02-01" and kept[0].vat_rate is None
+    none, _ = reports.report(docs, fields, 1, 77, *period)
+    assert [(r.label, int(r.total)) for r in none.collect()] == [("TỔNG CỘNG", 0)]

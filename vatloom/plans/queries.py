@@ -544,14 +544,43 @@ def tables_sheet(spark, sf):
     return V.table_sheet(body).where("c0 <> ''").select("doc_id", "row", "c0", "c1", "c2")
 
 
-@query(f"""WITH {INV} SELECT doc_id, strftime(d, '%Y-%m-%d') AS invoice_date, CAST(total AS DECIMAL(18,2)) AS total, CASE WHEN status = 'O' THEN 'Đã duyệt' ELSE 'Chưa duyệt' END AS reviewed FROM inv""")
+@query(f"""WITH {INV}, {EAV}, f AS (SELECT doc_id, max(CASE WHEN field_name IN ('InvoiceDate', 'ReceiptDate') THEN v END) AS d, max(CASE WHEN field_name IN ('SupplierName', 'SellerName', 'VendorName') THEN v END) AS s, max(CASE WHEN field_name IN ('InvoiceNumber', 'ReceiptNumber') THEN v END) AS num,
+ max(CASE WHEN field_name = 'SubtotalAmount' THEN CAST(v AS DECIMAL(18,2)) END) AS sub, max(CASE WHEN field_name = 'TotalAmount' THEN CAST(v AS DECIMAL(18,2)) END) AS t, count(*) FILTER (confidence < 0.75) AS w FROM eav GROUP BY doc_id)
+SELECT inv.doc_id, 'F' || inv.doc_id || '.pdf' AS file_name, 'VatInvoice' AS document_type, s AS supplier_name, num AS invoice_number, f.d AS invoice_date, f.sub AS subtotal, CAST(inv.vat AS DECIMAL(18,2)) AS vat, t AS total, w AS warning_count, CASE WHEN status = 'O' THEN 'Đã duyệt' ELSE 'Chưa duyệt' END AS reviewed FROM inv JOIN f USING (doc_id)""")
 def documents_sheet(spark, sf):
     from ..sources.sinks import documents_sheet as sheet
 
     inv = invoices(spark, sf)
-    docs = inv.select("doc_id", F.when(F.col("status") == "O", "Reviewed").otherwise("Processed").alias("status"))
-    wide = inv.select("doc_id", F.date_format("d", "dd/MM/yyyy").alias("InvoiceDate"), F.concat(dotted(F.col("total")), F.lit(" đ")).alias("TotalAmount"))
-    return sheet(docs, wide).select("doc_id", F.col("invoice_date").cast("string").alias("invoice_date"), "total", "reviewed")
+    docs = inv.select("doc_id", F.concat(F.lit("F"), _id().cast("string"), F.lit(".pdf")).alias("file_name"), F.lit("VatInvoice").alias("document_type"), F.when(F.col("status") == "O", "Reviewed").otherwise("Processed").alias("status"), F.to_timestamp("d").alias("created_at"))
+    f = eav(inv)
+    out = sheet(docs, P.pivoted(f, names_of=(*P.FIELDS, "Currency")), W.low_confidence(f))
+    return out.withColumn("invoice_date", F.col("invoice_date").cast("string")).drop("supplier_tax_code", "currency", "created_at")
+
+
+_REPORT = f"""{INV}, {EAV}, f AS (SELECT doc_id, max(CASE WHEN field_name IN ('InvoiceDate', 'ReceiptDate') THEN CAST(v AS DATE) END) AS fd, max(CASE WHEN field_name IN ('VatAmount', 'TaxAmount') THEN CAST(v AS BIGINT) END) AS fv, max(CASE WHEN field_name IN ('SupplierName', 'SellerName', 'VendorName') THEN v END) AS fs,
+ max(CASE WHEN field_name IN ('InvoiceNumber', 'ReceiptNumber') THEN v END) AS num, max(CASE WHEN field_name = 'SubtotalAmount' THEN CAST(v AS BIGINT) END) AS fsub, max(CASE WHEN field_name = 'TotalAmount' THEN CAST(v AS BIGINT) END) AS ft FROM eav GROUP BY doc_id),
+m AS (SELECT f.* FROM f JOIN inv USING (doc_id) WHERE doc_id % 2 = 1 AND cust % 5 = 3 AND status <> 'P')"""
+
+
+def _report(spark, sf):
+    inv = invoices(spark, sf)
+    status = F.when(F.col("status") == "F", "Processed").when(F.col("status") == "O", "Reviewed").otherwise("Failed")
+    docs = inv.select("doc_id", (_id() % 2).alias("org_id"), (F.col("cust") % 5).alias("client_id"), status.alias("status"), F.concat(F.lit("F"), _id().cast("string"), F.lit(".pdf")).alias("file_name"), F.to_timestamp("d").alias("created_at"), F.to_timestamp("d").alias("updated_at"))
+    return P.report(docs, eav(inv), 1, 3, *_period())
+
+
+@query(f"""WITH {_REPORT}, r AS (SELECT *, CAST(round(100.0 * fv / fsub) AS INTEGER) AS rate FROM m WHERE fd BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND ft IS NOT NULL AND fsub > 0 AND fv IS NOT NULL)
+SELECT seq, num AS document_number, fs AS counterparty, rate || '%' AS vat_rate, CAST(fsub AS DECIMAL(38,2)) AS subtotal, CAST(ft AS DECIMAL(38,2)) AS total, NULL AS label FROM (SELECT *, CAST(row_number() OVER (ORDER BY rate, fd, num, doc_id) AS BIGINT) AS seq FROM r)
+UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(sum(fsub) AS DECIMAL(38,2)), CAST(sum(ft) AS DECIMAL(38,2)), 'Cộng ' || rate || '%:' FROM r GROUP BY rate
+UNION ALL SELECT NULL, NULL, NULL, NULL, CAST(coalesce(sum(fsub), 0) AS DECIMAL(38,2)), CAST(coalesce(sum(ft), 0) AS DECIMAL(38,2)), 'TỔNG CỘNG' FROM r""")
+def report_sheet(spark, sf):
+    return _report(spark, sf)[0].select("seq", "document_number", "counterparty", "vat_rate", "subtotal", "total", "label")
+
+
+@query(f"""WITH {_REPORT} SELECT 'F' || doc_id || '.pdf' AS file_name, CASE WHEN fd IS NULL THEN 'Thiếu hoặc không đọc được ngày hóa đơn.' WHEN ft IS NULL THEN 'Thiếu tổng thanh toán.' ELSE 'Không xác định được thuế suất (thiếu giá trị chưa thuế hoặc tiền thuế).' END AS reason
+FROM m WHERE fd IS NULL OR (fd BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND (ft IS NULL OR fsub IS NULL OR fsub <= 0))""")
+def report_skipped(spark, sf):
+    return _report(spark, sf)[1].drop("line")
 
 
 @query(f"""WITH {INV}, {EAV} SELECT doc_id, field_name, 'LOW_CONFIDENCE' AS code, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY field_name) AS INTEGER) AS n FROM eav WHERE confidence < 0.75""")

@@ -1,21 +1,29 @@
-"""Sinks: sheets as DataFrames, CSV and JSON files, date-partitioned storage, and a small workbook writer."""
+"""Sinks: sheets as DataFrames, CSV and JSON files, date-partitioned storage, and a workbook writer."""
 
 from __future__ import annotations
 
-import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import date_strict, money_signed
 
 
-def documents_sheet(documents: DataFrame, wide: DataFrame) -> DataFrame:
-    """One row a document with typed date and amount and its review label."""
+def documents_sheet(documents: DataFrame, wide: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """One row a document (doc_id, file_name, document_type, status, created_at; what is missing is null) in 13 typed columns and
+    its number: texts, the date and amounts where they can be read, how many warnings it has, its review label."""
     d = documents.join(wide, "doc_id", "left")
+    if warnings is not None:
+        d = d.join(warnings.groupBy("doc_id").agg(F.count("*").alias("_warnings")), "doc_id", "left")
+    has = lambda c, kind="string": F.col(c) if c in d.columns else F.lit(None).cast(kind)
+    amount = lambda c: money_signed(has(c)).cast("decimal(18,2)")
     label = F.when(F.col("status").isin("Reviewed", "Exported"), "Đã duyệt").otherwise("Chưa duyệt")
-    return d.select("doc_id", date_strict(F.col("InvoiceDate")).alias("invoice_date"), money_signed(F.col("TotalAmount")).cast("decimal(18,2)").alias("total"), label.alias("reviewed"))
+    texts = {"file_name": "file_name", "document_type": "document_type", "supplier_name": "SupplierName", "supplier_tax_code": "SupplierTaxCode", "invoice_number": "InvoiceNumber"}
+    return d.select(
+        "doc_id", *[has(c).alias(k) for k, c in texts.items()], date_strict(has("InvoiceDate")).alias("invoice_date"), amount("SubtotalAmount").alias("subtotal"), amount("VatAmount").alias("vat"),
+        amount("TotalAmount").alias("total"), has("Currency").alias("currency"), F.coalesce(has("_warnings", "bigint"), F.lit(0)).cast("bigint").alias("warning_count"), label.alias("reviewed"), has("created_at", "timestamp").alias("created_at"),
+    )
 
 
 def in_request_order(df: DataFrame, ids: list[int]) -> DataFrame:
@@ -38,36 +46,74 @@ def store(df: DataFrame, path: str, day: str) -> None:
     df.withColumns({"year": F.date_format(day, "yyyy"), "month": F.date_format(day, "MM")}).write.mode("append").partitionBy("year", "month").parquet(path)
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
-    """A plain .xlsx on the driver's disk. A sheet holds about a million rows, so a larger one is refused, not cut."""
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        names = list(sheets)
-        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
-        head = '<?xml version="1.0" encoding="UTF-8"?>'
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="s{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}" r:id="s{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
-        for i, name in enumerate(names, 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
-                out.write(f'{head}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'.encode())
-                df, n = sheets[name], 0
-                out.write(_row(df.columns))
-                for row in df.toLocalIterator():
-                    n += 1
-                    if n > most:
-                        raise ValueError(f"sheet {name} has over {most} rows")
-                    out.write(_row(row))
-                out.write(b"</sheetData></worksheet>")
-
-
-def _row(values) -> bytes:
-    cells = []
-    for v in values:
-        if v is None:
-            cells.append("<c/>")
-        elif isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal":
-            cells.append(f"<c><v>{v}</v></c>")
-        else:
-            cells.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
-    return f"<row>{''.join(cells)}</row>".encode()
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+_MAIN, _DOC, _PACKAGE = (f"http://schemas.openxmlformats.org/{x}" for x in ("spreadsheetml/2006/main", "officeDocument/2006/relationships", "package/2006"))
+
+
+def _cell(c: Column, kind: str) -> Column:
+    """A column's value as a cell: numbers as such, all else as text without characters that XML forbids."""
+    text = F.regexp_replace(c.cast("string"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\n", "&#10;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    number = kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
+    full = F.concat(F.lit("<c><v>"), text, F.lit("</v></c>")) if number else F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), text, F.lit("</t></is></c>"))
+    return F.coalesce(full, F.lit("<c/>"))
+
+
+def _line(cells: list[Column]) -> Column:
+    return F.concat(F.lit("<row>"), *cells, F.lit("</row>"))
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_048_575, order: dict[str, str] | None = None) -> None:
+    """An .xlsx at a path of any file system that Spark writes to.
+
+    Tasks write the rows of each sheet as XML, sorted by the column that ``order`` names for the sheet (which isn't shown);
+    the driver only copies those files, byte by byte, into the archive. A sheet holds about a million rows, so a larger one
+    is refused, not cut.
+    """
+    spark = next(iter(sheets.values())).sparkSession
+    jvm, order = spark._jvm, order or {}
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    parts = jvm.org.apache.hadoop.fs.Path(f"{path}_parts")
+    try:
+        for i, (name, df) in enumerate(sheets.items(), 1):
+            if df.limit(most + 1).count() > most:
+                raise ValueError(f"sheet {name} has over {most} rows")
+            by = order.get(name)
+            shown = [(c, t) for c, t in df.dtypes if c != by]
+            rows = (df.orderBy(by) if by else df).select(_line([_cell(F.col(f"`{c}`"), t) for c, t in shown]).alias("value"))
+            rows.write.mode("overwrite").text(f"{path}_parts/{i}")
+        archive = jvm.java.util.zip.ZipOutputStream(fs.create(target, True))
+        try:
+            _pack(spark, archive, fs, parts, sheets, order)
+        finally:
+            archive.close()
+    finally:
+        fs.delete(parts, True)
+
+
+def _pack(spark, archive, fs, parts, sheets: dict[str, DataFrame], order: dict[str, str]) -> None:
+    jvm, names = spark._jvm, list(sheets)
+
+    def begin(name: str, text: str) -> None:
+        archive.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+        archive.write(bytearray((HEAD + text).encode()))
+
+    numbers = range(1, len(names) + 1)
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in numbers)
+    begin("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>')
+    begin("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+    begin("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="s{i}" Type="{_DOC}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>")
+    begin("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>' + "".join(f'<sheet name="{escape(n)[:31]}" sheetId="{i}" r:id="s{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+    for i, name in enumerate(names, 1):
+        titles = "".join(f'<c t="inlineStr"><is><t>{escape(c)}</t></is></c>' for c in sheets[name].columns if c != order.get(name))
+        begin(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN}"><sheetData><row>{titles}</row>')
+        files = fs.listStatus(jvm.org.apache.hadoop.fs.Path(parts, str(i)))
+        for at in sorted((f.getPath() for f in files), key=lambda p: p.getName()):
+            if at.getName().startswith("part-"):
+                source = fs.open(at)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, archive, 1 << 16, False)
+                source.close()
+        archive.write(bytearray(b"</sheetData></worksheet>"))
