@@ -346,6 +346,12 @@ def xml_bad_docs(spark, sf):
     return M.readable(xml(invoices(spark, sf))).groupBy("xml_status").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {INV} SELECT 'F' || doc_id || '.xml' AS file, 'Cong ty ' || supp AS ExpectedSupplierName, lpad(CAST(supp AS VARCHAR), 10, '0') AS ExpectedSupplierTaxCode, 'Khach ' || cust AS ExpectedBuyerName, CAST(doc_id AS VARCHAR) AS ExpectedInvoiceNumber, CAST(d AS VARCHAR) AS ExpectedInvoiceDate, CAST(total AS VARCHAR) AS ExpectedTotalAmount, 'VND' AS ExpectedCurrency FROM inv WHERE {_XML_OK}""")
+def truth_from_xml(spark, sf):
+    f = M.fields(xml(invoices(spark, sf))).withColumn("file", F.concat(F.lit("F"), _id().cast("string"), F.lit(".xml")))
+    return S.truth_from_fields(f).drop("ExpectedBuyerTaxCode")
+
+
 # Claims of a language model
 
 
