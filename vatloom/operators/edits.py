@@ -64,3 +64,18 @@ def next_status(current: Column, event: Column) -> Column:
         .when((event == "succeeded") & (current == "Processing"), "Processed").when(event == "failed", "Failed")
         .when(event == "edited", "Reviewed").otherwise(current)
     )
+
+
+def saved(rows: DataFrame, changes: DataFrame, key: str, at: Column) -> DataFrame:
+    """Rows after one save of inserts, updates and deletes (``changes``: the columns of rows but created_at and updated_at, and
+    ``change``). An inserted row is created at ``at``; a row of which a value changed is stamped with it; a row sent as it is
+    keeps its stamp. An insert of a key that exists and an update or delete of one that doesn't change nothing."""
+    other = [c for c in rows.columns if c not in (key, "created_at", "updated_at")]
+    was = rows.select(key, F.struct(*other).alias("_old"), "created_at", "updated_at", F.lit(True).alias("_is"))
+    both = was.join(changes.select(key, F.struct(*other).alias("_new"), "change"), key, "full")
+    here, change = F.coalesce("_is", F.lit(False)), F.coalesce("change", F.lit("none"))
+    both = both.where(F.when(here, change != "delete").otherwise(change == "insert"))
+    new = F.when(here & (change != "update"), F.col("_old")).otherwise(F.col("_new"))
+    touched = here & (change == "update") & ~F.col("_old").eqNullSafe(F.col("_new"))
+    out = both.select(key, new.alias("_now"), F.when(here, F.col("created_at")).otherwise(at).alias("created_at"), F.when(touched, at).otherwise(F.col("updated_at")).alias("updated_at"))
+    return out.select(key, "_now.*", "created_at", "updated_at").select(*rows.columns)

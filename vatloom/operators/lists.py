@@ -157,3 +157,15 @@ def in_order(rows: DataFrame, asked: DataFrame) -> DataFrame:
 def missing(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """Ids of a request that no row has."""
     return asked.join(rows.select("doc_id"), "doc_id", "left_anti")
+
+
+def require_all(asked: DataFrame, rows: DataFrame) -> None:
+    """Refuses a request (doc_id) that names documents which no row has. A request is a selection made by hand, a short list."""
+    ids = [r["doc_id"] for r in missing(asked, rows).select("doc_id").distinct().orderBy("doc_id").collect()]
+    if ids:
+        raise KeyError(f"Documents not found: {', '.join(map(str, ids))}")
+
+
+def exportable(selected: DataFrame, documents: DataFrame) -> DataFrame:
+    """What of a selection (doc_id) can be exported: documents that are Processed or Reviewed."""
+    return selected.join(documents.where(F.col("status").isin(*REPORTABLE)).select("doc_id"), "doc_id", "left_semi")

@@ -233,6 +233,26 @@ def line_fields(spark, sf):
     return X.extract(rendered_lines(invoices(spark, sf)), only=wanted).select("doc_id", "field_name", T.strip(F.col("raw_value")).alias("raw_value"))
 
 
+_OTHER = ("SupplierName", "DueDate", "PONumber", "VatRate", "Notes")
+
+
+@query(f"""WITH {INV}, c AS (SELECT doc_id, 'SupplierName' AS field_name, 'CÔNG TY TNHH So ' || supp AS raw_value, 'SupplierMarker' AS method, 30 AS priority, 0 AS position FROM inv
+UNION ALL SELECT doc_id, 'DueDate', strftime(d, '%d/%m/%Y'), 'LineKeyword', 55, 1 FROM inv WHERE doc_id % 7 <> 0
+UNION ALL SELECT doc_id, 'PONumber', CAST(doc_id % 100 AS VARCHAR), 'LineKeyword', 55, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END FROM inv
+UNION ALL SELECT doc_id, 'VatRate', CASE WHEN doc_id % 5 = 0 THEN 'KCT' ELSE rate || '%' END, 'LineKeyword', 60, CASE WHEN doc_id % 7 = 0 THEN 2 WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END FROM inv
+UNION ALL SELECT doc_id, 'Notes', 'giao dot ' || doc_id % 9, 'LineKeyword', 35, CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 2 = 0 THEN 5 ELSE 4 END FROM inv) SELECT * FROM c""")
+def other_line_candidates(spark, sf):
+    """Due dates here or on the line after, order numbers, rate markers, notes, and a company's marker at the top, as candidates."""
+    inv, i = invoices(spark, sf), _id()
+    day = F.date_format("d", "dd/MM/yyyy")
+    due = F.when(i % 7 == 0, F.array().cast("array<string>")).when(i % 2 == 0, F.array(F.lit("Due Date:"), day)).otherwise(F.array(F.concat(F.lit("Due Date: "), day)))
+    rest = F.array(F.concat(F.lit("PO Number: "), (i % 100).cast("string")), F.concat(F.lit("Thuế suất GTGT: "), F.when(i % 5 == 0, "KCT").otherwise(F.concat(F.col("rate").cast("string"), F.lit("%")))), F.concat(F.lit("Ghi chú: giao dot "), (i % 9).cast("string")))
+    texts = F.concat(F.array(F.concat(F.lit("CÔNG TY TNHH So "), F.col("supp").cast("string"))), due, rest)
+    lines = inv.select("doc_id", F.posexplode(texts).alias("line_no", "text")).withColumns({"page": F.lit(1), "confidence": F.lit(0.96)})
+    found = X.from_lines(X.line_context(lines), _OTHER).where(F.col("field_name").isin(*_OTHER) & F.col("method").isin("LineKeyword", "SupplierMarker"))
+    return found.select("doc_id", "field_name", "raw_value", "method", "priority", "position")
+
+
 @query(f"""WITH {INV} SELECT doc_id, 'VatInvoice' AS document_type, 'VND' AS currency FROM inv""")
 def line_types(spark, sf):
     won = X.extract(rendered_lines(invoices(spark, sf)), only=("DocumentType", "Currency"))
@@ -709,6 +729,56 @@ def ground_truth_matches(spark, sf):
     return S.summary(res, truth).select("doc_id", "match_InvoiceDate", "match_TotalAmount", "match_SupplierName", "accuracy")
 
 
+def _trial_runs(spark, sf):
+    """Every invoice's file read by two providers, of which one takes PDFs only and gives up on each ninth file."""
+    inv = invoices(spark, sf)
+    file = F.concat(F.lit("F"), _id().cast("string"), F.when(_id() % 3 == 0, ".xml").otherwise(".pdf"))
+    row = lambda n, pdf: F.struct(F.lit(n).alias("ProviderName"), F.lit(pdf).alias("pdf_only"))
+    providers = spark.range(1).select(F.inline(F.array(row("layout", False), row("text", True))))
+    runs = S.runs(inv.select("doc_id", file.alias("file"), "sub", "total"), F.broadcast(providers))
+    text = F.col("ProviderName") == "text"
+    return inv, runs.select(
+        F.struct("doc_id", "ProviderName").alias("run_id"), F.col("file").alias("FileName"), "ProviderName", (text & (_id() % 9 == 1)).alias("Failed"), F.when(text, "m,1").alias("ModelId"), F.when(~text, "lines|cells").alias("Features"),
+        (F.col("sub") % 1000 / F.lit(4)).alias("ProcessingDurationMs"), F.lit(1).alias("PageCount"), F.lit(8).alias("LineCount"), (F.col("sub") % 977).alias("FullTextLength"), (F.col("total") / F.lit(1000000)).cast("decimal(18,6)").alias("EstimatedCost"),
+        F.when(text & (_id() % 9 == 1), F.lit('no "layer"')).alias("ErrorMessage"),
+    )
+
+
+_TRIAL = f"""WITH {INV}, {EAV}, f AS (SELECT doc_id, avg(confidence) AS conf, count(*) FILTER (confidence < 0.75) AS w, max(CASE field_name WHEN 'SupplierName' THEN v END) AS sn, max(CASE field_name WHEN 'SupplierTaxCode' THEN v END) AS st, max(CASE field_name WHEN 'InvoiceNumber' THEN v END) AS num, max(CASE field_name WHEN 'InvoiceDate' THEN v END) AS dt, max(CASE field_name WHEN 'SubtotalAmount' THEN v END) AS s, max(CASE field_name WHEN 'VatAmount' THEN v END) AS va, max(CASE field_name WHEN 'TotalAmount' THEN v END) AS t FROM eav GROUP BY doc_id),
+r AS (SELECT inv.*, p.p AS provider, 'F' || inv.doc_id || CASE WHEN inv.doc_id % 3 = 0 THEN '.xml' ELSE '.pdf' END AS file, p.p = 'text' AND inv.doc_id % 9 = 1 AS failed, inv.doc_id % 4 <> 3 AS known FROM inv, (VALUES ('layout'), ('text')) p(p) WHERE p.p = 'layout' OR inv.doc_id % 3 <> 0),
+m AS (SELECT r.*, f.conf, f.w, f.sn, f.st, f.num, f.dt, f.s, f.va, f.t,
+  CASE WHEN known AND NOT failed THEN sn IS NOT NULL END AS m1, CASE WHEN known AND NOT failed THEN r.doc_id % 5 > 1 END AS m2, CASE WHEN known AND NOT failed THEN num IS NOT NULL END AS m3, CASE WHEN known AND NOT failed THEN dt IS NOT NULL END AS m4,
+  CASE WHEN known AND NOT failed THEN s IS NOT NULL END AS m5, CASE WHEN known AND NOT failed AND r.doc_id % 10 <> 0 THEN va IS NOT NULL END AS m6, CASE WHEN known AND NOT failed THEN t IS NOT NULL AND r.doc_id % 13 <> 0 END AS m7, CASE WHEN known AND NOT failed AND r.doc_id % 2 = 1 THEN false END AS m8
+  FROM r LEFT JOIN f ON f.doc_id = r.doc_id),
+"""
+_HIT = lambda c: f"coalesce(CASE {c} WHEN true THEN 'True' WHEN false THEN 'False' END, '')"
+_GOOD = lambda c: f"CASE WHEN failed THEN '' ELSE coalesce({c}, '') END"
+_TRUTH = lambda c: f"CASE WHEN known THEN coalesce({c}, '') ELSE '' END"
+_TRIAL += f"""a AS (SELECT *, len(list_filter([m1, m2, m3, m4, m5, m6, m7, m8], lambda x: x IS NOT NULL)) AS seen, len(list_filter([m1, m2, m3, m4, m5, m6, m7, m8], lambda x: x)) AS hits FROM m)
+SELECT file AS "FileName", '' AS "DocumentCategory", provider AS "ProviderName", CASE WHEN provider = 'text' AND NOT failed THEN 'm,1' ELSE '' END AS "ModelId", CASE WHEN provider = 'layout' THEN 'lines|cells' ELSE '' END AS "Features",
+  CASE WHEN failed THEN '0' ELSE (sub % 1000 // 4) || ['', '.25', '.5', '.75'][sub % 1000 % 4 + 1] END AS "ProcessingDurationMs", CASE WHEN failed THEN '0' ELSE '1' END AS "PageCount", CASE WHEN failed THEN '0' ELSE CAST(sub % 977 AS VARCHAR) END AS "FullTextLength", CASE WHEN failed THEN '0' ELSE '8' END AS "LineCount",
+  '0' AS "WordCount", '0' AS "ParagraphCount", '0' AS "TableCount", '0' AS "KeyValuePairCount", {_GOOD("format('{:.4f}', conf)")} AS "AverageConfidence", CASE WHEN failed THEN '0.000000' ELSE CAST(CAST(total AS DECIMAL(18,6)) * CAST(0.000001 AS DECIMAL(18,6)) AS DECIMAL(18,6)) || '' END AS "EstimatedCost", '0' AS "RejectedFieldCount",
+  {_GOOD('sn')} AS "ExtractedSupplierName", {_TRUTH("'CÔNG TY, ' || supp")} AS "ExpectedSupplierName", {_HIT('m1')} AS "SupplierNameMatched", {_GOOD('st')} AS "ExtractedSupplierTaxCode", {_TRUTH("lpad(CAST(supp AS VARCHAR), 10, '0')")} AS "ExpectedSupplierTaxCode", {_HIT('m2')} AS "TaxCodeMatched",
+  {_GOOD('num')} AS "ExtractedInvoiceNumber", {_TRUTH("'hd ' || doc_id")} AS "ExpectedInvoiceNumber", {_HIT('m3')} AS "InvoiceNumberMatched", {_GOOD('dt')} AS "ExtractedInvoiceDate", {_TRUTH("strftime(d, '%d/%m/%Y')")} AS "ExpectedInvoiceDate", {_HIT('m4')} AS "InvoiceDateMatched",
+  {_GOOD('s')} AS "ExtractedSubtotalAmount", {_TRUTH("replace(format('{:,}', sub), ',', '.')")} AS "ExpectedSubtotalAmount", {_HIT('m5')} AS "SubtotalMatched", {_GOOD('va')} AS "ExtractedVatAmount", {_TRUTH("CASE WHEN doc_id % 10 <> 0 THEN CAST(vat AS VARCHAR) END")} AS "ExpectedVatAmount", {_HIT('m6')} AS "VatMatched",
+  {_GOOD('t')} AS "ExtractedTotalAmount", {_TRUTH("CAST(total AS VARCHAR)")} AS "ExpectedTotalAmount", {_HIT('m7')} AS "TotalMatched", '' AS "ExtractedCurrency", {_TRUTH("CASE WHEN doc_id % 2 = 1 THEN 'vnd' END")} AS "ExpectedCurrency", {_HIT('m8')} AS "CurrencyMatched",
+  CASE WHEN seen = 0 THEN '' ELSE format('{{:.2f}}', round_even(100.0 * hits / seen, 2)) END AS "FieldAccuracyPercent", CASE WHEN failed THEN '0' ELSE CAST(coalesce(w, 0) AS VARCHAR) END AS "WarningCount", '' AS "RawProviderResponsePath", '' AS "NormalizedOcrResultPath", CASE WHEN failed THEN 'no "layer"' ELSE '' END AS "ErrorMessage" FROM a"""
+
+
+@query(_TRIAL)
+def provider_trial(spark, sf):
+    """Two providers' results on every invoice against ground truth, as the summary's 45 columns of text."""
+    inv, runs = _trial_runs(spark, sf)
+    ids = runs.select("run_id", F.col("run_id.doc_id").alias("doc_id"))
+    fields = ids.join(eav(inv), "doc_id").drop("doc_id")
+    truth = inv.where("doc_id % 4 <> 3").select(
+        F.concat(F.lit("f"), _id().cast("string"), F.when(_id() % 3 == 0, ".XML").otherwise(".PDF")).alias("FileName"), F.concat(F.lit("CÔNG TY, "), F.col("supp").cast("string")).alias("ExpectedSupplierName"), code(F.col("supp")).alias("ExpectedSupplierTaxCode"),
+        F.concat(F.lit("hd "), _id().cast("string")).alias("ExpectedInvoiceNumber"), F.date_format("d", "dd/MM/yyyy").alias("ExpectedInvoiceDate"), dotted(F.col("sub")).alias("ExpectedSubtotalAmount"),
+        F.when(_id() % 10 != 0, F.col("vat").cast("string")).alias("ExpectedVatAmount"), F.col("total").cast("string").alias("ExpectedTotalAmount"), F.when(_id() % 2 == 1, "vnd").alias("ExpectedCurrency"),
+    )
+    return S.benchmark_csv(S.benchmark(runs, fields, fields.where("confidence < 0.75").select("run_id"), truth))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, user_id, count(*) AS n, count(*) > 2 AS limited FROM events GROUP BY 1, 2""")
 def fixed_window_limit(spark, sf):
     from ..streaming.streams import rate_window
@@ -786,6 +856,38 @@ def tenant_documents(spark, sf):
     return D.of_tenant(_tenant(spark, sf), 0, statuses=("Failed",)).select("doc_id", "client_id")
 
 
+@query("""WITH u AS (SELECT o_orderkey AS doc_id, o_orderkey % 5 AS k, CAST(o_totalprice AS BIGINT) * 60 AS size FROM orders)
+SELECT doc_id, CASE k WHEN 0 THEN size <= 20971520 WHEN 1 THEN size <= 5242880 WHEN 2 THEN size <= 5242880 WHEN 3 THEN size <= 20971520 ELSE false END AS sent FROM u""")
+def upload_split(spark, sf):
+    """Files that are worth sending and files that are skipped before."""
+    from ..sources.files import worth_sending
+
+    u = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_totalprice").cast("bigint") * 60).alias("size"))
+    lit = lambda *xs: pick(_id(), *[F.lit(x) for x in xs])
+    return u.select("doc_id", worth_sending(lit("a.pdf", "b.XML", "c.xml", "d", "e.pdf"), lit("application/pdf", "", "text/xml", "image/png", ""), F.col("size")).alias("sent"))
+
+
+@query(f"""WITH {_TENANT} SELECT doc_id FROM t WHERE status IN ('Processed', 'Reviewed') AND doc_id IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 3)""")
+def export_selection(spark, sf):
+    selected = table(spark, sf, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("doc_id"))
+    return D.exportable(selected.distinct(), _tenant(spark, sf))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(o_custkey AS BIGINT) AS client, CAST(o_orderdate AS DATE) AS made, o_orderkey % 6 AS k FROM orders)
+SELECT id, CASE WHEN k = 1 THEN 'E' ELSE status END AS status, client, made AS created_at, CASE WHEN k = 1 THEN DATE '2024-05-06' END AS updated_at FROM r WHERE k <> 0
+UNION ALL SELECT -id, 'N', client, DATE '2024-05-06', NULL FROM r WHERE k = 4""")
+def saved_rows(spark, sf):
+    """One save: a sixth of the rows deleted, edited, sent unchanged, sent as inserts though they exist; new rows; an update and a delete of nothing."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").cast("bigint").alias("client"), F.to_date("o_orderdate").alias("created_at"), F.lit(None).cast("date").alias("updated_at"))
+    k, change = F.col("id") % 6, lambda rows, what: rows.withColumn("change", F.lit(what))
+    parts = [change(o.where(k == 0), "delete"), change(o.where(k == 1).withColumn("status", F.lit("E")), "update"), change(o.where(k == 2), "update"), change(o.where(k == 3).withColumn("status", F.lit("X")), "insert")]
+    parts += [change(o.where(k == at).withColumns({"id": -F.col("id"), "status": F.lit("N")}), what) for at, what in ((4, "insert"), (5, "update"), (1, "delete"))]
+    changes = parts[0]
+    for p in parts[1:]:
+        changes = changes.unionByName(p)
+    return E.saved(o, changes, "id", F.lit("2024-05-06").cast("date"))
+
+
 @query(f"""WITH {INV}, {EAV} SELECT inv.doc_id, count(confidence) AS warning_count FROM inv LEFT JOIN eav ON eav.doc_id = inv.doc_id AND confidence < 0.65 GROUP BY inv.doc_id""")
 def warning_counts(spark, sf):
     inv = invoices(spark, sf)

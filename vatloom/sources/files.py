@@ -40,6 +40,15 @@ def upload_error(name: Column, content_type: Column, size: Column) -> Column:
     return F.when(size <= 0, "empty").when(~ext.isin(*KINDS), "extension").when(size > limit, "too large").when(~types, "content type")
 
 
+def worth_sending(name: Column, content_type: Column, size: Column) -> Column:
+    """Whether a file can be accepted at all, as far as its name, type and size tell before it is sent: a known content type, or
+    none at all for a name that ends in .xml, and not above the limit of its kind. False for null."""
+    known = {t for names, _, _ in KINDS.values() for t in names}
+    xml = F.lower(name).endswith(".xml")
+    limit = F.when(xml, KINDS["xml"][2]).otherwise(KINDS["pdf"][2])
+    return F.coalesce(name.isNotNull() & (content_type.isin(*sorted(known)) | ((content_type == "") & xml)) & (size <= limit), F.lit(False))
+
+
 def signature_ok(name: Column, content: Column) -> Column:
     """Whether the first bytes are those of the file's kind."""
     ok = F.lit(False)
