@@ -15,8 +15,9 @@ Targets are a water filling: min(cap * source size, level * weight), where the l
 the sum to ``share`` times all words. That is where repeated resharing of the excess ends.
 
 Defined cases. Null text: size 0. Null source: a source of its own, last. Null id: kept, salt of the
-empty text. A source of size 0: target 0, no copies. Repeated rows: each is a document of its own.
-Empty table: empty result. Extra columns are carried only by ``emit``; they may have any names but
+empty text. A source of size 0: target 0, no copies. Repeated rows: each is a document of its own. Rows of one
+id and size but other texts: ``emit`` orders them by a hash of the row, so that reruns take the same. Empty
+table: empty result. Extra columns are carried only by ``emit``; they may have any names but
 those starting with ``_mix_``.
 """
 
@@ -74,13 +75,14 @@ def _copies(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     offsets = o.join(t, F.col("o._mix_source").eqNullSafe(F.col("t._mix_source"))).select("o._mix_source", "_mix_class", "_mix_salt", "_before", "source_size", "target", "_u")
     d, o = sized.alias("d"), offsets.alias("o")
     joined = d.join(o, F.expr("d._mix_source <=> o._mix_source AND d._mix_class = o._mix_class AND d._mix_salt = o._mix_salt")).drop(*[F.col(f"o.{k}") for k in key])
-    inside = Window.partitionBy(*key).orderBy("_mix_size", "_mix_id")
+    ties = ["_mix_tie"] if "_mix_tie" in sized.columns else []
+    inside = Window.partitionBy(*key).orderBy("_mix_size", "_mix_id", *ties)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     k = F.col("_mix_k").cast("double")
     return (
         joined.withColumn("_mix_k", F.col("_before") + F.row_number().over(inside))
         .withColumn("copies", (F.floor(k * rate + F.col("_u")) - F.floor((k - 1) * rate + F.col("_u"))).cast("long"))
-        .drop(*key[1:], "_before", "_u", "_mix_k")
+        .drop(*key[1:], *ties, "_before", "_u", "_mix_k")
     )
 
 
@@ -96,7 +98,8 @@ def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sized = docs.withColumns({"_mix_id": F.col(id_col), "_mix_source": F.col(source_col), "_mix_size": n_words(F.col(text_col))})
     sizes = staged(sized.select("_mix_id", "_mix_source", "_mix_size"), "mix-sizes")
     plain = [F.col(f"row.{c}").alias(c) for c in docs.columns]
-    packed = sized.select("_mix_id", "_mix_source", "_mix_size", F.struct(*docs.columns).alias("row"))
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    packed = sized.select("_mix_id", "_mix_source", "_mix_size", F.xxhash64(F.col(text_col), *hashed).alias("_mix_tie"), F.struct(*docs.columns).alias("row"))
     out = _copies(packed, source_targets(sizes, weights, share, cap), seed)
     name = "copy" if "copy" not in docs.columns else "_mix_copy"
     return out.where("copies > 0").select(*plain, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(name))
