@@ -1,8 +1,8 @@
 """A layout service's answer (JSON) as rows of the document model: pages, lines with their words, cells, paragraphs and pairs.
 
 The decoded answer is nested three deep (pages, lines, words). Lines take their words by a filter of the page's words:
-the mean height of a word lies within the line's. What is looked up in a page stays in the page's row; pages are exploded,
-so a task holds one page at a time.
+the mean height of a word lies within the line's. What is looked up in a page stays in the page's row, where lines find their
+words before they are exploded, so that a page's words are not copied for each line; pages are exploded, so a task holds one page at a time.
 """
 
 from __future__ import annotations
@@ -33,9 +33,15 @@ def _first(regions: Column, what: str) -> Column:
     return F.get(regions, F.lit(0))[what]
 
 
+def _each(df: DataFrame, items: str | Column, *keep: str) -> DataFrame:
+    """``at`` and ``x``, the place and the item of an array, a row each. The outer form with a filter after it: for the inner form the
+    optimizer asks first whether the array has items, below the projection that makes it, and so renders and decodes every answer twice."""
+    return df.select(*keep, F.posexplode_outer(items).alias("at", "x")).where("at IS NOT NULL")
+
+
 def pages(df: DataFrame) -> DataFrame:
     """doc_id, page, width, height, unit, angle, full_text (lines joined by blanks)."""
-    each = df.select("doc_id", F.explode("answer.pages").alias("p"))
+    each = _each(df, "answer.pages", "doc_id").select("doc_id", F.col("x").alias("p"))
     size = lambda c: F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).alias(c)
     text = F.array_join(F.transform(F.coalesce("p.lines", F.array().cast(f"array<{_LINE}>")), lambda x: x["content"]), " ")
     return each.select("doc_id", F.col("p.pageNumber").alias("page"), size("width"), size("height"), F.col("p.unit").alias("unit"), F.col("p.angle").alias("angle"), text.alias("full_text"))
@@ -43,33 +49,35 @@ def pages(df: DataFrame) -> DataFrame:
 
 def lines(df: DataFrame) -> DataFrame:
     """doc_id, page, line_no, text, points, span_offset, span_length, words (text, confidence, points, span_offset, span_length)."""
-    each = df.select("doc_id", F.explode("answer.pages").alias("p"))
+    each = _each(df, "answer.pages", "doc_id").select("doc_id", F.col("x").alias("p"))
     word = lambda w: F.named_struct(F.lit("text"), w["content"], F.lit("confidence"), w["confidence"], F.lit("points"), polygon_points(w["polygon"]), F.lit("span_offset"), w["span"]["offset"], F.lit("span_length"), w["span"]["length"])
     placed = F.transform(F.coalesce("p.words", F.array().cast(f"array<{_WORD}>")), lambda w: F.named_struct(F.lit("y"), polygon_span(w["polygon"])["mean"], F.lit("w"), word(w)))
-    out = each.select("doc_id", F.col("p.pageNumber").alias("page"), placed.alias("placed"), F.posexplode("p.lines").alias("i", "l"))
-    out = out.withColumn("s", polygon_span(F.col("l.polygon")))
-    mine = F.transform(F.filter("placed", lambda x: F.coalesce(x["y"].between(F.col("s.low"), F.col("s.high")), F.lit(False))), lambda x: x["w"])
-    span = lambda c: _first(F.col("l.spans"), c)
-    return out.select("doc_id", "page", (F.col("i") + 1).alias("line_no"), F.col("l.content").alias("text"), polygon_points(F.col("l.polygon")).alias("points"), span("offset").alias("span_offset"), span("length").alias("span_length"), mine.alias("words"))
+    spans = F.transform("p.lines", lambda x: F.named_struct(F.lit("l"), x, F.lit("s"), polygon_span(x["polygon"])))
+    on = each.select("doc_id", F.col("p.pageNumber").alias("page"), placed.alias("placed"), spans.alias("spans"))
+    mine = lambda s: F.transform(F.filter("placed", lambda x: F.coalesce(x["y"].between(s["low"], s["high"]), F.lit(False))), lambda x: x["w"])
+    span = lambda x, c: _first(x["l"]["spans"], c)
+    line = lambda x, i: F.struct((i + 1).alias("line_no"), x["l"]["content"].alias("text"), polygon_points(x["l"]["polygon"]).alias("points"), span(x, "offset").alias("span_offset"), span(x, "length").alias("span_length"), mine(x["s"]).alias("words"))
+    return _each(on, F.transform("spans", line), "doc_id", "page").select("doc_id", "page", "x.*")
 
 
 def words(df: DataFrame) -> DataFrame:
     """All words of a page, on a line or not: doc_id, page, word_no, text, confidence, points, span_offset, span_length."""
-    each = df.select("doc_id", F.explode("answer.pages").alias("p")).select("doc_id", F.col("p.pageNumber").alias("page"), F.posexplode("p.words").alias("i", "w"))
+    each = _each(_each(df, "answer.pages", "doc_id").select("doc_id", F.col("x.pageNumber").alias("page"), F.col("x.words").alias("ws")), "ws", "doc_id", "page").select("doc_id", "page", F.col("at").alias("i"), F.col("x").alias("w"))
     return each.select("doc_id", "page", (F.col("i") + 1).alias("word_no"), F.col("w.content").alias("text"), F.col("w.confidence").alias("confidence"), polygon_points(F.col("w.polygon")).alias("points"), F.col("w.span.offset").alias("span_offset"), F.col("w.span.length").alias("span_length"))
 
 
 def cells(df: DataFrame) -> DataFrame:
     """doc_id, table_idx, page, n_rows, n_cols, row, col, row_span, col_span (1 where none is given), text, kind, points."""
-    each = df.select("doc_id", F.posexplode("answer.tables").alias("table_idx", "t"))
-    each = each.select("doc_id", "table_idx", _first(F.col("t.boundingRegions"), "pageNumber").alias("page"), F.col("t.rowCount").alias("n_rows"), F.col("t.columnCount").alias("n_cols"), F.explode("t.cells").alias("c"))
+    each = _each(df, "answer.tables", "doc_id").select("doc_id", F.col("at").alias("table_idx"), F.col("x").alias("t"))
+    each = each.select("doc_id", "table_idx", _first(F.col("t.boundingRegions"), "pageNumber").alias("page"), F.col("t.rowCount").alias("n_rows"), F.col("t.columnCount").alias("n_cols"), F.col("t.cells").alias("cs"))
+    each = _each(each, "cs", "doc_id", "table_idx", "page", "n_rows", "n_cols").withColumnRenamed("x", "c")
     one = lambda c: F.coalesce(F.col(f"c.{c}"), F.lit(1))
     return each.select("doc_id", "table_idx", "page", "n_rows", "n_cols", F.col("c.rowIndex").alias("row"), F.col("c.columnIndex").alias("col"), one("rowSpan").alias("row_span"), one("columnSpan").alias("col_span"), F.col("c.content").alias("text"), F.col("c.kind").alias("kind"), polygon_points(_first(F.col("c.boundingRegions"), "polygon")).alias("points"))
 
 
 def paragraphs(df: DataFrame) -> DataFrame:
     """doc_id, paragraph_no, text, role, page, points, span_offset, span_length."""
-    each = df.select("doc_id", F.posexplode("answer.paragraphs").alias("paragraph_no", "g"))
+    each = _each(df, "answer.paragraphs", "doc_id").select("doc_id", F.col("at").alias("paragraph_no"), F.col("x").alias("g"))
     region = lambda c: _first(F.col("g.boundingRegions"), c)
     span = lambda c: _first(F.col("g.spans"), c)
     return each.select("doc_id", "paragraph_no", F.col("g.content").alias("text"), F.col("g.role").alias("role"), region("pageNumber").alias("page"), polygon_points(region("polygon")).alias("points"), span("offset").alias("span_offset"), span("length").alias("span_length"))
@@ -77,7 +85,7 @@ def paragraphs(df: DataFrame) -> DataFrame:
 
 def pairs(df: DataFrame) -> DataFrame:
     """doc_id, pair_no, key, value, confidence, page, key_points, value_points."""
-    each = df.select("doc_id", F.posexplode("answer.keyValuePairs").alias("pair_no", "k"))
+    each = _each(df, "answer.keyValuePairs", "doc_id").select("doc_id", F.col("at").alias("pair_no"), F.col("x").alias("k"))
     region = lambda side, c: _first(F.col(f"k.{side}.boundingRegions"), c)
     return each.select("doc_id", "pair_no", F.col("k.key.content").alias("key"), F.col("k.value.content").alias("value"), F.col("k.confidence").alias("confidence"), region("key", "pageNumber").alias("page"), polygon_points(region("key", "polygon")).alias("key_points"), polygon_points(region("value", "polygon")).alias("value_points"))
 
