@@ -28,22 +28,22 @@ def bind(value: Column, of) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space to single blanks, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(c, r"(?U)(?:[^\S ]| (?=\s))\s*", " "))
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at the ends. One match of the whole text: alternatives for both ends would be tried at every character."""
+    return F.regexp_replace(c, r"(?Us)^\s*+(.*\S)?\s*+$", "$1")
 
 
 def blank(c: Column) -> Column:
     """Null or nothing but white space."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
 def filled(c: Column) -> Column:
     """The value, or null where it is blank."""
-    return bind(c, lambda x: F.when(strip(x) != "", x))
+    return bind(c, lambda x: F.when(x.rlike(r"(?U)\S"), x))
 
 
 def strip_marks(c: Column, d: str = "keep") -> Column:
@@ -57,8 +57,13 @@ def strip_marks(c: Column, d: str = "keep") -> Column:
 
 def search_text(c: Column, underscore: bool = False) -> Column:
     """Lower-case text without diacritics for keyword search; optionally with blanks for underscores."""
-    plain = F.lower(strip_marks(c, "lower"))
-    return squeeze(F.translate(plain, "_", " ") if underscore else plain)
+    table = {**{x: y.lower() for x, y in ACCENTS.items()}, "đ": "d", "Đ": "d", **{chr(i): chr(i + 32) for i in range(65, 91)}}
+    table |= {"_": " "} if underscore else {}
+    # what the table leaves: letters of other scripts and single marks
+    rest = lambda x: F.when(F.octet_length(x) != F.length(x), F.lower(F.regexp_replace(x, r"\p{Mn}+", ""))).otherwise(x)
+    plain = lambda x: bind(F.translate(x, "".join(table), "".join(table.values())), rest)
+    ascii = lambda x: F.translate(F.lower(x), "_", " ") if underscore else F.lower(x)
+    return squeeze(bind(c, lambda x: F.when(F.octet_length(x) == F.length(x), ascii(x)).otherwise(plain(x))))
 
 
 def scorer_text(c: Column) -> Column:

@@ -7,13 +7,13 @@ insertion order (stage, position, rule). ``position`` is the line's place in its
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import MONEY, confidence_score
 from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, split_lines, squeeze, strip, truncate, value_after_label
 from . import rules as R
-from .lists import polygon_span
+from .lists import gathered_tables, polygon_span, table_rows
 
 CANDIDATE = ("doc_id", "field_name", "raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field", "stage", "position", "rule")
 CANDIDATE_TYPE = "struct<field_name:string,raw_value:string,confidence:double,page:int,priority:int,method:string,source_text:string,source_type:string,provider_field:string,stage:int,rule:int>"
@@ -94,6 +94,12 @@ def gathered(lines: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", "text", F.when(F.size("own") > 0, F.col("own")).otherwise(F.coalesce("split", "own")).alias("lines"))
 
 
+def documents(rows: DataFrame) -> DataFrame:
+    """What ``gathered`` gives, from rows that hold a whole document already: doc_id and ``lines``, an array in order of (page, line_no, text, confidence)."""
+    own = F.filter("lines", lambda x: ~blank(x["text"]))
+    return rows.select("doc_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), own.alias("lines"))
+
+
 def _searched(rows: DataFrame) -> DataFrame:
     return rows.withColumn("search", search_text(F.col("text"))).withColumn("compact", compact(F.col("search")))
 
@@ -105,8 +111,8 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     null = F.lit(None)
     whole = F.array(row(null, F.col("text"), null, F.lit(-1), null))
     rows = docs.select("doc_id", F.size("lines").alias("n_lines"), F.concat(each, whole).alias("_rows")).select("doc_id", "n_lines", F.inline_outer("_rows"))
-    rows = _searched(rows)
-    return rows.withColumns({f"has_{k}": contains_any(F.col("search"), words) for k, words in _FLAGS.items()} | {"amount_field": bind(F.col("search"), amount_field)})
+    rows, line = _searched(rows), F.col("position") >= 0  # no rule asks for a whole text's flags
+    return rows.withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
 
 
 def line_context(lines: DataFrame) -> DataFrame:
@@ -135,8 +141,8 @@ def line_rules() -> list[tuple[tuple[str, ...], Column]]:
     has = lambda flag: F.col(f"has_{flag}")
 
     def rule(number: int, names, cond: Column, value: Column, base, priority: int, method: str = "LineKeyword", source: Column = text, stage: int = 5):
-        named = (names,) if isinstance(names, str) else AMOUNTS
-        return named, _candidate(names, F.when(cond, value), score(base), priority, method, source, stage=stage, page=page, rule=number)
+        named = (names,) if isinstance(names, str) else AMOUNTS  # under the condition as a whole, or patterns run on lines without the label
+        return named, F.when(cond, _candidate(names, value, score(base), priority, method, source, stage=stage, page=page, rule=number))
 
     return [
         rule(1, "SupplierName", has("supplier"), clean_value(labelled), 0.88, 60),
@@ -214,7 +220,7 @@ def _text_rules(bases: tuple[float, ...], priority: int, method: str, stage: int
     text = F.col("text")
     found = lambda p: F.when(_hinted(p, F.col("compact")), first_match(text, p)) if p in R.HINTS else first_match(text, p)
     value = lambda p, g: F.regexp_extract(found(p), p, g) if g else found(p)  # noqa: E731  a pattern that gave a match gives the same on the match
-    return [((field,), _candidate(field, value(p, g), F.lit(base), priority, method, found(p), stage=stage, page=page, kind="Regex", rule=i)) for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases))]
+    return [((field,), F.when(found(p).isNotNull(), _candidate(field, value(p, g), F.lit(base), priority, method, found(p), stage=stage, page=page, kind="Regex", rule=i))) for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases))]
 
 
 def full_text_rules() -> list[tuple[tuple[str, ...], Column]]:
@@ -234,16 +240,24 @@ def from_paragraphs(paragraphs: DataFrame) -> DataFrame:
 
 def from_table_footers(cells: DataFrame) -> DataFrame:
     """Table rows (doc_id, table_idx, page, row, col, text) with an amount label: the right-most other cell with a number, else the label's own."""
-    marked = cells.withColumns({"field": bind(search_text(F.coalesce("text", F.lit(""))), amount_field), "value": last_match(F.coalesce("text", F.lit("")), MONEY)})
-    key = ["doc_id", "table_idx", "row"]
-    label = F.min_by(F.when(F.col("field").isNotNull(), F.struct("col", "field", "text", "value")), F.when(F.col("field").isNotNull(), F.col("col")))
-    rows = marked.groupBy(*key).agg(label.alias("label"), F.first("page").alias("page"), F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("col", "text", "value"))), asc=False).alias("values"))
-    rows = rows.withColumn("n_rows", F.count("*").over(Window.partitionBy("doc_id", "table_idx"))).where("label IS NOT NULL")
-    best = F.get(F.filter("values", lambda v: v["col"] != F.col("label.col")), F.lit(0))
-    value = F.coalesce(best["value"], F.col("label.value"))
+    return from_tables(gathered_tables(cells))
+
+
+def from_tables(tables: DataFrame) -> DataFrame:
+    """``from_table_footers`` of whole tables (doc_id, table_idx, cells). Only rows with a label leave their table: other cells are neither sorted with them nor searched for numbers."""
+    named = lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), c["page"].alias("page"), bind(search_text(F.coalesce(c["text"], F.lit(""))), amount_field).alias("field"))
+    is_label = lambda c: c["field"].isNotNull() & c["col"].isNotNull()
+    each = F.transform("rows", lambda r: F.struct(r["row"].alias("row"), F.transform(r["cells"], named).alias("cells")))
+    rows = table_rows(tables).select("doc_id", "table_idx", F.size("rows").alias("n_rows"), F.inline_outer(F.filter(each, lambda r: F.exists(r["cells"], is_label)))).where("cells IS NOT NULL")
+    valued = lambda c: F.struct(c["col"].alias("col"), c["field"].alias("field"), c["text"].alias("text"), last_match(F.coalesce(c["text"], F.lit("")), MONEY).alias("value"))
+    rows = rows.select("doc_id", "table_idx", "n_rows", "row", F.get("cells", F.lit(0))["page"].alias("page"), F.transform("cells", valued).alias("cells"))
+    rows = rows.withColumn("label", F.array_min(F.filter("cells", is_label)))
+    others = F.filter("cells", lambda c: c["value"].isNotNull() & (c["col"] != F.col("label.col")))
+    rows = rows.withColumn("best", F.array_max(F.transform(others, lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), c["value"].alias("value")))))
+    value = F.coalesce("best.value", "label.value")
     bonus = F.when(F.col("n_rows") > 1, F.col("row") / (F.col("n_rows") - 1) * 0.05).otherwise(F.lit(0.0))
     score = F.least(F.lit(0.9), F.when(F.col("label.field") == "TotalAmount", 0.8).otherwise(0.76) + bonus)
-    source = F.concat(F.col("label.text"), F.lit(" | "), F.coalesce(best["text"], F.col("label.text")))
+    source = F.concat(F.col("label.text"), F.lit(" | "), F.coalesce("best.text", "label.text"))
     found = _candidate(F.col("label.field"), value, score, 40, "TableFooter", source, stage=6, page=F.col("page"), kind="Table")
     return _spread(rows, F.col("table_idx") * 100000 + F.col("row"), F.array(found))
 
@@ -317,19 +331,20 @@ def full_text(lines: DataFrame) -> DataFrame:
     return gathered(lines.withColumn("confidence", F.lit(None).cast("double"))).select("doc_id", "text")
 
 
-def extract(lines: DataFrame, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+def extract(lines: DataFrame | None, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None, only: tuple[str, ...] | None = None, docs: DataFrame | None = None) -> DataFrame:
     """All generators over one batch of documents, and the winners. With ``only``, rules that can't give these fields don't run.
+    ``docs`` (see ``documents``) instead of ``lines`` and ``texts``: no exchange gathers them.
 
     Lines are gathered by document once; every rule on lines and texts is one projection of them, so without other sources
     that one exchange is all.
     """
-    rows = numbered_lines(gathered(lines, texts))
+    rows = numbered_lines(gathered(lines, texts) if docs is None else docs)
     found = F.when(F.col("position") >= 0, _chosen(line_rules(), only)).otherwise(_chosen([*full_text_rules(), *whole_rules()], only))
     every = _spread(rows, F.greatest("position", F.lit(0)), found)
     others = [f(x) for f, x in ((from_pairs, pairs), (from_provider, fields), (from_paragraphs, paragraphs), (from_table_footers, cells)) if x is not None]
     for p in others:
         every = every.unionByName(p)
-    won = resolve_with_default(every.repartition("doc_id") if others else every)
+    won = (resolve_with_default if only is None or "Currency" in only else resolve)(every.repartition("doc_id") if others else every)
     return won if only is None else won.where(F.col("field_name").isin(*only))
 
 

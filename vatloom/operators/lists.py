@@ -169,3 +169,18 @@ def require_all(asked: DataFrame, rows: DataFrame) -> None:
 def exportable(selected: DataFrame, documents: DataFrame) -> DataFrame:
     """What of a selection (doc_id) can be exported: documents that are Processed or Reviewed."""
     return selected.join(documents.where(F.col("status").isin(*REPORTABLE)).select("doc_id"), "doc_id", "left_semi")
+
+
+def gathered_tables(cells: DataFrame) -> DataFrame:
+    """A row a table: its ``cells`` (row, col, text, page, kind) of doc_id, table_idx and these columns. A table is one row, so it must fit in one."""
+    cell = F.struct(*[F.col(c) if c in cells.columns else F.lit(None).cast("string").alias(c) for c in ("row", "col", "text", "page", "kind")])
+    return cells.groupBy("doc_id", "table_idx").agg(F.collect_list(cell).alias("cells"))
+
+
+def table_rows(tables: DataFrame) -> DataFrame:
+    """Tables (doc_id, table_idx, cells) with ``rows`` (row, cells) in order. Cells are sorted once and cut where the row changes, so that long tables take no longer a cell than short ones."""
+    t = tables.withColumn("_sorted", F.sort_array(F.transform("cells", lambda c: F.struct(*[c[x].alias(x) for x in ("row", "col", "text", "page", "kind")]))))
+    new = F.transform("_sorted", lambda c, i: F.when((i == 0) | ~F.get("_sorted", i - 1)["row"].eqNullSafe(c["row"]), i))
+    t = t.withColumn("_starts", F.filter(new, lambda i: i.isNotNull()))
+    row = lambda s, j: F.struct(F.get("_sorted", s)["row"].alias("row"), F.slice("_sorted", s + 1, F.coalesce(F.get("_starts", j + 1), F.size("_sorted")) - s).alias("cells"))
+    return t.select("doc_id", "table_idx", F.transform("_starts", row).alias("rows"))

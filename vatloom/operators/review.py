@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import cell_currency, cell_number, resolved
 from ..functions.textnorm import bind, blank, contains_any, filled, humanize, search_text, strip
 from . import rules as R
+from .lists import gathered_tables, table_rows
 
 TABLE = ["doc_id", "table_idx"]
 
@@ -43,12 +44,23 @@ def columns(cells: DataFrame) -> DataFrame:
 
 def line_items(cells: DataFrame) -> DataFrame:
     """Items of tables that have a description and a numeric column; numbered across a document's tables."""
-    cols, heads = columns(cells), header_rows(cells)
-    first = cols.where("kind IS NOT NULL").groupBy(*TABLE).pivot("kind", list(R.TABLE_COLUMNS)).agg(F.min("col"))
-    usable = first.where("Description IS NOT NULL AND coalesce(Quantity, UnitPrice, Amount) IS NOT NULL")
-    body = cells.join(heads, TABLE).where("row <> header_row").join(usable, TABLE)
-    pick = lambda k: F.max(F.when(F.col("col") == F.col(k), F.col("text"))).alias(f"t_{k}")
-    rows = body.groupBy(*TABLE, "row").agg(*[pick(k) for k in R.TABLE_COLUMNS])
+    return items(gathered_tables(cells))
+
+
+def items(tables: DataFrame) -> DataFrame:
+    """``line_items`` of whole tables (doc_id, table_idx, cells): header, columns and rows are found inside each, with no join or exchange."""
+    header = lambda r: r["row"].isNotNull() & (F.size(F.filter(r["cells"], lambda c: F.lower(c["kind"]) == "columnheader")) / F.size(r["cells"]) > 0.5)
+    head = F.coalesce(F.get(F.filter("rows", header), F.lit(0)), F.get(F.filter("rows", lambda r: r["row"].isNotNull()), F.lit(0)))
+    named = lambda cells: F.transform(F.filter(cells, lambda c: c["col"] >= 0), lambda c: F.struct(c["col"].alias("col"), column_kind(F.coalesce(c["text"], F.lit(""))).alias("kind")))
+    at = lambda found, k: F.array_min(F.transform(F.filter(found, lambda c: c["kind"] == k), lambda c: c["col"]))
+    first = lambda h: bind(named(h["cells"]), lambda found: F.struct(h["row"].alias("header_row"), *[at(found, k).alias(k) for k in R.TABLE_COLUMNS]))
+    t = table_rows(tables).withColumn("first", bind(head, first))
+    usable = F.col("first.Description").isNotNull() & F.coalesce("first.Quantity", "first.UnitPrice", "first.Amount").isNotNull()
+    # an outer inline, and no condition before it: either would be asked below the projections, which would run twice
+    body = F.when(usable, F.filter("rows", lambda r: r["row"] != F.col("first.header_row")))
+    rows = t.select(*TABLE, "first", F.inline_outer(body)).where("row IS NOT NULL")
+    pick = lambda k: F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == F.col(f"first.{k}")), lambda c: c["text"])).alias(f"t_{k}")
+    rows = rows.select(*TABLE, "row", *[pick(k) for k in R.TABLE_COLUMNS])
     rows = rows.withColumn("description", strip(F.col("t_Description"))).where(~blank(F.col("description")))
     rows = rows.where(~bind(search_text(F.col("description"), underscore=True), lambda s: contains_any(s, R.TABLE_FOOTER)))
     numbers = {k: cell_number(F.col(f"t_{k}")).cast("decimal(18,4)") for k in ("Quantity", "UnitPrice", "Amount")}
