@@ -10,10 +10,10 @@ from .textnorm import bind, blank, filled, first_match, last_match, squeeze, str
 DECIMAL = "decimal(38,10)"
 
 # Patterns that decide which part of a text is read.
-MONEY = r"(?iuU)(?:VND|VNĐ|₫|đ)?\s*\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?"
+MONEY = r"(?U)(?=[Vv₫đĐ\s\d])(?iu)(?:VND|VNĐ|₫|đ)?\s*\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?"
 SIGNED_MONEY = r"(?iuU)(?:VND|VNĐ|₫|đ)?\s*-?\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?"
 CELL_NUMBER = r"(?U)-?\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?"
-DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{1,2}-\d{1,2}"
+DATE = r"(?=\d)(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{1,2}-\d{1,2})"
 STRICT_DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 WORD_DATE = r"(?iuU)(\d{1,2})\s*tháng\s*(\d{1,2})\s*năm\s*(\d{4})"
 RATE = r"(?U)(\d+(?:[.,]\d+)?)\s*%"

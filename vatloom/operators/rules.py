@@ -36,25 +36,26 @@ TABLE_FOOTER = (
 )
 
 # Value patterns.
+# Those that texts are searched for begin with the characters that a match can begin with: where none stands, no alternative is tried.
 MONEY_PART = r"((?:VND|VNĐ|₫|đ)?\s*\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?)"
 TAX_CODE_VALUE = r"(?U)\d{10}(?:[-\s]?\d{3})?"
 NUMBER_VALUE = r"(?i)[A-Z0-9][A-Z0-9\-/.]{2,}"
-DATE_VALUE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[-\s][A-Za-z]{3,9}[-\s]\d{2,4}"
+DATE_VALUE = r"(?=\d)(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[-\s][A-Za-z]{3,9}[-\s]\d{2,4})"
 GROUPED_MONEY = r"^\d{1,3}(?:\.\d{3})+$"
 RATE_MARKER = r"(?iuU)\d{1,2}(?:[.,]\d+)?\s*%|\bKCT\b|\bKKKNT\b"
 CURRENCY_MARKER = r"(?iu)(?:VND|VNĐ|₫|đồng|dong|EUR|USD|GBP|JPY|CNY|€|£|\$)"
 URL_LIKE = r"(?i)^(https?://|www\.)|\.[a-z]{2,4}(/\S*)?$"
-INVOICE_TITLE = r"(?iuU)(?:HÓA\s*ĐƠN|HOA\s*DON|Invoice)"
-RECEIPT_TITLE = r"(?iuU)(?:BIÊN\s*LAI|BIEN\s*LAI|PHIẾU\s*THU|PHIEU\s*THU|Receipt)"
-RESTAURANT = r"(?iuU)(?:NHÀ\s*HÀNG|NHA\s*HANG|QUÁN\s*ĂN|QUAN\s*AN|Restaurant)"
-APP_RECEIPT = r"(?iuU)(?:Mã\s*đơn\s*hàng|Order\s*ID|ShopeeFood|GrabFood|Baemin|Now\.vn)"
-COMMERCIAL = r"(?iuU)Commercial\s*Invoice"
-INTERNATIONAL = r"(?iuU)(?:Tax\s*Invoice|Bill\s*To|Purchase\s*Order|PO\s*Number)"
-TAX_CODE_TEXT = r"(?iuU)(?:Mã\s*số\s*thuế|MST|Tax\s*code)\s*[:\-]?\s*([0-9][0-9\s\-.]{8,18})"
-NUMBER_TEXT = r"(?iuU)(?:Số\s*hóa\s*đơn|Số\s*HĐ|Invoice\s*(?:No|Number)|Số)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/.]{2,})"
-TOTAL_TEXT = r"(?iuU)(?:Tổng\s*thanh\s*toán|Tổng\s*cộng(?:\s*tiền\s*thanh\s*toán)?|Tổng\s*tiền|Tổng)\s*[:\-]?\s*" + MONEY_PART
-VAT_TEXT = r"(?iuU)(?:VAT|Thuế\s*GTGT)\D*" + MONEY_PART
-SUBTOTAL_TEXT = r"(?iuU)(?:Cộng\s*tiền\s*hàng|Subtotal|Thành\s*tiền\s*chưa\s*thuế|Thành\s*tiền|Tiền\s*hàng)\s*[:\-]?\s*" + MONEY_PART
+INVOICE_TITLE = r"(?=[HhIiıİ])(?iuU)(?:HÓA\s*ĐƠN|HOA\s*DON|Invoice)"
+RECEIPT_TITLE = r"(?=[BbPpRr])(?iuU)(?:BIÊN\s*LAI|BIEN\s*LAI|PHIẾU\s*THU|PHIEU\s*THU|Receipt)"
+RESTAURANT = r"(?=[NnQqRr])(?iuU)(?:NHÀ\s*HÀNG|NHA\s*HANG|QUÁN\s*ĂN|QUAN\s*AN|Restaurant)"
+APP_RECEIPT = r"(?=[MmOoSsſGgBbNn])(?iuU)(?:Mã\s*đơn\s*hàng|Order\s*ID|ShopeeFood|GrabFood|Baemin|Now\.vn)"
+COMMERCIAL = r"(?=[Cc])(?iuU)Commercial\s*Invoice"
+INTERNATIONAL = r"(?=[TtBbPp])(?iuU)(?:Tax\s*Invoice|Bill\s*To|Purchase\s*Order|PO\s*Number)"
+TAX_CODE_TEXT = r"(?=[MmTt])(?iuU)(?:Mã\s*số\s*thuế|MST|Tax\s*code)\s*[:\-]?\s*([0-9][0-9\s\-.]{8,18})"
+NUMBER_TEXT = r"(?=[SsſIiıİ])(?iuU)(?:Số\s*hóa\s*đơn|Số\s*HĐ|Invoice\s*(?:No|Number)|Số)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/.]{2,})"
+TOTAL_TEXT = r"(?=[Tt])(?iuU)(?:Tổng\s*thanh\s*toán|Tổng\s*cộng(?:\s*tiền\s*thanh\s*toán)?|Tổng\s*tiền|Tổng)\s*[:\-]?\s*" + MONEY_PART
+VAT_TEXT = r"(?=[VvTt])(?iuU)(?:VAT|Thuế\s*GTGT)\D*" + MONEY_PART
+SUBTOTAL_TEXT = r"(?=[CcSsſTt])(?iuU)(?:Cộng\s*tiền\s*hàng|Subtotal|Thành\s*tiền\s*chưa\s*thuế|Thành\s*tiền|Tiền\s*hàng)\s*[:\-]?\s*" + MONEY_PART
 
 # What search text without blanks holds wherever a pattern matches: looked for first, as a substring is found far faster than a pattern.
 HINTS = {
