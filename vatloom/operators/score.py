@@ -49,8 +49,8 @@ def summary(results: DataFrame, truth: DataFrame) -> DataFrame:
 def truth_from_fields(fields: DataFrame) -> DataFrame:
     """Ground truth rows from the fields of parsed XML invoices (file, field_name, raw_value)."""
     names = list(FIELDS)
-    wide = fields.groupBy("file").pivot("field_name", names).agg(F.first("raw_value"))
-    return wide.select("file", *[F.col(n).alias(f"Expected{n}") for n in names])
+    value = lambda n: F.first(F.when(F.col("field_name") == n, F.col("raw_value")), ignorenulls=True)
+    return fields.groupBy("file").agg(*[value(n).alias(f"Expected{n}") for n in names])
 
 
 def runs(files: DataFrame, providers: DataFrame) -> DataFrame:
