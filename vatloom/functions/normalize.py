@@ -12,6 +12,7 @@ DECIMAL = "decimal(38,10)"
 # Patterns that decide which part of a text is read.
 MONEY = r"(?U)(?=[Vv₫đĐ\s\d])(?iu)(?:VND|VNĐ|₫|đ)?\s*\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?"
 SIGNED_MONEY = r"(?iuU)(?:VND|VNĐ|₫|đ)?\s*-?\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?\s*(?:VND|VNĐ|₫|đ)?"
+WHOLE_AMOUNT = r"^[0-9]++(?:\.[0-9]{3})*+\z"
 CELL_NUMBER = r"(?U)-?\d+(?:[.,\s]\d{3})*(?:[.,]\d+)?"
 DATE = r"(?=\d)(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}-\d{1,2}-\d{1,2})"
 STRICT_DATE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2}"
@@ -43,8 +44,9 @@ def _money(c: Column, pattern: str, symbols: str) -> Column:
 
 
 def money(c: Column) -> Column:
-    """The last amount in a text: 1.234.567 VND, 1.234,56, 1,234.56; otherwise marks are grouping, so 123,45 is 12345."""
-    return _money(c, MONEY, r"(?U)[^\d.,\s]")
+    """The last amount in a text: 1.234.567 VND, 1.234,56, 1,234.56; otherwise marks are grouping, so 123,45 is 12345.
+    A text of nothing but digits, or digits grouped by dots, is that amount as a whole; one pattern tells."""
+    return bind(c, lambda x: F.when(x.rlike(WHOLE_AMOUNT), _number(F.replace(x, F.lit("."), F.lit("")))).otherwise(_money(x, MONEY, r"(?U)[^\d.,\s]")))
 
 
 def money_signed(c: Column) -> Column:
@@ -109,7 +111,14 @@ def _parse_date(c: Column) -> Column:
 
 
 def date_loose(c: Column) -> Column:
-    """The date of an extracted value; 2024/12/31 is read from its inner part, day first."""
+    """The date of an extracted value; 2024/12/31 is read from its inner part, day first.
+    Plain texts 2024-12-31 and 31/12/2024 are read at once; where that is no date, the shapes are tried in their order."""
+    iso = lambda x: F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), x.try_cast("date"))
+    local = lambda x: F.when(x.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}\z"), _date(F.substr(x, F.lit(7), F.lit(4)), F.substr(x, F.lit(4), F.lit(2)), F.substr(x, F.lit(1), F.lit(2))))
+    return bind(c, lambda x: F.coalesce(iso(x), local(x), date_by_shape(x)))
+
+
+def date_by_shape(c: Column) -> Column:
     return _parse_date(F.coalesce(first_match(c, DATE), strip(c)))
 
 

@@ -75,10 +75,10 @@ COLUMNS = (
 
 def matched(rows: DataFrame, pairs: dict[str, tuple[str, str, str]]) -> DataFrame:
     """``match`` for many pairs (name: kind, expected column, actual column). All values of a kind go through one transform of an
-    array, so that a long normalizer stands in the plan once and not twice a pair."""
+    array, so that a long normalizer stands in the plan once and not twice a pair. Where nothing is expected, nothing is normalized."""
     forms = {"text": scorer_text, "tax_code": tax_code, "money": money, "date": date_loose, "currency": lambda c: F.lower(strip(c))}
     kinds = {k: [(n, e, a) for n, (kind, e, a) in pairs.items() if kind == k] for k in dict.fromkeys(kind for kind, _, _ in pairs.values())}
-    out = rows.withColumns({f"_as_{k}": F.transform(F.array(*[F.col(c) for _, e, a in some for c in (e, a)]), forms[k]) for k, some in kinds.items()})
+    out = rows.withColumns({f"_as_{k}": F.transform(F.array(*[F.when(~blank(F.col(e)), F.col(c)) for _, e, a in some for c in (e, a)]), forms[k]) for k, some in kinds.items()})
     same = {n: F.when(~blank(F.col(e)), F.coalesce(F.col(f"_as_{k}")[2 * i] == F.col(f"_as_{k}")[2 * i + 1], F.lit(False))) for k, some in kinds.items() for i, (n, e, _) in enumerate(some)}
     return out.withColumns(same).drop(*[f"_as_{k}" for k in kinds])
 
