@@ -297,11 +297,11 @@ def from_whole(texts: DataFrame) -> DataFrame:
 _WON = ("raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field")
 
 
-def _winners(candidates: DataFrame, *more: Column) -> DataFrame:
+def _winners(candidates: DataFrame, *more: Column, keep: tuple[str, ...] = _WON) -> DataFrame:
     """Of a document's top lines only the first is a candidate, so it is found beside the best of the others."""
     ok = candidates.where(~blank(F.col("raw_value")) & ~((F.col("field_name") == "InvoiceNumber") & F.col("raw_value").rlike(R.URL_LIKE)))
     rank = F.struct(F.coalesce("confidence", F.lit(0.0)), "priority", -F.col("stage"), -F.col("position"), -F.col("rule"))
-    top, won = F.col("method").eqNullSafe(TOP_LINE), F.struct(rank.alias("rank"), F.struct(*_WON).alias("w"))
+    top, won = F.col("method").eqNullSafe(TOP_LINE), F.struct(rank.alias("rank"), F.struct(*keep).alias("w"))
     others = F.max_by(F.when(~top, won), F.when(~top, rank))
     first = F.min_by(F.when(top, won), F.when(top, F.struct("position", "stage", "rule")))
     both = ok.groupBy("doc_id", "field_name").agg(others.alias("_o"), first.alias("_f"), *more)
@@ -309,9 +309,10 @@ def _winners(candidates: DataFrame, *more: Column) -> DataFrame:
     return both.withColumn("w", F.when(F.col("_f").isNotNull() & better, F.col("_f.w")).otherwise(F.col("_o.w"))).drop("_o", "_f")
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
-    """The winner of each field: highest confidence (null is 0), then priority, then first inserted. URL-like invoice numbers don't count."""
-    return _winners(candidates).select("doc_id", "field_name", "w.*")
+def resolve(candidates: DataFrame, keep: tuple[str, ...] = _WON) -> DataFrame:
+    """The winner of each field: highest confidence (null is 0), then priority, then first inserted. URL-like invoice numbers don't count.
+    Of the winners ``keep`` is given; candidates are sorted with nothing else, so a task holds less of them."""
+    return _winners(candidates, keep=keep).select("doc_id", "field_name", "w.*")
 
 
 def resolve_with_default(candidates: DataFrame) -> DataFrame:
