@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,11 @@ def bind(value: Column, of) -> Column:
     return F.element_at(F.transform(F.array(value), of), 1)
 
 
+def apart(c: Column) -> Column:
+    """A column as it is. Its projection keeps out of whole-stage code, where with others it is one method, too large to be compiled."""
+    return F.coalesce(c, bind(c, lambda x: x))  # only nulls are bound
+
+
 #: All characters of ``(?U)\s``.
 WHITE = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -34,10 +39,15 @@ def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 
 
+def _single_blanks(x: Column) -> Column:
+    """White space to single blanks. The pattern runs only where substrings don't rule it out, which are found far faster."""
+    tidy = is_ascii(x) & ~contains_any(x, ("  ", "\t", "\n", "\x0b", "\f", "\r"))
+    return F.when(tidy, x).otherwise(F.regexp_replace(x, r"(?U)(?:[^\S ]| (?=\s))\s*", " "))
+
+
 def squeeze(c: Column) -> Column:
-    """White space to single blanks, none at the ends. The pattern runs only where substrings don't rule it out, which are found far faster."""
-    tidy = lambda x: is_ascii(x) & ~contains_any(x, ("  ", "\t", "\n", "\x0b", "\f", "\r"))
-    return F.trim(bind(c, lambda x: F.when(tidy(x), x).otherwise(F.regexp_replace(x, r"(?U)(?:[^\S ]| (?=\s))\s*", " "))))
+    """White space to single blanks, none at the ends."""
+    return F.trim(bind(c, _single_blanks))
 
 
 def strip(c: Column) -> Column:
@@ -64,17 +74,31 @@ def strip_marks(c: Column, d: str = "keep") -> Column:
     return bind(c, lambda x: F.when(is_ascii(x), x).otherwise(plain(x)))
 
 
-def search_text(c: Column, underscore: bool = False) -> Column:
-    """Lower-case text without diacritics for keyword search; optionally with blanks for underscores."""
+def _by_table(x: Column, underscore: bool = False) -> Column:
     table = {**{x: y.lower() for x, y in ACCENTS.items()}, "đ": "d", "Đ": "d", **{chr(i): chr(i + 32) for i in range(65, 91)}}
     table |= {"_": " "} if underscore else {}
-    # what the table leaves: letters of other scripts and single marks
-    rest = lambda x: F.when(~is_ascii(x), F.lower(F.regexp_replace(x, r"\p{Mn}+", ""))).otherwise(x)
-    plain = lambda x: bind(F.translate(x, "".join(table), "".join(table.values())), rest)
+    return F.translate(x, "".join(table), "".join(table.values()))
+
+
+def _left_by_table(x: Column) -> Column:
+    """Letters of other scripts and single marks."""
+    return F.when(~is_ascii(x), F.lower(F.regexp_replace(x, r"\p{Mn}+", ""))).otherwise(x)
+
+
+def search_text(c: Column, underscore: bool = False) -> Column:
+    """Lower-case text without diacritics for keyword search; optionally with blanks for underscores."""
+    plain = lambda x: bind(_by_table(x, underscore), _left_by_table)
     ascii = lambda x: F.translate(F.lower(x), "_", " ") if underscore else F.lower(x)
     return squeeze(bind(c, lambda x: F.when(is_ascii(x), ascii(x)).otherwise(plain(x))))
 
 
+def with_search_text(rows: DataFrame, text: str = "text", name: str = "search") -> DataFrame:
+    """``search_text`` of a column, as a column. Its steps are columns as well: what is bound is interpreted, columns are compiled."""
+    x, lowered, bare = F.col(text), F.col("_lowered"), F.col("_bare")
+    rows = rows.withColumn("_lowered", F.when(is_ascii(x), F.lower(x)).otherwise(_by_table(x))).withColumn("_bare", _left_by_table(lowered))
+    return rows.withColumn(name, F.trim(_single_blanks(bare))).drop("_lowered", "_bare")
+
+
 def scorer_text(c: Column) -> Column:
     """Text as the scorer compares it: no marks, lower case, common punctuation as blanks."""
     plain = F.lower(strip_marks(strip(c), "case"))
@@ -102,9 +126,19 @@ def value_after_label(c: Column) -> Column:
     return F.when((at > 0) & (at < F.length(c)), strip(F.substr(c, at + 1, F.length(c))))
 
 
+def _without_edges(c: Column) -> Column:
+    return F.regexp_replace(c, r"^[ :\-;]+|[ :\-;]+$", "")
+
+
 def clean_value(c: Column) -> Column:
     """Without blanks, colons, hyphens and semicolons at the ends; inner white space squeezed."""
-    return squeeze(F.regexp_replace(c, r"^[ :\-;]+|[ :\-;]+$", ""))
+    return squeeze(_without_edges(c))
+
+
+def with_clean_values(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``clean_value`` of each as a column, by steps that are columns as those of ``with_search_text``."""
+    rows = rows.withColumns({f"_{k}": _without_edges(c) for k, c in values.items()})
+    return rows.withColumns({k: F.trim(_single_blanks(F.col(f"_{k}"))) for k in values}).drop(*[f"_{k}" for k in values])
 
 
 def split_lines(c: Column) -> Column:

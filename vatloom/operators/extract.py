@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import MONEY, confidence_score
-from ..functions.textnorm import bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, split_lines, squeeze, strip, truncate, value_after_label
+from ..functions.textnorm import apart, bind, blank, clean_value, contains_any, filled, first_match, last_match, search_text, split_lines, squeeze, strip, truncate, value_after_label, with_clean_values, with_search_text
 from . import rules as R
 from .lists import gathered_tables, polygon_span, table_rows
 
@@ -21,6 +21,10 @@ TOP_LINE = "SupplierTopLine"
 AMOUNTS = ("SubtotalAmount", "VatAmount", "TotalAmount")
 
 
+#: Matches joined lines if one of them is blank; then they are looked at one by one.
+MAY_BE_BLANK = r"(?U)(?:^|\n)\s*(?:\n|$)"
+
+
 def compact(search: Column) -> Column:
     """Search text without blanks, where hints of patterns are looked for."""
     return F.replace(search, F.lit(" "), F.lit(""))
@@ -96,28 +100,34 @@ def gathered(lines: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 def documents(rows: DataFrame) -> DataFrame:
     """What ``gathered`` gives, from rows that hold a whole document already: doc_id and ``lines``, an array in order of (page, line_no, text, confidence)."""
-    own = F.filter("lines", lambda x: ~blank(x["text"]))
-    return rows.select("doc_id", F.array_join(F.transform("lines", lambda x: x["text"]), "\n").alias("text"), own.alias("lines"))
+    own = F.when(F.array_join("lines.text", "\n", "").rlike(MAY_BE_BLANK), F.filter("lines", lambda x: ~blank(x["text"]))).otherwise(F.col("lines"))
+    return rows.select("doc_id", F.array_join("lines.text", "\n").alias("text"), own.alias("lines"))
 
 
 def _searched(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("search", search_text(F.col("text"))).withColumn("compact", compact(F.col("search")))
+    return with_search_text(rows).withColumn("compact", compact(F.col("search")))
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    """Each line with search text, place, count, the next line and the flags that rules ask for; and the full text, at place -1."""
-    row = lambda page, text, confidence, position, after: F.struct(page.cast("int").alias("page"), text.alias("text"), confidence.cast("double").alias("confidence"), position.alias("position"), after.cast("string").alias("next_text"))
-    each = F.transform("lines", lambda x, i: row(x["page"], x["text"], x["confidence"], i, F.get("lines", i + 1)["text"]))
-    null = F.lit(None)
-    whole = F.array(row(null, F.col("text"), null, F.lit(-1), null))
-    rows = docs.select("doc_id", F.size("lines").alias("n_lines"), F.concat(each, whole).alias("_rows")).select("doc_id", "n_lines", F.inline_outer("_rows"))
-    rows, line = _searched(rows), F.col("position") >= 0  # no rule asks for a whole text's flags
-    return rows.withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
+def numbered_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
+    """Each line with search text, place, count, the next line and the flags and values that rules ask for; and, if ``whole``, the full text, at place -1."""
+    # arrays are zipped, not transformed: a lambda is interpreted for every line, this is compiled
+    kinds, line = docs.schema["lines"].dataType.elementType, F.col("lines")
+    if whole:
+        line = F.concat(line, F.array(F.struct(*[(F.col("text") if f.name == "text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in kinds])))
+    rows = docs.select("doc_id", F.size("lines").alias("n_lines"), line.alias("line"), F.slice("lines.text", 2, F.greatest(F.size("lines"), F.lit(1))).alias("after"))
+    rows = rows.select("doc_id", "n_lines", F.posexplode_outer(F.arrays_zip("line", "after")).alias("at", "_row"))
+    position = F.when(F.col("at") == F.col("n_lines"), -1).otherwise(F.col("at")) if whole else F.col("at")
+    of = lambda name, kind: F.col(f"_row.{name}").cast(kind)
+    rows = rows.select("doc_id", "n_lines", of("line.page", "int").alias("page"), of("line.text", "string").alias("text"), of("line.confidence", "double").alias("confidence"), position.alias("position"), of("after", "string").alias("next_text"))
+    rows, line = _searched(rows), apart(F.col("position")) >= 0  # no rule asks for a whole text's flags
+    rows = rows.withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
+    labelled = F.coalesce(F.nullif(value_after_label(F.col("text")), F.lit("")), apart(F.col("next_text")))
+    return with_clean_values(rows, {"labelled": F.when(F.col("has_supplier") | F.col("has_po") | F.col("has_notes"), labelled), "marked": F.when(F.col("has_company"), F.col("text"))})
 
 
-def line_context(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, page, line_no, text, confidence) with search text, place, count and the next line."""
-    return numbered_lines(gathered(lines)).where("position >= 0")
+def line_context(lines: DataFrame | None, docs: DataFrame | None = None) -> DataFrame:
+    """Lines (doc_id, page, line_no, text, confidence) with search text, place, count and the next line. ``docs`` (see ``documents``) instead of ``lines``: no exchange gathers them."""
+    return numbered_lines(gathered(lines) if docs is None else docs, whole=False).where("position >= 0")
 
 
 #: Keywords that rules ask for.
@@ -127,11 +137,11 @@ _FLAGS = {
 }
 
 
-def line_rules() -> list[tuple[tuple[str, ...], Column]]:
-    """Keyword rules on a line and the line after: the fields that each can give, and the candidate."""
+def line_rules(top_lines: bool = True) -> list[tuple[tuple[str, ...], Column]]:
+    """Keyword rules on a line and the line after, and at last the rule on top lines: the fields that each can give, and the candidate."""
     text, search, after, page = F.col("text"), F.col("search"), F.col("next_text"), F.col("page")
     score = lambda base: confidence_score(base if isinstance(base, Column) else F.lit(base), F.col("confidence"))
-    labelled = F.coalesce(F.nullif(value_after_label(text), F.lit("")), after)
+    labelled, marked = F.col("labelled"), F.col("marked")  # clean, and null on lines of other rules
     near = lambda pattern, here=text: F.coalesce(first_match(here, pattern), first_match(after, pattern))
     field = F.col("amount_field")
     own = last_match(text, MONEY)
@@ -144,24 +154,26 @@ def line_rules() -> list[tuple[tuple[str, ...], Column]]:
         named = (names,) if isinstance(names, str) else AMOUNTS  # under the condition as a whole, or patterns run on lines without the label
         return named, F.when(cond, _candidate(names, value, score(base), priority, method, source, stage=stage, page=page, rule=number))
 
-    return [
-        rule(1, "SupplierName", has("supplier"), clean_value(labelled), 0.88, 60),
+    keywords = [
+        rule(1, "SupplierName", has("supplier"), labelled, 0.88, 60),
         rule(2, "SupplierTaxCode", has("tax_code"), near(R.TAX_CODE_VALUE), 0.9, 70),
         rule(3, "InvoiceNumber", has("number") & ~search.contains("ma so thue"), near(R.NUMBER_VALUE, F.coalesce(value_after_label(text), text)), F.when(search == "so", 0.72).otherwise(0.86), 55),
         rule(4, "InvoiceDate", has("date") & ~has("due"), near(R.DATE_VALUE), 0.86, 55),
         rule(5, "DueDate", has("due"), near(R.DATE_VALUE), 0.86, 55),
-        rule(6, "PONumber", has("po"), clean_value(labelled), 0.84, 55),
+        rule(6, "PONumber", has("po"), labelled, 0.84, 55),
         rule(7, field, ~search.contains("in words") & field.isNotNull(), amount, F.when(field == "TotalAmount", total).otherwise(0.84), 65, source=F.when(own.isNotNull(), text).otherwise(after)),
         rule(8, "VatRate", has("vat"), first_match(text, R.RATE_MARKER), 0.8, 60),
-        rule(9, "Notes", has("notes"), clean_value(labelled), 0.78, 35),
-        rule(10, "SupplierName", (F.col("position") < 10) & has("company") & ~has("supplier"), clean_value(text), 0.72, 30, "SupplierMarker"),
-        rule(0, "SupplierName", (F.col("position") < 6) & likely_merchant(text), clean_value(text), 0.68, 20, TOP_LINE, stage=7),
+        rule(9, "Notes", has("notes"), labelled, 0.78, 35),
+        rule(10, "SupplierName", (F.col("position") < 10) & has("company") & ~has("supplier"), marked, 0.72, 30, "SupplierMarker"),
     ]
+    top = rule(0, "SupplierName", (F.col("position") < 6) & likely_merchant(text), clean_value(text), 0.68, 20, TOP_LINE, stage=7)
+    return [*keywords, top] if top_lines else keywords
 
 
-def from_lines(context: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
-    """Keyword rules on single lines and the line after, and top lines that can be a merchant's name, of which the first counts."""
-    return _spread(context, F.col("position"), _chosen(line_rules(), only))
+def from_lines(context: DataFrame, only: tuple[str, ...] | None = None, top_lines: bool = True) -> DataFrame:
+    """Keyword rules on single lines and the line after, and top lines that can be a merchant's name, of which the first counts;
+    these are looked for in every line, at more cost than keywords, so they are left out where ``top_lines`` aren't asked for."""
+    return _spread(context, F.col("position"), _chosen(line_rules(top_lines), only))
 
 
 def likely_merchant(text: Column) -> Column:
