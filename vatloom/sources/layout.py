@@ -3,6 +3,7 @@
 The decoded answer is nested three deep (pages, lines, words). Lines take their words by a filter of the page's words:
 the mean height of a word lies within the line's. What is looked up in a page stays in the page's row, where lines find their
 words before they are exploded, so that a page's words are not copied for each line; pages are exploded, so a task holds one page at a time.
+What is asked of an answer as a whole (``documents``) is taken from one decoding of it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ _TABLE = f"struct<rowCount:int,columnCount:int,cells:array<{_CELL}>,boundingRegi
 _PARAGRAPH = f"struct<content:string,role:string,boundingRegions:{_REGIONS},spans:array<{_SPAN}>>"
 _PART = f"struct<content:string,boundingRegions:{_REGIONS}>"
 ANSWER = f"struct<content:string,pages:array<{_PAGE}>,tables:array<{_TABLE}>,paragraphs:array<{_PARAGRAPH}>,keyValuePairs:array<struct<key:{_PART},value:{_PART},confidence:double>>>"
+#: What ``documents`` asks of an answer: no tables, of lines and words no more than their texts.
+DOCUMENT = "struct<pages:array<struct<pageNumber:int,lines:array<struct<content:string>>,words:array<struct<content:string>>>>,paragraphs:array<struct<content:string,role:string,boundingRegions:array<struct<pageNumber:int>>>>,keyValuePairs:array<struct<key:struct<content:string>,value:struct<content:string>>>>"
 
 
-def decoded(df: DataFrame, column: str = "json") -> DataFrame:
-    """Adds ``answer``; a bad blob gives null, and no rows below."""
-    return df.withColumn("answer", F.from_json(column, ANSWER))
+def decoded(df: DataFrame, column: str = "json", kind: str = ANSWER) -> DataFrame:
+    """Adds ``answer``; a bad blob gives null, and no rows below. ``kind`` names the members that are asked for; others are read over, so no misfit in them counts."""
+    return df.withColumn("answer", F.from_json(column, kind))
 
 
 def _first(regions: Column, what: str) -> Column:
@@ -90,6 +93,21 @@ def pairs(df: DataFrame) -> DataFrame:
     return each.select("doc_id", "pair_no", F.col("k.key.content").alias("key"), F.col("k.value.content").alias("value"), F.col("k.confidence").alias("confidence"), region("key", "pageNumber").alias("page"), polygon_points(region("key", "polygon")).alias("key_points"), polygon_points(region("value", "polygon")).alias("value_points"))
 
 
+def documents(df: DataFrame, paragraph, pair) -> DataFrame:
+    """doc_id, words (their number on all pages), paragraph (text, role, page), pair (key, value), page, full_text: a row for each page, paragraph and
+    pair of an answer, of those paragraphs and pairs that meet the conditions. As a join of the parts by document would, it gives no row of
+    an answer that lacks one of them. ``df`` has one row a document, with an answer of the kind ``DOCUMENT`` or larger."""
+    g = lambda x: F.struct(x["content"].alias("text"), x["role"].alias("role"), _first(x["boundingRegions"], "pageNumber").alias("page"))
+    k = lambda x: F.struct(x["key"]["content"].alias("key"), x["value"]["content"].alias("value"))
+    p = lambda x: F.struct(x["pageNumber"].alias("page"), F.array_join(F.coalesce(x["lines"]["content"], F.array().cast("array<string>")), " ").alias("full_text"))
+    n = F.aggregate("answer.pages", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.array_size(x["words"]), F.lit(0)))
+    some = F.exists("answer.pages", lambda x: F.array_size(x["words"]) > 0)
+    parts = df.select("doc_id", F.filter(F.transform("answer.paragraphs", g), paragraph).alias("gs"), F.filter(F.transform("answer.keyValuePairs", k), pair).alias("ks"), F.when(some, F.transform("answer.pages", p)).alias("ps"), n.alias("words"))
+    each = _each(parts, "gs", "doc_id", "ks", "ps", "words").withColumnRenamed("x", "paragraph")
+    each = _each(each, "ks", "doc_id", "paragraph", "ps", "words").withColumnRenamed("x", "pair")
+    return _each(each, "ps", "doc_id", "words", "paragraph", "pair").select("doc_id", "words", "paragraph", "pair", "x.*")
+
+
 def enriched(base: DataFrame, blobs: DataFrame, raw: bool = False) -> DataFrame:
     """``base`` (doc_id, ...) with lines, paragraphs and pairs of a stored result (doc_id, json), read as a variant: a missing, broken
     or unfit blob, or part of one, gives nulls and leaves the base answer. ``raw`` adds the provider's own answer."""
