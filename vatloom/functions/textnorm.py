@@ -112,10 +112,11 @@ def slug(c: Column) -> Column:
 
 
 def contains_any(c: Column, keywords: list[str] | tuple[str, ...]) -> Column:
-    """Whether any keyword is a substring; ``c`` should be a column or bound, as it is looked at for each."""
+    """Whether any keyword is a substring; ``c`` should be a column or bound, as it is looked at for each. A keyword that holds another one tells nothing more."""
     found = F.lit(False)
     for k in keywords:
-        found = found | c.contains(k)
+        if not any(other != k and other in k for other in keywords):
+            found = found | c.contains(k)
     return found
 
 

@@ -119,9 +119,10 @@ def numbered_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     position = F.when(F.col("at") == F.col("n_lines"), -1).otherwise(F.col("at")) if whole else F.col("at")
     of = lambda name, kind: F.col(f"_row.{name}").cast(kind)
     rows = rows.select("doc_id", "n_lines", of("line.page", "int").alias("page"), of("line.text", "string").alias("text"), of("line.confidence", "double").alias("confidence"), position.alias("position"), of("after", "string").alias("next_text"))
-    rows, line = _searched(rows), apart(F.col("position")) >= 0  # no rule asks for a whole text's flags
-    rows = rows.withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
+    rows, line = with_search_text(rows), apart(F.col("position")) >= 0  # no rule asks for a whole text's flags
+    rows = rows.withColumn("compact", F.when(F.col("position") < 0, compact(F.col("search")))).withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
     labelled = F.coalesce(F.nullif(value_after_label(F.col("text")), F.lit("")), apart(F.col("next_text")))
+    rows = rows.withColumns(_line_matches())
     return with_clean_values(rows, {"labelled": F.when(F.col("has_supplier") | F.col("has_po") | F.col("has_notes"), labelled), "marked": F.when(F.col("has_company"), F.col("text"))})
 
 
@@ -137,14 +138,25 @@ _FLAGS = {
 }
 
 
+def _line_matches() -> dict[str, Column]:
+    """What a line's own text gives where its keywords ask for it; empty, or null for an amount, where the line after is to be searched.
+    As columns, so that each is found once: under a rule's condition, a match would be found again wherever the rule uses it."""
+    text, search, has = apart(F.col("text")), F.col("search"), lambda flag: F.col(f"has_{flag}")
+    return {
+        "own_tax_code": F.when(has("tax_code"), F.regexp_extract(text, R.TAX_CODE_VALUE, 0)),
+        "own_number": F.when(has("number") & ~search.contains("ma so thue"), F.regexp_extract(F.coalesce(value_after_label(F.col("text")), text), R.NUMBER_VALUE, 0)),
+        "own_date": F.when(has("date") | has("due"), F.regexp_extract(text, R.DATE_VALUE, 0)),
+        "own_amount": F.when(F.col("amount_field").isNotNull() & ~search.contains("in words"), last_match(text, MONEY)),
+    }
+
+
 def line_rules(top_lines: bool = True) -> list[tuple[tuple[str, ...], Column]]:
     """Keyword rules on a line and the line after, and at last the rule on top lines: the fields that each can give, and the candidate."""
     text, search, after, page = F.col("text"), F.col("search"), F.col("next_text"), F.col("page")
     score = lambda base: confidence_score(base if isinstance(base, Column) else F.lit(base), F.col("confidence"))
     labelled, marked = F.col("labelled"), F.col("marked")  # clean, and null on lines of other rules
-    near = lambda pattern, here=text: F.coalesce(first_match(here, pattern), first_match(after, pattern))
-    field = F.col("amount_field")
-    own = last_match(text, MONEY)
+    near = lambda own, pattern: F.when(F.col(own) != "", F.col(own)).otherwise(F.regexp_extract(after, pattern, 0))
+    field, own = F.col("amount_field"), F.col("own_amount")
     amount = F.coalesce(own, last_match(after, MONEY))
     place = F.when(F.col("n_lines") > 1, F.col("position") / (F.col("n_lines") - 1) * 0.05).otherwise(F.lit(0.0))
     total = F.least(F.lit(0.97), F.lit(0.88) + (total_weight(search) - 1) * 0.03 + place)
@@ -156,13 +168,13 @@ def line_rules(top_lines: bool = True) -> list[tuple[tuple[str, ...], Column]]:
 
     keywords = [
         rule(1, "SupplierName", has("supplier"), labelled, 0.88, 60),
-        rule(2, "SupplierTaxCode", has("tax_code"), near(R.TAX_CODE_VALUE), 0.9, 70),
-        rule(3, "InvoiceNumber", has("number") & ~search.contains("ma so thue"), near(R.NUMBER_VALUE, F.coalesce(value_after_label(text), text)), F.when(search == "so", 0.72).otherwise(0.86), 55),
-        rule(4, "InvoiceDate", has("date") & ~has("due"), near(R.DATE_VALUE), 0.86, 55),
-        rule(5, "DueDate", has("due"), near(R.DATE_VALUE), 0.86, 55),
+        rule(2, "SupplierTaxCode", has("tax_code"), near("own_tax_code", R.TAX_CODE_VALUE), 0.9, 70),
+        rule(3, "InvoiceNumber", has("number") & ~search.contains("ma so thue"), near("own_number", R.NUMBER_VALUE), F.when(search == "so", 0.72).otherwise(0.86), 55),
+        rule(4, "InvoiceDate", has("date") & ~has("due"), near("own_date", R.DATE_VALUE), 0.86, 55),
+        rule(5, "DueDate", has("due"), near("own_date", R.DATE_VALUE), 0.86, 55),
         rule(6, "PONumber", has("po"), labelled, 0.84, 55),
         rule(7, field, ~search.contains("in words") & field.isNotNull(), amount, F.when(field == "TotalAmount", total).otherwise(0.84), 65, source=F.when(own.isNotNull(), text).otherwise(after)),
-        rule(8, "VatRate", has("vat"), first_match(text, R.RATE_MARKER), 0.8, 60),
+        rule(8, "VatRate", has("vat"), F.regexp_extract(text, R.RATE_MARKER, 0), 0.8, 60),
         rule(9, "Notes", has("notes"), labelled, 0.78, 35),
         rule(10, "SupplierName", (F.col("position") < 10) & has("company") & ~has("supplier"), marked, 0.72, 30, "SupplierMarker"),
     ]
@@ -178,14 +190,18 @@ def from_lines(context: DataFrame, only: tuple[str, ...] | None = None, top_line
 
 def likely_merchant(text: Column) -> Column:
     """Whether a line can be a merchant's name, by its flags and shape."""
-    t = strip(text)
     marked = F.lit(False)
     for flag in _FLAGS:
         marked = marked | F.col(f"has_{flag}") if flag not in ("vat", "company") else marked
-    digits, solid = F.length(F.regexp_replace(t, r"(?U)\D", "")), F.length(F.regexp_replace(t, r"(?U)\s", ""))
-    shape = (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.rlike(r"(?U)^\d") & (digits <= solid * 0.5)
-    titled = _matches(t, R.INVOICE_TITLE, F.col("compact")) | _matches(t, R.RECEIPT_TITLE, F.col("compact")) | t.rlike(R.DATE_VALUE)
-    return ~marked & F.col("amount_field").isNull() & shape & ~titled
+
+    def shaped(t: Column) -> Column:
+        digits, solid = F.length(F.regexp_replace(t, r"(?U)\D", "")), F.length(F.regexp_replace(t, r"(?U)\s", ""))
+        return (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.rlike(r"(?U)^\d") & (digits <= solid * 0.5)
+
+    def titled(t: Column, hint: Column) -> Column:
+        return _matches(t, R.INVOICE_TITLE, hint) | _matches(t, R.RECEIPT_TITLE, hint) | t.rlike(R.DATE_VALUE)
+
+    return ~marked & F.col("amount_field").isNull() & bind(strip(text), lambda t: shaped(t) & ~bind(compact(F.col("search")), lambda hint: titled(t, hint)))
 
 
 def from_top_lines(context: DataFrame) -> DataFrame:
@@ -228,11 +244,21 @@ _TEXT_RULES = (
 )
 
 
+def _with_matches(rows: DataFrame, here: Column | None = None) -> DataFrame:
+    """What patterns find in a text with its search text, where ``here`` holds: matches as columns, so that each is found once, however often a rule uses it."""
+    text, here = apart(F.col("text")), F.lit(True) if here is None else here
+    found = lambda p: F.when((here & _hinted(p, F.col("compact"))) if p in R.HINTS else here, F.regexp_extract(text, p, 0))
+    kind = F.when(here, document_type(F.col("text"), F.col("search"), F.col("compact")))
+    return rows.withColumns({f"match_{i}": found(p) for i, (_, p, _) in enumerate(_TEXT_RULES)} | {"match_currency": found(R.CURRENCY_MARKER), "match_kind": kind})
+
+
 def _text_rules(bases: tuple[float, ...], priority: int, method: str, stage: int, page: Column | None) -> list[tuple[tuple[str, ...], Column]]:
-    text = F.col("text")
-    found = lambda p: F.when(_hinted(p, F.col("compact")), first_match(text, p)) if p in R.HINTS else first_match(text, p)
-    value = lambda p, g: F.regexp_extract(found(p), p, g) if g else found(p)  # noqa: E731  a pattern that gave a match gives the same on the match
-    return [((field,), F.when(found(p).isNotNull(), _candidate(field, value(p, g), F.lit(base), priority, method, found(p), stage=stage, page=page, kind="Regex", rule=i))) for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases))]
+    rules = []
+    for i, ((field, p, g), base) in enumerate(zip(_TEXT_RULES, bases)):
+        found = F.col(f"match_{i}")
+        value = F.regexp_extract(found, p, g) if g else found  # a pattern that gave a match gives the same on the match
+        rules.append(((field,), F.when(found != "", _candidate(field, value, F.lit(base), priority, method, found, stage=stage, page=page, kind="Regex", rule=i))))
+    return rules
 
 
 def full_text_rules() -> list[tuple[tuple[str, ...], Column]]:
@@ -241,13 +267,13 @@ def full_text_rules() -> list[tuple[tuple[str, ...], Column]]:
 
 def from_full_text(texts: DataFrame) -> DataFrame:
     """Patterns over the whole text (doc_id, text)."""
-    return _spread(_searched(texts), F.lit(0), _chosen(full_text_rules(), None))
+    return _spread(_with_matches(_searched(texts)), F.lit(0), _chosen(full_text_rules(), None))
 
 
 def from_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """Patterns over paragraphs (doc_id, paragraph_no, text, page)."""
     rules = _text_rules((0.68, 0.66, 0.64, 0.66, 0.64, 0.64), 15, "ParagraphRegex", 4, F.col("page"))
-    return _spread(_searched(paragraphs), F.col("paragraph_no"), _chosen(rules, None))
+    return _spread(_with_matches(_searched(paragraphs)), F.col("paragraph_no"), _chosen(rules, None))
 
 
 def from_table_footers(cells: DataFrame) -> DataFrame:
@@ -291,10 +317,8 @@ def document_type(text: Column, search: Column, hint: Column | None = None) -> C
 
 
 def whole_rules() -> list[tuple[tuple[str, ...], Column]]:
-    """Document type and currency marker of a whole text, with its search text."""
-    text = F.col("text")
-    kind = document_type(text, F.col("search"), F.col("compact"))
-    marker = F.when(_hinted(R.CURRENCY_MARKER, F.col("compact")), first_match(text, R.CURRENCY_MARKER))
+    """Document type and currency marker of a whole text, with what was found in it."""
+    kind, marker = F.col("match_kind"), F.col("match_currency")
     return [
         (("DocumentType",), _candidate("DocumentType", kind, F.lit(0.84), 45, "DocumentTypeHeuristic", kind, stage=8, kind="Heuristic", rule=0)),
         (("Currency",), _candidate("Currency", marker, F.lit(0.78), 35, "CurrencyHeuristic", marker, stage=8, kind="Heuristic", rule=1)),
@@ -303,7 +327,7 @@ def whole_rules() -> list[tuple[tuple[str, ...], Column]]:
 
 def from_whole(texts: DataFrame) -> DataFrame:
     """Document type and currency marker of a whole text (doc_id, text)."""
-    return _spread(_searched(texts), F.lit(0), _chosen(whole_rules(), None))
+    return _spread(_with_matches(_searched(texts)), F.lit(0), _chosen(whole_rules(), None))
 
 
 _WON = ("raw_value", "confidence", "page", "priority", "method", "source_text", "source_type", "provider_field")
@@ -327,15 +351,15 @@ def resolve(candidates: DataFrame, keep: tuple[str, ...] = _WON) -> DataFrame:
     return _winners(candidates, keep=keep).select("doc_id", "field_name", "w.*")
 
 
-def resolve_with_default(candidates: DataFrame) -> DataFrame:
+def resolve_with_default(candidates: DataFrame, keep: tuple[str, ...] = _WON) -> DataFrame:
     """Winners, and VND where no currency was found and an amount, winner or not, is grouped by dots. Candidates that lie
     together by document need no further exchange: the currency is told from the winners of the document."""
     grouped = F.max(F.col("field_name").isin(*AMOUNTS) & F.col("raw_value").rlike(R.GROUPED_MONEY))
-    won = _winners(candidates, grouped.alias("grouped"))
+    won = _winners(candidates, grouped.alias("grouped"), keep=keep)
     each = F.struct("field_name", "w.*")
     docs = won.groupBy("doc_id").agg(F.collect_list(each).alias("all"), F.max(F.col("field_name") == "Currency").alias("known"), F.max("grouped").alias("grouped"))
     default = _candidate("Currency", F.lit("VND"), F.lit(0.5), 5, "CurrencyDefault", F.lit(None).cast("string"), stage=9, kind="Heuristic")
-    extra = F.array(F.struct(*[default[c].alias(c) for c in ("field_name", *_WON)]))
+    extra = F.array(F.struct(*[default[c].alias(c) for c in ("field_name", *keep)]))
     return docs.select("doc_id", F.inline(F.when(F.col("grouped") & ~F.col("known"), F.concat("all", extra)).otherwise(F.col("all"))))
 
 
@@ -344,20 +368,21 @@ def full_text(lines: DataFrame) -> DataFrame:
     return gathered(lines.withColumn("confidence", F.lit(None).cast("double"))).select("doc_id", "text")
 
 
-def extract(lines: DataFrame | None, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None, only: tuple[str, ...] | None = None, docs: DataFrame | None = None) -> DataFrame:
+def extract(lines: DataFrame | None, pairs: DataFrame | None = None, fields: DataFrame | None = None, paragraphs: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None, only: tuple[str, ...] | None = None, docs: DataFrame | None = None, keep: tuple[str, ...] = _WON) -> DataFrame:
     """All generators over one batch of documents, and the winners. With ``only``, rules that can't give these fields don't run.
-    ``docs`` (see ``documents``) instead of ``lines`` and ``texts``: no exchange gathers them.
+    ``docs`` (see ``documents``) instead of ``lines`` and ``texts``: no exchange gathers them. ``keep``: see ``resolve``.
 
     Lines are gathered by document once; every rule on lines and texts is one projection of them, so without other sources
     that one exchange is all.
     """
-    rows = numbered_lines(gathered(lines, texts) if docs is None else docs)
+    rows = _with_matches(numbered_lines(gathered(lines, texts) if docs is None else docs), F.col("position") < 0)
     found = F.when(F.col("position") >= 0, _chosen(line_rules(), only)).otherwise(_chosen([*full_text_rules(), *whole_rules()], only))
     every = _spread(rows, F.greatest("position", F.lit(0)), found)
     others = [f(x) for f, x in ((from_pairs, pairs), (from_provider, fields), (from_paragraphs, paragraphs), (from_table_footers, cells)) if x is not None]
     for p in others:
         every = every.unionByName(p)
-    won = (resolve_with_default if only is None or "Currency" in only else resolve)(every.repartition("doc_id") if others else every)
+    every = every.repartition("doc_id") if others else every
+    won = resolve_with_default(every, keep) if only is None or "Currency" in only else resolve(every, keep)
     return won if only is None else won.where(F.col("field_name").isin(*only))
 
 
