@@ -47,6 +47,30 @@ def test_keywords_that_hold_another_tell_nothing_more(spark):
     assert T.contains_any(F.col("t"), ("so", "so hoa don"))._jc.toString().count("contains") == 1
 
 
+def test_a_match_has_its_hint_but_for_folded_letters(spark):
+    """Every character that a pattern takes for one of its letters or blanks is that in search text too, but for those named."""
+    labels = "Mã số thuế MST Tax code Số hóa đơn Số HĐ Invoice No Number Tổng thanh toán cộng tiền VAT Thuế GTGT Cộng tiền hàng Subtotal Thành tiền chưa thuế"
+    letters = sorted(set(labels.replace(" ", "")))
+    every = spark.createDataFrame([(chr(i),) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000], "c string")
+    same = every.where(F.col("c").rlike("(?iuU)^(?:" + "|".join(letters) + r"|\s)$")).select("c", T.search_text(F.col("c")).alias("s"), *[F.col("c").rlike(f"(?iuU)^{x}$").alias(f"m{i}") for i, x in enumerate(letters)], F.col("c").rlike(r"(?U)^\s$").alias("white"))
+    plain = {x: spark.range(1).select(T.search_text(F.lit(x))).first()[0] for x in letters}
+    odd = {r["c"] for r in same.collect() if (r["white"] and r["s"] != "") or any(r[f"m{i}"] and r["s"] != plain[x] for i, x in enumerate(letters))}
+    assert odd == set(X.FOLDED)
+
+
+def test_texts_without_search_text_give_the_same(spark):
+    texts = ("Số hóa đơn: HD-1\nMST: 0101234567", "ſố HĐ: HD-2\nTổng: 5", "ınvoıce no: A12", "ınvoıce no: A12\nso 1", "Subtotal 3\nvat 4", "", None, "1.2.2024")
+    docs = X.documents(spark.createDataFrame([(i, [(1, 0, t, 0.9)]) for i, t in enumerate(texts)], f"doc_id long, lines {LINE}"))
+    asked = ("InvoiceNumber", "SupplierTaxCode", "TotalAmount", "VatAmount", "SubtotalAmount", "InvoiceDate")
+    bare = X._with_matches(X.numbered_lines(docs, hinted=False), F.col("position") < 0).where("position < 0")
+    full = X._with_matches(X.numbered_lines(docs), F.col("position") < 0).where("position < 0")
+    names = [f"match_{i}" for i in range(len(X._TEXT_RULES))]
+    given = lambda rows: {r["doc_id"]: [r[n] or "" for n in names] for r in rows.collect()}
+    assert given(bare) == given(full) and given(bare)[2][1] == "" and given(bare)[3][1] != "" and given(bare)[0][1] == "Số hóa đơn: HD-1"
+    assert {r["doc_id"]: r["search"] is None for r in bare.collect()} == {0: True, 1: False, 2: False, 3: False, 4: True, 5: True, 6: True, 7: True}
+    assert X.extract(None, docs=docs, only=asked).where("field_name = 'InvoiceNumber' AND doc_id = 0").first()["raw_value"] == "HD-1"
+
+
 def test_the_line_after_is_searched_where_the_line_has_no_match(spark):
     lines = ("Mã số thuế:", "0101234567-001", "Số hóa đơn: ", "HD-77", "Ngày hóa đơn", "1/2/2024", "Tổng cộng:", "1.234 đ", "Tổng cộng: 5", "6", "MST", None, "Thuế GTGT", "KCT")
     docs = spark.createDataFrame([(1, [(1, n, x, 0.9) for n, x in enumerate(lines)]), (2, [(1, 0, "Số hóa đơn", None)]), (3, None)], f"doc_id long, lines {LINE}")

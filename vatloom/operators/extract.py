@@ -108,8 +108,13 @@ def _searched(rows: DataFrame) -> DataFrame:
     return with_search_text(rows).withColumn("compact", compact(F.col("search")))
 
 
-def numbered_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
-    """Each line with search text, place, count, the next line and the flags and values that rules ask for; and, if ``whole``, the full text, at place -1."""
+#: Letters that patterns without case take for an ASCII letter and search text doesn't; in a text without them, a pattern that matches has its hint.
+FOLDED = ("ı", "ſ")
+
+
+def numbered_lines(docs: DataFrame, whole: bool = True, hinted: bool = True) -> DataFrame:
+    """Each line with search text, place, count, the next line and the flags and values that rules ask for; and, if ``whole``, the full text, at place -1.
+    Unless ``hinted``, a full text has search text only where a pattern may match without its hint."""
     # arrays are zipped, not transformed: a lambda is interpreted for every line, this is compiled
     kinds, line = docs.schema["lines"].dataType.elementType, F.col("lines")
     if whole:
@@ -119,7 +124,9 @@ def numbered_lines(docs: DataFrame, whole: bool = True) -> DataFrame:
     position = F.when(F.col("at") == F.col("n_lines"), -1).otherwise(F.col("at")) if whole else F.col("at")
     of = lambda name, kind: F.col(f"_row.{name}").cast(kind)
     rows = rows.select("doc_id", "n_lines", of("line.page", "int").alias("page"), of("line.text", "string").alias("text"), of("line.confidence", "double").alias("confidence"), position.alias("position"), of("after", "string").alias("next_text"))
-    rows, line = with_search_text(rows), apart(F.col("position")) >= 0  # no rule asks for a whole text's flags
+    sought = F.lit(True) if hinted else (F.col("position") >= 0) | contains_any(F.col("text"), FOLDED)
+    rows = with_search_text(rows.withColumn("_sought", F.when(sought, F.col("text"))), "_sought").drop("_sought")
+    line = apart(F.col("position")) >= 0  # no rule asks for a whole text's flags
     rows = rows.withColumn("compact", F.when(F.col("position") < 0, compact(F.col("search")))).withColumns({f"has_{k}": F.when(line, contains_any(F.col("search"), words)) for k, words in _FLAGS.items()} | {"amount_field": F.when(line, amount_field(F.col("search")))})
     labelled = F.coalesce(F.nullif(value_after_label(F.col("text")), F.lit("")), apart(F.col("next_text")))
     rows = rows.withColumns(_line_matches())
@@ -245,9 +252,11 @@ _TEXT_RULES = (
 
 
 def _with_matches(rows: DataFrame, here: Column | None = None) -> DataFrame:
-    """What patterns find in a text with its search text, where ``here`` holds: matches as columns, so that each is found once, however often a rule uses it."""
+    """What patterns find in a text, where ``here`` holds: matches as columns, so that each is found once, however often a rule uses it.
+    With search text, a pattern's hint is looked for first; the kind of a document is told from it."""
     text, here = apart(F.col("text")), F.lit(True) if here is None else here
-    found = lambda p: F.when((here & _hinted(p, F.col("compact"))) if p in R.HINTS else here, F.regexp_extract(text, p, 0))
+    hint = F.col("compact")
+    found = lambda p: F.when((here & (hint.isNull() | _hinted(p, hint))) if p in R.HINTS else here, F.regexp_extract(text, p, 0))
     kind = F.when(here, document_type(F.col("text"), F.col("search"), F.col("compact")))
     return rows.withColumns({f"match_{i}": found(p) for i, (_, p, _) in enumerate(_TEXT_RULES)} | {"match_currency": found(R.CURRENCY_MARKER), "match_kind": kind})
 
@@ -375,7 +384,8 @@ def extract(lines: DataFrame | None, pairs: DataFrame | None = None, fields: Dat
     Lines are gathered by document once; every rule on lines and texts is one projection of them, so without other sources
     that one exchange is all.
     """
-    rows = _with_matches(numbered_lines(gathered(lines, texts) if docs is None else docs), F.col("position") < 0)
+    hinted = only is None or bool({"DocumentType", "Currency"} & set(only))
+    rows = _with_matches(numbered_lines(gathered(lines, texts) if docs is None else docs, hinted=hinted), F.col("position") < 0)
     found = F.when(F.col("position") >= 0, _chosen(line_rules(), only)).otherwise(_chosen([*full_text_rules(), *whole_rules()], only))
     every = _spread(rows, F.greatest("position", F.lit(0)), found)
     others = [f(x) for f, x in ((from_pairs, pairs), (from_provider, fields), (from_paragraphs, paragraphs), (from_table_footers, cells)) if x is not None]
